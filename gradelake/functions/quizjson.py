@@ -22,6 +22,8 @@ _RAW_QUIZ = (
     "array<struct<pregunta:string,opciones:string,respuesta_correcta:string,explicacion:string>>"
 )
 
+_REGULAR_QUIZ = _RAW_QUIZ.replace("opciones:string", "opciones:map<string,string>")
+
 ANSWER_KEYS = "ABCD"
 
 
@@ -47,8 +49,20 @@ def repair_backslashes(text: Column) -> Column:
     return F.regexp_replace(text, _LONE_BACKSLASH, _TWO_BACKSLASHES)
 
 
-def quiz_is_valid(text: Column, expected: Column, mode: str = "lenient") -> Column:
-    """Whether the text is one JSON list of ``expected`` objects that have the needed keys.
+def checked_list(text: Column) -> Column:
+    """The text as a list of objects, with ``broken`` set when it is not exactly that.
+
+    Keep it in a column of its own before reading its fields, or Spark parses once per field.
+    """
+    return F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}")),
+        "v array<map<string,string>>, broken string",
+        {**_STRICT_JSON, "columnNameOfCorruptRecord": "broken"},
+    )
+
+
+def list_is_valid(checked: Column, text: Column, expected: Column, mode: str) -> Column:
+    """Whether a ``checked_list`` is a quiz of ``expected`` questions with the needed keys.
 
     ``lenient`` asks for ``pregunta``; ``strict`` for ``opciones`` and ``respuesta_correcta``
     as well. A key may be present with a null value.
@@ -59,11 +73,6 @@ def quiz_is_valid(text: Column, expected: Column, mode: str = "lenient") -> Colu
 
     # from_json stops after the first value. Text after it breaks one of the two wrappers:
     # only "}" or "," can follow inside the object, only "]" or "," inside the array.
-    wrapped = F.from_json(
-        F.concat(F.lit('{"v":'), text, F.lit("}")),
-        "v array<map<string,string>>, broken string",
-        {**_STRICT_JSON, "columnNameOfCorruptRecord": "broken"},
-    )
     single = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT_JSON)
 
     def has_keys(question: Column) -> Column:
@@ -72,12 +81,11 @@ def quiz_is_valid(text: Column, expected: Column, mode: str = "lenient") -> Colu
             present = present & F.map_contains_key(question, key)
         return present
 
-    items = wrapped["v"]
     passes = (
-        wrapped["broken"].isNull()
+        checked["broken"].isNull()
+        & (F.size(checked["v"]) == expected)
+        & F.forall(checked["v"], has_keys)
         & (F.size(single) == 1)
-        & (F.size(items) == expected)
-        & F.forall(items, has_keys)
     )
     return F.coalesce(passes, F.lit(False))
 
@@ -98,7 +106,7 @@ def options_map(raw: Column) -> Column:
 
 
 def parse_quiz(text: Column) -> Column:
-    """Quiz JSON to an array of questions with normalised options."""
+    """Quiz JSON to an array of questions with normalised options, whatever form they take."""
     raw = F.from_json(text, _RAW_QUIZ)
     return F.transform(
         raw,
@@ -111,6 +119,15 @@ def parse_quiz(text: Column) -> Column:
     )
 
 
+def parse_regular(text: Column) -> Column:
+    """Quiz JSON whose options are all maps; ``broken`` is set when some are not."""
+    return F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}")),
+        f"v {_REGULAR_QUIZ}, broken string",
+        {"columnNameOfCorruptRecord": "broken"},
+    )
+
+
 def quiz_json(questions: Column) -> Column:
     """Questions to quiz JSON, null fields kept."""
     return F.to_json(questions, {"ignoreNullFields": "false"})

@@ -21,19 +21,37 @@ def validate_quiz(
     json_column: str = "quiz_data_json",
     expected: str = "num_preguntas",
     mode: str = "lenient",
+    name: str = "is_valid",
 ) -> DataFrame:
-    """Add ``is_valid``."""
-    return df.withColumn(
-        "is_valid", quizjson.quiz_is_valid(F.col(json_column), F.col(expected), mode)
+    """Add whether the text is one JSON list of ``expected`` questions with the needed keys."""
+    text = F.col(json_column)
+    checked = df.withColumn("_checked", quizjson.checked_list(text))
+    valid = quizjson.list_is_valid(F.col("_checked"), text, F.col(expected), mode)
+    return checked.withColumn(name, valid).drop("_checked")
+
+
+def with_questions(df: DataFrame, json_column: str, name: str = "questions") -> DataFrame:
+    """Add the parsed questions of a quiz document.
+
+    Most documents have their options as maps and are parsed in one go; the others are parsed
+    again question by question.
+    """
+    text = F.col(json_column)
+    regular = df.withColumn("_regular", quizjson.parse_regular(text))
+    questions = F.when(F.col("_regular.broken").isNull(), F.col("_regular.v")).otherwise(
+        quizjson.parse_quiz(text)
     )
+    return regular.withColumn(name, questions).drop("_regular")
 
 
 def explode_questions(df: DataFrame, json_column: str = "quiz_data_json") -> DataFrame:
     """One row per question: the other columns, ``idx`` and the question's fields."""
     keep = [c for c in df.columns if c != json_column]
-    return df.select(
-        *keep, F.posexplode(quizjson.parse_quiz(F.col(json_column))).alias("idx", "_question")
-    ).select(*keep, "idx", "_question.*")
+    # The outer form: for the inner one Spark adds a size filter that parses everything twice.
+    rows = with_questions(df, json_column, "_questions").select(
+        *keep, F.posexplode_outer("_questions").alias("idx", "_question")
+    )
+    return rows.where(F.col("idx").isNotNull()).select(*keep, "idx", "_question.*")
 
 
 def quiz_document() -> Column:
@@ -87,10 +105,8 @@ def shuffle_questions(
     """
     keep = F.col(evaluative) if evaluative else None
     cut = F.col(limit) if isinstance(limit, str) else None if limit is None else F.lit(limit)
-    questions = quizjson.parse_quiz(F.col(json_column))
-    return df.withColumn(
-        "questions", quizjson.shuffled_questions(questions, seed, F.col(key), keep, cut)
-    )
+    drawn = quizjson.shuffled_questions(F.col("questions"), seed, F.col(key), keep, cut)
+    return with_questions(df, json_column).withColumn("questions", drawn)
 
 
 def shuffle_options(df: DataFrame, seed: str, key: Sequence[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.functions import text
-from gradelake.functions.quizjson import answer_status, parse_answers, parse_quiz
+from gradelake.functions.quizjson import answer_status, parse_answers
+from gradelake.operators.documents import with_questions
 from gradelake.plans.ordering import RANKING, with_position
 from gradelake.schemas import PASS_GRADE
 
@@ -53,7 +54,9 @@ def participation_table(
     """The five display columns as text; ``position`` adds the rank within the profile."""
     lead = []
     if position:
-        attempts = with_position(attempts, RANKING, ["profile_name"])
+        shown = ["id", "profile_name", "student_name", "variant_name"]
+        shown += ["score", "total_questions", "grade", "ts"]
+        attempts = with_position(attempts.select(*shown), RANKING, ["profile_name"])
         lead = [F.col("position").alias("Posición")]
     return attempts.select(
         *lead,
@@ -118,11 +121,12 @@ def attempt_review(
     Works inside each row, without a shuffle. Attempts without a snapshot give no rows.
     """
     keep = [c for c in attempts.columns if c not in (snapshot, answers)]
-    parsed = attempts.where(F.col(snapshot).isNotNull()).select(
-        *keep,
-        parse_answers(F.col(answers)).alias("_answers"),
-        F.posexplode(parse_quiz(F.col(snapshot))).alias("idx", "_question"),
+    parsed = with_questions(attempts, snapshot, "_questions").withColumn(
+        "_answers", parse_answers(F.col(answers))
     )
+    rows = parsed.select(
+        *keep, "_answers", F.posexplode_outer("_questions").alias("idx", "_question")
+    ).where(F.col("idx").isNotNull())
     question = F.col("_question")
     answer = F.try_element_at("_answers", F.col("idx").cast("string"))
 
@@ -131,7 +135,7 @@ def attempt_review(
         return F.coalesce(found, F.lit(OPTION_NOT_FOUND))
 
     correct = question["respuesta_correcta"]
-    return parsed.withColumn("answer", answer).select(
+    return rows.withColumn("answer", answer).select(
         *keep,
         "idx",
         question["pregunta"].alias("pregunta"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.functions.quizjson import extract_json_list, quiz_is_valid, repair_backslashes
+from gradelake.functions.quizjson import extract_json_list, repair_backslashes
+from gradelake.operators.documents import validate_quiz
 from gradelake.plans.ordering import instant_key
 from gradelake.schemas import MAX_TRIES
 
@@ -26,10 +27,13 @@ def latest_version(quizzes: DataFrame) -> DataFrame:
 
 
 def active_version(quizzes: DataFrame) -> DataFrame:
-    """The active version of each unit; the lowest id if several are active."""
+    """The active version of each unit, whole rows; the lowest id if several are active."""
+    rest = [c for c in quizzes.columns if c not in ("config_id", "id")]
     active = quizzes.where(F.col("is_active") == 1)
-    chosen = active.groupBy("config_id").agg(F.min("id").alias("id")).select("id")
-    return active.join(chosen, "id", "left_semi")
+    chosen = active.groupBy("config_id").agg(
+        F.min("id").alias("id"), F.min_by(F.struct(*rest), "id").alias("_row")
+    )
+    return chosen.select("config_id", "id", "_row.*").select(*quizzes.columns)
 
 
 def first_valid_generation(
@@ -48,11 +52,10 @@ def first_valid_generation(
     cleaned = tried.withColumn(
         "_doc", repair_backslashes(extract_json_list(F.col("raw_text"), extraction))
     )
-    valid = quiz_is_valid(F.col("_doc"), F.col("num_preguntas"), mode)
-    judged = cleaned.select(
+    judged = validate_quiz(cleaned, "_doc", "num_preguntas", mode, "_valid").select(
         "config_id",
-        F.when(valid, F.col("attempt")).alias("_attempt"),
-        F.when(valid, F.col("_doc")).alias("_doc"),
+        F.when(F.col("_valid"), F.col("attempt")).alias("_attempt"),
+        F.when(F.col("_valid"), F.col("_doc")).alias("_doc"),
     )
     return judged.groupBy("config_id").agg(
         F.min("_attempt").alias("attempt"), F.min_by("_doc", "_attempt").alias("quiz_data_json")

@@ -882,9 +882,9 @@ def _(v: Views) -> DataFrame:
 @query("validate_quiz", "select gen_id, lenient, strict from validated")
 def _(v: Views) -> DataFrame:
     cleaned = documents.clean_replies(v.raw_items()).withColumn("num_preguntas", F.lit(1))
-    lenient = documents.validate_quiz(cleaned).withColumnRenamed("is_valid", "lenient")
-    strict = documents.validate_quiz(lenient, mode="strict")
-    return strict.select("gen_id", "lenient", F.col("is_valid").alias("strict"))
+    judged = documents.validate_quiz(cleaned, name="lenient")
+    judged = documents.validate_quiz(judged, mode="strict", name="strict")
+    return judged.select("gen_id", "lenient", "strict")
 
 
 @query(

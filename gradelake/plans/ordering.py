@@ -141,9 +141,16 @@ def paginate(
     if remaining <= max_top_rows:
         tail = df.orderBy(*sort_columns(order, reverse=True)).limit(remaining)
         return tail.orderBy(*sort_columns(order)).limit(size)
-    placed = with_position(df, order)
-    wanted = placed.where(F.col("position").between(skip + 1, skip + size))
-    return wanted.orderBy("position").drop("position")
+    return _cut_out(df, order, skip, size)
+
+
+def _cut_out(df: DataFrame, order: Sequence[str], skip: int, size: int) -> DataFrame:
+    """Rows after the first ``skip``, found by position over the order's columns alone."""
+    names = [item.removeprefix("-") for item in order]
+    placed = with_position(df.select(*names), order, name="_position")
+    wanted = placed.where(F.col("_position").between(skip + 1, skip + size))
+    found = df.join(wanted.select(names[-1], "_position"), names[-1])
+    return found.orderBy("_position").select(*df.columns)
 
 
 def paginate_all(
@@ -163,6 +170,4 @@ def page_limit_offset(df: DataFrame, profile: str, limit: int, offset: int) -> D
     rows = df.where(F.col("profile_name") == profile)
     if offset + limit <= MAX_TOP_ROWS:
         return rows.orderBy(*sort_columns(RANKING)).offset(offset).limit(limit)
-    placed = with_position(rows, RANKING)
-    wanted = placed.where(F.col("position").between(offset + 1, offset + limit))
-    return wanted.orderBy("position").drop("position")
+    return _cut_out(rows, RANKING, offset, limit)

@@ -32,19 +32,31 @@ class Views:
 
     def answers(self) -> DataFrame:
         """One row per question answered; a null answer was left open."""
-        part = F.col("l_partkey")
-        in_attempt = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
-        )
+        part = F.col("question_id")
         given = (
             F.when(F.col("l_quantity") > 47, F.lit(None))
             .when(F.col("l_returnflag") != "R", _letter(part))
             .otherwise(_letter(part + 1))
         )
-        return self.table("lineitem").select(
+        # Renamed before the window: grouping by attempt_id then reuses its partitioning.
+        lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("attempt_id"),
+            F.col("l_partkey").alias("question_id"),
+            "l_linenumber",
+            "l_suppkey",
+            "l_quantity",
+            "l_extendedprice",
+            "l_shipdate",
+            "l_returnflag",
+        )
+        in_attempt = Window.partitionBy("attempt_id").orderBy(
+            "l_linenumber", "question_id", "l_suppkey", "l_quantity", "l_extendedprice",
+            "l_shipdate",
+        )
+        return lines.select(
+            "attempt_id",
             (F.row_number().over(in_attempt) - 1).alias("idx"),
-            part.alias("question_id"),
+            "question_id",
             _letter(part).alias("respuesta_correcta"),
             given.alias("answer"),
         )
