@@ -24,7 +24,7 @@ _RAW_QUIZ = (
 
 _REGULAR_QUIZ = _RAW_QUIZ.replace("opciones:string", "opciones:map<string,string>")
 
-ANSWER_KEYS = "ABCD"
+ANSWER_KEYS = ["A", "B", "C", "D"]
 
 
 def extract_json_list(text: Column, mode: str = "list") -> Column:
@@ -146,74 +146,42 @@ def answer_status(answer: Column, correct: Column) -> Column:
     )
 
 
+def seeded_draw(seed: str, *parts: Column) -> Column:
+    """Sort key of a repeatable random draw: it depends only on the seed and the parts."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[part.cast("string") for part in parts]))
+
+
 def shuffled_questions(
     questions: Column, seed: str, key: Column, evaluative: Column | None, limit: Column | None
 ) -> Column:
-    """Questions in a seeded random order, cut to ``limit``; formative quizzes keep theirs.
-
-    The draw depends only on (seed, key, position), so a rerun gives the same quiz.
-    """
-    tagged = F.transform(
+    """Questions in a seeded random order, cut to ``limit``; formative quizzes keep theirs."""
+    # Only (draw, position) pairs are sorted; the questions are looked up afterwards.
+    pairs = F.transform(
         questions,
-        lambda q, i: F.struct(
-            F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), i.cast("string"))).alias("o"),
-            i.alias("idx"),
-            q.alias("question"),
-        ),
-    )
-    # Compared on (draw, position): questions hold maps, which have no order.
-    drawn = F.array_sort(
-        tagged,
-        lambda a, b: F.when(a["o"] < b["o"], -1)
-        .when(a["o"] > b["o"], 1)
-        .otherwise(a["idx"] - b["idx"]),
+        lambda q, i: F.struct(seeded_draw(seed, key, i).alias("draw"), i.alias("idx")),
     )
+    drawn = F.sort_array(pairs)
     if evaluative is not None:
-        drawn = F.when(evaluative, drawn).otherwise(tagged)
+        drawn = F.when(evaluative, drawn).otherwise(pairs)
+    order = drawn["idx"]
     if limit is not None:
-        drawn = F.slice(drawn, 1, limit)
+        order = F.slice(order, 1, limit)
     return F.transform(
-        drawn, lambda x: F.struct(x["idx"].alias("original_idx"), x["question"].alias("question"))
+        order, lambda i: F.struct(i.alias("original_idx"), F.get(questions, i).alias("question"))
     )
 
 
-def shuffled_options(question: Column, seed: str, key: Column) -> Column:
-    """A question with its options redrawn onto A-D and the correct key moved along.
-
-    The correct key is found by text, as the last option with the correct text. More than
-    four options, or a correct key that is not among them, gives ``options_ok`` false and
-    leaves the question as it was.
-    """
-    options = question["opciones"]
-    drawn = F.array_sort(
+def drawn_options(options: Column, correct_key: Column, seed: str, key: Column) -> Column:
+    """Options in a seeded random order, each with whether its text is the correct one."""
+    correct_text = F.try_element_at(options, correct_key)
+    return F.sort_array(
         F.transform(
             F.map_entries(options),
             lambda e: F.struct(
-                F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), e["key"])).alias("o"),
+                seeded_draw(seed, key, e["key"]).alias("draw"),
                 e["key"].alias("key"),
                 e["value"].alias("text"),
+                e["value"].eqNullSafe(correct_text).alias("is_correct"),
             ),
         )
     )
-    lettered = F.transform(
-        drawn,
-        lambda e, i: F.struct(
-            F.substring(F.lit(ANSWER_KEYS), i + 1, F.lit(1)).alias("key"), e["text"].alias("value")
-        ),
-    )
-    correct_text = F.element_at(options, question["respuesta_correcta"])
-    matches = F.filter(lettered, lambda e: e["value"].eqNullSafe(correct_text))
-    usable = F.coalesce(
-        (F.size(options) <= len(ANSWER_KEYS))
-        & F.map_contains_key(options, question["respuesta_correcta"]),
-        F.lit(False),
-    )
-    return F.struct(
-        question["pregunta"].alias("pregunta"),
-        F.when(usable, F.map_from_entries(lettered)).otherwise(options).alias("opciones"),
-        F.when(usable, F.element_at(matches, -1)["key"])
-        .otherwise(question["respuesta_correcta"])
-        .alias("respuesta_correcta"),
-        question["explicacion"].alias("explicacion"),
-        usable.alias("options_ok"),
-    )

@@ -44,25 +44,36 @@ def with_questions(df: DataFrame, json_column: str, name: str = "questions") ->
     return regular.withColumn(name, questions).drop("_regular")
 
 
+def explode_items(
+    df: DataFrame, keep: Sequence[str], items: str, idx: str, item: str
+) -> DataFrame:
+    """One row per array item with its position; empty and null arrays give none.
+
+    Through the outer form: for the inner one Spark adds a size filter that computes the array
+    a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(idx, item))
+    return rows.where(F.col(idx).isNotNull())
+
+
 def explode_questions(df: DataFrame, json_column: str = "quiz_data_json") -> DataFrame:
     """One row per question: the other columns, ``idx`` and the question's fields."""
     keep = [c for c in df.columns if c != json_column]
-    # The outer form: for the inner one Spark adds a size filter that parses everything twice.
-    rows = with_questions(df, json_column, "_questions").select(
-        *keep, F.posexplode_outer("_questions").alias("idx", "_question")
-    )
-    return rows.where(F.col("idx").isNotNull()).select(*keep, "idx", "_question.*")
+    parsed = with_questions(df, json_column, "_questions")
+    rows = explode_items(parsed, keep, "_questions", "idx", "_question")
+    return rows.select(*keep, "idx", "_question.*")
 
 
-def quiz_document() -> Column:
-    """Aggregate: the question rows of a group as one quiz document, in ``idx`` order."""
-    question = F.struct("pregunta", "opciones", "respuesta_correcta", "explicacion")
-    # Maps cannot be compared, so the sort is by position alone.
-    ordered = F.array_sort(
-        F.collect_list(F.struct("idx", question.alias("question"))),
-        lambda a, b: a["idx"] - b["idx"],
-    )
-    return quizjson.quiz_json(F.transform(ordered, lambda x: x["question"]))
+def question_json() -> Column:
+    """The question fields of a row as JSON."""
+    fields = F.struct("pregunta", "opciones", "respuesta_correcta", "explicacion")
+    return quizjson.quiz_json(fields)
+
+
+def quiz_document(question: str = "_question_json") -> Column:
+    """Aggregate: the question texts of a group as one quiz document, in ``idx`` order."""
+    ordered = F.sort_array(F.collect_list(F.struct("idx", question)))
+    return F.concat(F.lit("["), F.array_join(ordered[question], ","), F.lit("]"))
 
 
 def answers_document() -> Column:
@@ -75,7 +86,8 @@ def assemble_quiz(
     rows: DataFrame, keys: Sequence[str], name: str = "quiz_data_json"
 ) -> DataFrame:
     """Question rows back to one document per key. A document is one cell of its table."""
-    return rows.groupBy(*keys).agg(quiz_document().alias(name))
+    texts = rows.select(*keys, "idx", question_json().alias("_question_json"))
+    return texts.groupBy(*keys).agg(quiz_document().alias(name))
 
 
 def answers_map(
@@ -110,9 +122,30 @@ def shuffle_questions(
 
 
 def shuffle_options(df: DataFrame, seed: str, key: Sequence[str]) -> DataFrame:
-    """Redraw the options of question rows onto A-D, moving the correct key along."""
-    fields = ["pregunta", "opciones", "respuesta_correcta", "explicacion"]
-    keep = [c for c in df.columns if c not in fields]
+    """Redraw the options of question rows onto A-D, moving the correct key along.
+
+    The correct key is found by text, as the last option with the correct text. More than four
+    options, or a correct key that is not among them, gives ``options_ok`` false and leaves the
+    question as it was.
+    """
+    options, correct = F.col("opciones"), F.col("respuesta_correcta")
+    usable = (F.size(options) <= len(quizjson.ANSWER_KEYS)) & F.map_contains_key(options, correct)
     row_key = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
-    drawn = quizjson.shuffled_options(F.struct(*fields), seed, row_key)
-    return df.select(*keep, drawn.alias("_question")).select(*keep, "_question.*")
+    drawn = df.withColumns(
+        {
+            "options_ok": F.coalesce(usable, F.lit(False)),
+            "_drawn": quizjson.drawn_options(options, correct, seed, row_key),
+        }
+    )
+    letters = F.array(*[F.lit(letter) for letter in quizjson.ANSWER_KEYS])
+    count = F.size("_drawn")
+    last_correct = count + 1 - F.array_position(F.reverse(F.col("_drawn.is_correct")), F.lit(True))
+    renamed = F.map_from_arrays(F.slice(letters, 1, count), F.col("_drawn.text"))
+    return drawn.withColumns(
+        {
+            "opciones": F.when(F.col("options_ok"), renamed).otherwise(options),
+            "respuesta_correcta": F.when(
+                F.col("options_ok"), F.get(letters, last_correct.cast("int") - 1)
+            ).otherwise(correct),
+        }
+    ).select(*df.columns, "options_ok")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradelake.functions.quizjson import answer_status
 from gradelake.operators.relations import filter_evaluative
 from gradelake.plans.ordering import instant_key
+from gradelake.schemas import POLICY_LABELS
 
 ATTEMPT_CELL = ["profile_name", "student_name", "variant_name"]
 
@@ -29,7 +30,7 @@ def score_attempts(answers: DataFrame) -> DataFrame:
 
 def grade_of(score: Column, total: Column, scale: float = 20.0) -> Column:
     """``score / total`` on a scale; 0 when there are no questions."""
-    return F.when(total > 0, score * F.lit(float(scale)) / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, score / total * F.lit(float(scale))).otherwise(F.lit(0.0))
 
 
 def grade_attempts(scores: DataFrame, scale: float = 20.0, total: str = "total_questions"):
@@ -39,6 +40,7 @@ def grade_attempts(scores: DataFrame, scale: float = 20.0, total: str = "total_q
 
 def _consolidate(policy: str) -> Column:
     """Aggregate that turns a group's grades into one."""
+    policy = POLICY_LABELS.get(policy, policy)
     if policy == "highest":
         return F.max("grade")
     if policy == "latest":
@@ -98,13 +100,19 @@ def gradebook(
         by_student = cells.groupBy("profile_name", "student_name")
         return by_student.pivot("variant_name", list(units)).agg(F.max("grade"))
 
+    policy = POLICY_LABELS.get(policy, policy)
+
     # One shuffle on (profile, student): each unit is a filtered aggregate of its own.
     def unit_grade(unit: str) -> Column:
         mine = F.col("variant_name") == unit
         grade = F.when(mine, F.col("grade"))
         if policy == "latest":
             return F.max_by(grade, F.when(mine, instant_key()))
-        return {"highest": F.max, "mean": F.avg}[policy](grade)
+        if policy == "highest":
+            return F.max(grade)
+        if policy == "mean":
+            return F.avg(grade)
+        raise ValueError(f"unknown grading policy: {policy}")
 
     return rows.groupBy("profile_name", "student_name").agg(
         *[unit_grade(unit).alias(unit) for unit in units]

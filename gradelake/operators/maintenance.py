@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradelake.operators.versions import latest_ids
-from gradelake.plans.ordering import MAX_GROUP_ROWS, with_position
+from gradelake.plans.ordering import with_position
 
 
 def append_attempts(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
@@ -31,7 +31,7 @@ def upsert_latest(
     keys: Sequence[str],
     order: str,
     id_column: str | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Insert or update by key; of several updates to a key the last by ``order`` wins.
 
@@ -70,7 +70,7 @@ def assign_ids(
     start: int,
     order: Sequence[str],
     name: str = "id",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Consecutive ids after ``start``, following ``order``."""
     placed = with_position(df, order, name=name, max_group_rows=max_group_rows)

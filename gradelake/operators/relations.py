@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions import text
 from gradelake.functions.quizjson import answer_status, parse_answers
-from gradelake.operators.documents import with_questions
+from gradelake.operators.documents import explode_items, with_questions
 from gradelake.plans.ordering import RANKING, with_position
 from gradelake.schemas import PASS_GRADE
 
@@ -124,9 +124,7 @@ def attempt_review(
     parsed = with_questions(attempts, snapshot, "_questions").withColumn(
         "_answers", parse_answers(F.col(answers))
     )
-    rows = parsed.select(
-        *keep, "_answers", F.posexplode_outer("_questions").alias("idx", "_question")
-    ).where(F.col("idx").isNotNull())
+    rows = explode_items(parsed, [*keep, "_answers"], "_questions", "idx", "_question")
     question = F.col("_question")
     answer = F.try_element_at("_answers", F.col("idx").cast("string"))
 

@@ -408,7 +408,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     status = quizjson.answer_status(F.col("answer"), F.col("respuesta_correcta"))
-    return v.answers().select("attempt_id", "idx", status.alias("status"))
+    return v.numbered_answers().select("attempt_id", "idx", status.alias("status"))
 
 
 _DISPLAY_SQL = """student_name as "Estudiante", variant_name as "Unidad",
@@ -917,8 +917,9 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     built = documents.assemble_quiz(v.question_rows(), ["attempt_id"])
     line = lambda q, i: F.concat_ws(":", i.cast("string"), q["pregunta"], q["respuesta_correcta"])
-    outline = F.transform(quizjson.parse_quiz(F.col("quiz_data_json")), line)
-    return built.select("attempt_id", F.array_join(outline, " ").alias("outline"))
+    decoded = documents.with_questions(built, "quiz_data_json")
+    outline = F.transform("questions", line)
+    return decoded.select("attempt_id", F.array_join(outline, " ").alias("outline"))
 
 
 @query(
@@ -928,7 +929,7 @@ def _(v: Views) -> DataFrame:
        from answers group by 1""",
 )
 def _(v: Views) -> DataFrame:
-    stored = documents.answers_map(v.answers(), ["attempt_id"])
+    stored = documents.answers_map(v.numbered_answers(), ["attempt_id"])
     decoded = F.map_entries(quizjson.parse_answers(F.col("student_answers_json")))
     line = lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("-")))
     outline = F.transform(F.array_sort(decoded), line)
@@ -972,7 +973,8 @@ def _(v: Views) -> DataFrame:
     drawn = documents.shuffle_questions(
         v.snapshots(), "seed", "attempt_id", "quiz_snapshot_json", limit=4
     )
-    return drawn.select("attempt_id", F.posexplode("questions").alias("_pos", "_q")).select(
+    rows = documents.explode_items(drawn, ["attempt_id"], "questions", "_pos", "_q")
+    return rows.select(
         "attempt_id",
         F.col("_q.original_idx").alias("original_idx"),
         (F.col("_pos") + 1).alias("place"),
@@ -1003,7 +1005,7 @@ def _(v: Views) -> DataFrame:
     options = F.create_map(
         F.lit("A"), F.lit("a"), F.lit("B"), F.lit("b"), F.lit("C"), third, F.lit("D"), F.lit("d")
     )
-    rows = v.answers().select(
+    rows = v.numbered_answers().select(
         "attempt_id",
         "idx",
         F.lit("q").alias("pregunta"),

@@ -58,7 +58,7 @@ def with_position(
     order: Sequence[str],
     keys: Sequence[str] = (),
     name: str = "position",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row within its group.
 
@@ -66,7 +66,8 @@ def with_position(
     however many executors there are, so then the rows are range-partitioned on
     (keys, order), numbered inside each range and shifted by the rows of earlier ranges.
     """
-    if largest_group(df, keys) <= max_group_rows:
+    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if largest_group(df, keys) <= limit:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*sort_columns(order))
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     return _ranged_position(df, order, keys, name)
@@ -158,7 +159,7 @@ def paginate_all(
     order: Sequence[str],
     keys: Sequence[str],
     size: int = 10,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Every row with its page number inside its group."""
     placed = with_position(df, order, keys, max_group_rows=max_group_rows)

@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.operators.documents import answers_document, quiz_document
+from gradelake.operators.documents import answers_document, question_json, quiz_document
 from gradelake.operators.grading import grade_attempts, score_attempts
 from gradelake.operators.maintenance import mark_active, replay_activation
+from gradelake.plans.ordering import with_position
 
 CONFIGS_PER_PROFILE = 4
 N_CONFIGS = 20
+# Order of the questions in an attempt; (order, line number) alone is not unique.
+LINE_ORDER = [
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+]
 
 
 def _letter(number):
@@ -32,33 +37,32 @@ class Views:
 
     def answers(self) -> DataFrame:
         """One row per question answered; a null answer was left open."""
-        part = F.col("question_id")
+        return self._lines().drop(*LINE_ORDER)
+
+    def numbered_answers(self) -> DataFrame:
+        """``answers`` with the question's place ``idx`` in its attempt, from 0."""
+        placed = with_position(self._lines(), LINE_ORDER, ["attempt_id"])
+        return placed.select(
+            "attempt_id",
+            (F.col("position") - 1).cast("int").alias("idx"),
+            "question_id",
+            "respuesta_correcta",
+            "answer",
+        )
+
+    def _lines(self) -> DataFrame:
+        part = F.col("l_partkey")
         given = (
             F.when(F.col("l_quantity") > 47, F.lit(None))
             .when(F.col("l_returnflag") != "R", _letter(part))
             .otherwise(_letter(part + 1))
         )
-        # Renamed before the window: grouping by attempt_id then reuses its partitioning.
-        lines = self.table("lineitem").select(
+        return self.table("lineitem").select(
             F.col("l_orderkey").alias("attempt_id"),
-            F.col("l_partkey").alias("question_id"),
-            "l_linenumber",
-            "l_suppkey",
-            "l_quantity",
-            "l_extendedprice",
-            "l_shipdate",
-            "l_returnflag",
-        )
-        in_attempt = Window.partitionBy("attempt_id").orderBy(
-            "l_linenumber", "question_id", "l_suppkey", "l_quantity", "l_extendedprice",
-            "l_shipdate",
-        )
-        return lines.select(
-            "attempt_id",
-            (F.row_number().over(in_attempt) - 1).alias("idx"),
-            "question_id",
+            part.alias("question_id"),
             _letter(part).alias("respuesta_correcta"),
             given.alias("answer"),
+            *LINE_ORDER,
         )
 
     def scores(self) -> DataFrame:
@@ -197,7 +201,7 @@ class Views:
         options = F.create_map(
             *[F.lit(x) for x in ("A", "a", "B", "b", "C", "c", "D", "d")]
         )
-        return self.answers().select(
+        return self.numbered_answers().select(
             "attempt_id",
             "idx",
             F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("pregunta"),
@@ -209,7 +213,8 @@ class Views:
 
     def snapshots(self) -> DataFrame:
         """Per attempt the quiz document and the answers, as the results table stores them."""
-        return self.question_rows().groupBy("attempt_id").agg(
+        rows = self.question_rows().withColumn("_question_json", question_json())
+        return rows.groupBy("attempt_id").agg(
             quiz_document().alias("quiz_snapshot_json"),
             answers_document().alias("student_answers_json"),
         )

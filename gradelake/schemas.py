@@ -88,6 +88,14 @@ QUESTION = T.StructType(
 # Fixed values of the configuration form.
 DIFFICULTIES = ["fácil/intermedio", "intermedio/avanzado", "avanzado/difícil"]
 DIFFICULTIES_EARLY = ["fácil", "intermedio", "intermedio/avanzado", "avanzado"]
+
+# Fixed names of the grading policies as the gradebook offers them.
+POLICY_LABELS = {
+    "Calificación más alta": "highest",
+    "Calificación más reciente": "latest",
+    "Promedio de calificaciones": "mean",
+}
+
 MIN_QUESTIONS = 3
 MAX_QUESTIONS = 12
 PASS_GRADE = 9.5

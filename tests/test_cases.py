@@ -45,6 +45,11 @@ def test_no_questions_gives_zero(spark):
     assert values(grading.grade_attempts(scores, 19.0), "grade") == [0.0, 7.125]
 
 
+def test_grade_divides_before_it_scales(spark):
+    scores = spark.createDataFrame([(1, 3), (2, 7)], "score int, total_questions int")
+    assert values(grading.grade_attempts(scores), "grade") == [1 / 3 * 20, 2 / 7 * 20]
+
+
 def test_grade_against_configured_total(spark):
     scores = spark.createDataFrame([(3, 5, 10)], "score int, total_questions int, planned int")
     assert values(grading.grade_attempts(scores, total="planned"), "grade") == [6.0]
@@ -82,6 +87,8 @@ def test_policies_and_time_ties(spark):
     assert by_policy["highest"] == {"u1": 18.0, "u2": 4.0}
     assert by_policy["latest"] == {"u1": 16.0, "u2": 4.0}
     assert by_policy["mean"] == {"u1": pytest.approx(44 / 3), "u2": 4.0}
+    labelled = grading.grade_policy(attempts, "Calificación más alta").collect()
+    assert {r["variant_name"]: r["grade"] for r in labelled} == by_policy["highest"]
     with pytest.raises(ValueError):
         grading.grade_policy(attempts, "median")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelake.operators import grading, maintenance, relations, versions
 from gradelake.plans import ordering
+from gradelake.plans.views import Views
 
 ROWS = 60_000
 
@@ -161,3 +162,24 @@ def test_one_unit_with_most_versions_and_copies(spark, attempts, rows):
     ))
     fresh = maintenance.append_attempts(attempts.where("id < 0"), copies)
     assert fresh.count() == ROWS // 2 + 1
+
+
+def test_answers_of_a_hot_attempt(spark, tmp_path, monkeypatch):
+    """Most answer lines belong to one attempt; numbered by ranges and by window alike."""
+    spark.range(0, 9000, 1, 4).select(
+        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("l_orderkey"),
+        (F.col("id") % 50).alias("l_partkey"),
+        F.col("id").alias("l_suppkey"),
+        (F.col("id") % 7).cast("int").alias("l_linenumber"),
+        (F.col("id") % 60).cast("double").alias("l_quantity"),
+        F.lit(1.0).alias("l_extendedprice"),
+        F.when(F.col("id") % 4 == 0, "R").otherwise("N").alias("l_returnflag"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("l_shipdate"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    views = Views(spark, str(tmp_path))
+    by_window = sorted(views.numbered_answers().collect(), key=str)
+    monkeypatch.setattr(ordering, "MAX_GROUP_ROWS", 100)
+    by_range = sorted(views.numbered_answers().collect(), key=str)
+    assert by_window == by_range and len(by_range) == 9000
+    places = [r["idx"] for r in by_range if r["attempt_id"] == 1]
+    assert sorted(places) == list(range(6000))
