@@ -12,17 +12,24 @@ from gradelake.operators.versions import latest_ids
 from gradelake.plans.ordering import with_position
 
 
-def append_attempts(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
+def append_attempts(
+    existing: DataFrame, batch: DataFrame, key: str | Sequence[str] = "id"
+) -> DataFrame:
     """Rows of ``batch`` not stored yet, each attempt once; the earliest save of it counts.
 
-    The stored table is cut down to the ids of the batch first, so a small batch reaches it as
-    a broadcast filter and only the id column is read.
+    Attempts that have no id yet can be told apart by several ``key`` columns. The stored table
+    is cut down to the keys of the batch first, so a small batch reaches it as a broadcast
+    filter and only the key columns are read.
     """
-    rest = [c for c in batch.columns if c not in (key, "ts")]
-    first_save = F.min(F.struct("ts", *rest)).alias("_row")
-    unique = batch.groupBy(key).agg(first_save).select(key, "_row.*")
-    stored = existing.select(key).join(batch.select(key), key, "left_semi")
-    return unique.join(stored, key, "left_anti").select(*batch.columns)
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = sorted((c for c in batch.columns if c not in keys), key=lambda c: c != "ts")
+    saves = batch.groupBy(*keys)
+    if rest:
+        unique = saves.agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+    else:
+        unique = batch.distinct()
+    stored = existing.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    return unique.join(stored, keys, "left_anti").select(*batch.columns)
 
 
 def upsert_latest(
@@ -105,22 +112,30 @@ def clear_results(results: DataFrame) -> DataFrame:
 
 
 def activate_new_version(quizzes: DataFrame, new: DataFrame) -> DataFrame:
-    """Add new versions as the active ones; older versions of their units become inactive."""
-    replaced = new.select("config_id").distinct().withColumn("_replaced", F.lit(True))
+    """Add new versions; the last one of each unit (highest id) is its only active version."""
     columns = quizzes.columns
-    older = quizzes.join(replaced, "config_id", "left").withColumn(
-        "is_active", F.when(F.col("_replaced"), F.lit(0)).otherwise(F.col("is_active"))
+    newest = new.groupBy("config_id").agg(F.max("id").alias("_newest"))
+    older = quizzes.join(newest, "config_id", "left").withColumn(
+        "is_active", F.when(F.col("_newest").isNull(), F.col("is_active")).otherwise(F.lit(0))
+    )
+    added = new.join(newest, "config_id").withColumn(
+        "is_active", (F.col("id") == F.col("_newest")).cast("int")
     )
-    added = new.withColumn("is_active", F.lit(1))
     return older.select(*columns).unionByName(added.select(*columns))
 
 
-def set_activation(quizzes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Apply on/off requests (``config_id``, ``is_active``; one per unit).
+def set_activation(
+    quizzes: DataFrame, requests: DataFrame, order: str | None = None
+) -> DataFrame:
+    """Apply on/off requests (``config_id``, ``is_active``) per unit.
 
-    Off clears every version of the unit; on leaves only the newest version active.
+    Off clears every version of the unit; on leaves only the newest version active. Of several
+    requests for a unit the last by ``order`` counts; without an order, any "on" does.
     """
-    wanted = requests.select("config_id", (F.col("is_active") == 1).alias("_on"))
+    on = F.col("is_active") == 1
+    wanted = requests.groupBy("config_id").agg(
+        (F.max_by(on, order) if order else F.max(on)).alias("_on")
+    )
     newest = latest_ids(quizzes).select("config_id", F.col("id").alias("_newest"))
     plan = wanted.join(newest, "config_id", "left")
     return quizzes.join(plan, "config_id", "left").select(

@@ -271,10 +271,8 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     switches = v.actions().where(F.col("act").isin("on", "off"))
-    requests = switches.groupBy("config_id").agg(
-        F.max_by((F.col("act") == "on").cast("int"), "action_id").alias("is_active")
-    )
-    changed = maintenance.set_activation(v.stored_quizzes(), requests)
+    requests = switches.withColumn("is_active", (F.col("act") == "on").cast("int"))
+    changed = maintenance.set_activation(v.stored_quizzes(), requests, "action_id")
     return changed.select("id", "config_id", "is_active")
 
 

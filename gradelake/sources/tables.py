@@ -15,9 +15,11 @@ _OFFSET = r"([+-]\d\d:?\d\d|Z)$"
 LOCAL_ZONE = "America/Caracas"
 
 
-def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+def read_table(
+    spark: SparkSession, name: str, path: str, fmt: str = "parquet", **options
+) -> DataFrame:
     """A stored table with its declared columns (no schema inference)."""
-    return spark.read.format(fmt).schema(TABLES[name]).load(path)
+    return spark.read.format(fmt).options(**options).schema(TABLES[name]).load(path)
 
 
 def read_database_table(
@@ -77,6 +79,11 @@ def replace_table(df: DataFrame, path: str) -> None:
     materialize(df, "replace").write.mode("overwrite").parquet(path)
 
 
+def _named(column: str) -> Column:
+    """A column whose name may hold dots or backticks, as unit names do."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def gradebook_folder(base: str, profile: str) -> str:
     """Where a profile's gradebook goes; spaces in its name become underscores."""
     return f"{base.rstrip('/')}/calificaciones_evaluativas_{profile.replace(' ', '_')}.csv"
@@ -87,7 +94,7 @@ def export_gradebook_csv(book: DataFrame, base: str, profile: str) -> str:
     units = sorted(c for c in book.columns if c not in ("profile_name", "student_name"))
     path = gradebook_folder(base, profile)
     rows = book.where(F.col("profile_name") == profile) if "profile_name" in book.columns else book
-    rows.select("student_name", *units).orderBy("student_name").write.mode("overwrite").csv(
+    rows.select("student_name", *map(_named, units)).orderBy("student_name").write.mode("overwrite").csv(
         path, header=True, nullValue="", emptyValue="", escape='"'
     )
     return path
@@ -97,4 +104,4 @@ def gradebook_display(book: DataFrame) -> DataFrame:
     """Grades as two-decimal text, a dash where there is none."""
     keys = [c for c in ("profile_name", "student_name") if c in book.columns]
     units = [c for c in book.columns if c not in keys]
-    return book.select(*keys, *[fmt_cell(F.col(u)).alias(u) for u in units])
+    return book.select(*keys, *[fmt_cell(_named(u)).alias(u) for u in units])

@@ -383,6 +383,19 @@ def test_append_is_idempotent_and_keeps_the_first_save(spark):
     assert first.columns == batch.columns
 
 
+def test_append_by_natural_key(spark):
+    batch = attempts_of(
+        spark, [(0, "ana", "u", 1, 2, 10, 60), (0, "ana", "u", 1, 2, 10, 60),
+                (0, "ana", "u", 2, 2, 20, 90)]
+    ).drop("id")
+    keys = ["student_name", "profile_name", "variant_name", "ts"]
+    stored = batch.where("score = 2")
+    fresh = maintenance.append_attempts(stored, batch, keys)
+    assert [r["score"] for r in fresh.collect()] == [1]
+    only_keys = maintenance.append_attempts(stored.select(*keys), batch.select(*keys), keys)
+    assert only_keys.count() == 1
+
+
 def quizzes_of(spark, rows):
     df = spark.createDataFrame(rows, "id long, config_id int, is_active int, second int")
     return df.withColumn("created_at", F.timestamp_seconds("second")).drop("second")
@@ -401,12 +414,22 @@ def test_activation(spark):
     assert flags(changed) == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
     assert changed.columns == quizzes.columns
 
-    new = quizzes_of(spark, [(6, 3, 0, 9)]).drop("is_active")
+    new = quizzes_of(spark, [(6, 3, 0, 9), (7, 4, 0, 9), (8, 4, 0, 8)]).drop("is_active")
     assert flags(maintenance.activate_new_version(quizzes, new)) == {
-        1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1,
+        1: 1, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 1,
     }
 
 
+def test_repeated_requests_do_not_repeat_versions(spark):
+    quizzes = quizzes_of(spark, [(1, 1, 1, 0), (2, 1, 0, 5)])
+    asked = spark.createDataFrame(
+        [(1, 1, 10), (1, 0, 20)], "config_id int, is_active int, seq int"
+    )
+    assert flags(maintenance.set_activation(quizzes, asked, "seq")) == {1: 0, 2: 0}
+    assert maintenance.set_activation(quizzes, asked, "seq").count() == 2
+    assert flags(maintenance.set_activation(quizzes, asked)) == {1: 0, 2: 1}
+
+
 def test_active_version_takes_the_lowest_id(spark):
     quizzes = quizzes_of(spark, [(3, 1, 1, 0), (2, 1, 1, 9), (1, 1, 0, 0)])
     assert [tuple(r)[:2] for r in versions.active_version(quizzes).collect()] == [(2, 1)]

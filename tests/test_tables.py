@@ -88,9 +88,22 @@ def test_gradebook_csv(spark, tmp_path):
     assert rows == [['Pérez, "Ana"', "", "20.0"], ["Álvarez", str(40 / 3), ""]]
 
 
-def test_gradebook_cells(spark):
-    book = spark.createDataFrame([("x", 7.125, None)], "student_name string, u1 double, u2 double")
-    assert tuple(tables.gradebook_display(book).first()) == ("x", "7.12", "-")
+def test_gradebook_cells(spark, tmp_path):
+    book = spark.createDataFrame(
+        [("x", 7.125, None)], "student_name string, `1.1 a``b` double, u2 double"
+    )
+    shown = tables.gradebook_display(book)
+    assert shown.columns == ["student_name", "1.1 a`b", "u2"]
+    assert tuple(shown.first()) == ("x", "7.12", "-")
+    path = tables.export_gradebook_csv(book, str(tmp_path), "p")
+    assert spark.read.csv(path, header=True).columns == shown.columns
+
+
+def test_csv_options(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    settings = spark.createDataFrame([("k", "v")], schemas.GLOBAL_SETTINGS)
+    settings.write.csv(path, header=True)
+    assert tables.read_table(spark, "global_settings", path, "csv", header=True).count() == 1
 
 
 def test_scan_orders_newest_first(spark):
