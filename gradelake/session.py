@@ -8,15 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str, master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the operators are written for; ``conf`` adds or overrides."""
+# Shuffle partition size aimed at: fits an executor's share of memory without spilling much.
+PARTITION_BYTES = 128 * 1024 * 1024
+# Beyond this many the driver is busy tracking blocks; partitions then grow and sorts spill.
+MAX_PARTITIONS = 50_000
+
+
+def shuffle_partitions(data_bytes: int) -> int:
+    """Shuffle partitions for that much shuffled data; AQE merges the ones that stay small."""
+    return min(MAX_PARTITIONS, max(200, -(-data_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app: str, master: str | None = None, data_bytes: int | None = None, **conf
+) -> SparkSession:
+    """A session with the settings the operators are written for; ``conf`` adds or overrides.
+
+    ``data_bytes`` is the size of the largest table that will be shuffled. AQE can merge shuffle
+    partitions but does not split them in an aggregate, so the number has to fit the data.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        **conf,
     }
+    if data_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(data_bytes))
+    settings.update(conf)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,15 @@ def normalize_attempt_ts(
     return df.withColumn(name, instant(F.col(source), naive_tz))
 
 
-def append_rows(df: DataFrame, path: str) -> None:
+def append_rows(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> None:
+    """Add rows to a Parquet table.
+
+    ``cluster_by``, such as ``["profile_name", "timestamp"]``, keeps equal values together, so
+    a filter on them skips most files by their statistics. Ranges split a hot value as long as
+    a later column varies.
+    """
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.mode("append").parquet(path)
 
 

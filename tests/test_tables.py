@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gradelake import schemas
 from gradelake.operators import maintenance, quality
+from gradelake.session import shuffle_partitions
 from gradelake.sources import tables
 
 
@@ -47,6 +48,29 @@ def test_append_replace_clear(spark, tmp_path):
     assert emptied.count() == 0 and emptied.columns == schemas.QUIZ_RESULTS.names
 
 
+def test_clustered_append_keeps_values_together(spark, tmp_path):
+    path = str(tmp_path / "clustered")
+    rows = spark.range(4000).select(
+        F.concat(F.lit("p"), (F.col("id") % 40).cast("string")).alias("profile_name"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.append_rows(rows, path, ["profile_name", "id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    assert stored.count() == 4000
+    files = stored.groupBy("profile_name").agg(F.countDistinct("file").alias("n")).collect()
+    assert max(r["n"] for r in files) <= 2
+    assert stored.select("file").distinct().count() > 4
+
+
+def test_partitions_follow_the_data():
+    assert shuffle_partitions(0) == 200
+    assert shuffle_partitions(10**12) == 7451
+    assert shuffle_partitions(100 * 10**12) == 50_000
+
+
 def test_older_tables_get_the_current_columns(spark):
     older = spark.createDataFrame([(1, "p", "u")], "id long, profile_name string, variant_name "
                                   "string")
