@@ -7,13 +7,17 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as a text strip sees it: Unicode spaces and the four separator controls.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every character a text strip removes.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace; ``trim`` alone removes only spaces."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def fmt_grade(grade: Column) -> Column:

@@ -135,6 +135,15 @@ def test_last_non_null_is_per_column(spark):
 # --- Text ------------------------------------------------------------------------------------
 
 
+def test_strip_removes_what_a_text_strip_removes(spark):
+    near_space = [chr(c) for c in (*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E,
+                                   *range(0x2000, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    cases = [f"{c}{c}a {c} b{c}" for c in near_space] + ["", " ", "\u3000\n", "é"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string").orderBy("i")
+    found = values(df.select(text.strip(F.col("t")).alias("x")))
+    assert found == [case.strip() for case in cases]
+
+
 def test_topics(spark):
     assert one(spark, text.split_topics(F.lit(" a, b,,\t c\n "))) == ["a", "b", "c"]
     assert one(spark, text.split_topics(F.lit(" , "))) == []
