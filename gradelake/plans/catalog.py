@@ -716,6 +716,19 @@ def _(v: Views) -> DataFrame:
     return page.select("id", "student_name", _grade())
 
 
+@query(
+    "paginate_deep",
+    """select id, student_name, round(grade, 6) as grade from attempts
+       order by grade desc, ts desc, id limit 10
+       offset (select (count(*) // 20) * 10 from orders)""",
+)
+def _(v: Views) -> DataFrame:
+    attempts = v.attempts()
+    middle = attempts.count() // 20 + 1
+    page = ordering.paginate(attempts, ordering.RANKING, middle)
+    return page.select("id", "student_name", _grade())
+
+
 @query(
     "paginate_past_end",
     """select id, student_name, round(grade, 6) as grade from attempts

@@ -18,8 +18,9 @@ RANKING = ["-grade", "-ts", "id"]
 
 # Largest group handed to a single window task; larger ones are split by range.
 MAX_GROUP_ROWS = 1_000_000
-# Most rows a top-k page read may keep; deeper pages are cut out of a ranged order.
-MAX_TOP_ROWS = 100_000
+# Most rows a top-k page read may keep. Every task hands over that many, so thousands of tasks
+# make a deep top-k heavy on one place; deeper pages are found by position.
+MAX_TOP_ROWS = 500
 
 
 def sort_columns(order: Sequence[str], reverse: bool = False) -> list[Column]:
@@ -126,20 +127,21 @@ def paginate(
     order: Sequence[str],
     page: int,
     size: int = 10,
-    max_top_rows: int = MAX_TOP_ROWS,
+    max_top_rows: int | None = None,
 ) -> DataFrame:
     """Rows of one page; a page number past the end gives the last page.
 
     Pages near either end are top-k reads, which keep a bounded number of rows per task.
     Pages deep in a long listing are cut out by position instead.
     """
+    top_rows = MAX_TOP_ROWS if max_top_rows is None else max_top_rows
     total = df.count()
     pages = max(1, -(-total // size))
     skip = (min(max(page, 1), pages) - 1) * size
     remaining = total - skip
-    if skip + size <= max_top_rows:
+    if skip + size <= top_rows:
         return df.orderBy(*sort_columns(order)).offset(skip).limit(size)
-    if remaining <= max_top_rows:
+    if remaining <= top_rows:
         tail = df.orderBy(*sort_columns(order, reverse=True)).limit(remaining)
         return tail.orderBy(*sort_columns(order)).limit(size)
     return _cut_out(df, order, skip, size)

@@ -10,7 +10,10 @@ from __spark_entry__ import SMOKE_FOLDER, queries
 from gradelake.plans.views import Views
 
 # Queries whose window over everything runs only on rows counted beforehand.
-COUNTED = {"assign_ids", "assign_ids_ranged", "upsert_latest", "has_any_quiz", "activity_overview"}
+COUNTED = {
+    "assign_ids", "assign_ids_ranged", "upsert_latest", "has_any_quiz", "activity_overview",
+    "paginate_deep",
+}
 
 
 def plan_of(df) -> str:
