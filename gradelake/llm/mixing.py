@@ -14,7 +14,9 @@ CYCLE = (1, 2, 3)
 SEED = 20
 # Ranks are first summed in this many equal steps of the ranking variable; only the step in
 # which a source's sample ends is then ordered row by row.
-STEPS = 1 << 16
+STEPS = 1 << 12
+# Documents added at most to bring a sample of a source nearer to its target.
+COMPLETIONS = 3
 
 
 def shares(
@@ -100,7 +102,7 @@ def rank_value(u: Column, size: Column, plan: dict[str, Column]) -> Column:
 def ends(rows: DataFrame, plan: DataFrame, steps: int = STEPS) -> DataFrame:
     """``plan`` with ``last``: the largest rank value of a source that its sample takes.
 
-    A source's documents are taken by rank until the words taken come nearest to the rest. Words
+    A source's documents are taken by rank as long as their words stay within the rest. Words
     are summed per step of the rank first, so no task meets a whole source; the step in which
     the sum passes the rest holds about one in ``steps`` of a source's rows.
     """
@@ -129,36 +131,78 @@ def ends(rows: DataFrame, plan: DataFrame, steps: int = STEPS) -> DataFrame:
     inside = inside.groupBy("source", "before", "rest", "rank").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("taken", F.col("before") + F.sum("words").over(upto))
-    over, under = F.col("taken") - F.col("rest"), F.col("rest") - F.col("taken") + F.col("words")
-    fits = (F.col("taken") <= F.col("rest")) | (over < under)
+    fits = F.col("taken") <= F.col("rest")
     last = inside.groupBy("source").agg(
-        F.max(F.when(fits & (F.col("rest") > F.col("taken") - F.col("words")), F.col("rank")))
-        .alias("last"),
+        F.max(F.when(fits, F.col("rank"))).alias("last"),
+        F.max(F.when(fits, F.col("taken"))).alias("sampled"),
+        F.max("before").alias("before"),
         F.min("rank").alias("first"),
     )
     # With nothing taken inside the step, the sample ends just below it.
     last = last.select(
         F.col("source").alias("end_source"),
         F.coalesce("last", F.col("first") * F.lit(1 - 1e-15)).alias("last"),
+        F.coalesce("sampled", "before").alias("sampled"),
     )
-    return plan.join(last, F.col("source").eqNullSafe(F.col("end_source")), "left").drop(
+    found = plan.join(last, F.col("source").eqNullSafe(F.col("end_source")), "left").drop(
         "end_source"
     )
+    return _completed(rows, settled(found, "sample-ends"))
+
+
+def _completed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``extra``: random numbers of the documents that complete a sample.
+
+    The first document that no longer fits may be long. Of all documents left, the one whose
+    size is nearest to the words still missing is added if that brings the source nearer to its
+    target; two rounds add what fits, the last one may go over.
+    """
+    columns = {c: F.col(c) for c in plan.columns}
+    plan = plan.withColumn("extra", F.array().cast("array<double>"))
+    for top_up in range(COMPLETIONS):
+        missing = F.col("rest") - F.col("sampled")
+        off = F.abs(F.col("size") - missing)
+        left = rows.where(F.col("size") > 0).join(
+            plan.where(missing > 0).withColumnRenamed("source", "plan_source"),
+            F.col("source").eqNullSafe(F.col("plan_source")),
+        )
+        left = left.where(
+            (rank_value(F.col("u"), F.col("size"), columns) > F.col("last"))
+            & ~F.array_contains("extra", F.col("u"))
+            & (off < missing)
+        )
+        if top_up < COMPLETIONS - 1:
+            left = left.where(F.col("size") <= missing)
+        # The random number breaks ties; it moves no choice between sizes that differ by more.
+        key = off + F.col("u") * 1e-6
+        nearest = left.groupBy(F.col("source").alias("near_source")).agg(
+            F.min_by("u", key).alias("near"), F.min_by("size", key).alias("near_size")
+        )
+        plan = plan.join(nearest, F.col("source").eqNullSafe(F.col("near_source")), "left")
+        more = F.when(F.col("near").isNull(), F.col("extra")).otherwise(
+            F.array_append("extra", F.col("near"))
+        )
+        plan = plan.withColumns(
+            {"extra": more, "sampled": F.col("sampled") + F.coalesce("near_size", F.lit(0))}
+        ).drop("near_source", "near", "near_size")
+        plan = settled(plan, "completed")
+    return plan
 
 
 def planned(rows: DataFrame) -> DataFrame:
     """``measured`` rows to one row per source with everything that decides its copies."""
     plan = source_plan(rows)
-    return settled(ends(rows, plan), "mix").select(
+    return ends(rows, plan).select(
         F.col("source").alias("plan_source"),
-        "source_size", "docs", "target", "whole", "rest", "last",
+        "source_size", "docs", "target", "whole", "rest", "last", "extra",
     )
 
 
 def copies(u: Column, size: Column, plan: dict[str, Column]) -> Column:
     """How often a document is taken: the certain whole copies, and one if it is sampled."""
-    sampled = (size > 0) & (rank_value(u, size, plan) <= plan["last"])
-    return plan["whole"] + F.coalesce(sampled, F.lit(False)).cast("bigint")
+    ranked = F.coalesce(rank_value(u, size, plan) <= plan["last"], F.lit(False))
+    sampled = (size > 0) & (ranked | F.coalesce(F.array_contains(plan["extra"], u), F.lit(False)))
+    return plan["whole"] + sampled.cast("bigint")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -184,7 +228,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     plan = planned(measured(docs))
     plan = plan.select([F.col(c).alias(fresh(docs, f"mix_{c}")) for c in plan.columns])
-    names = ["source", "source_size", "docs", "target", "whole", "rest", "last"]
+    names = ["source", "source_size", "docs", "target", "whole", "rest", "last", "extra"]
     parts = dict(zip(names, [F.col(c) for c in plan.columns], strict=True))
     joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(parts["source"]))
     size, u = word_count(docs["text"]), uniform(docs["doc_id"], docs["text"])

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import mixing, packing, simhash
+from gradelake.llm import language, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality.op1,
+    "op4_language_id": language.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_mixing_sources": mixing.op6,
     "op10_best_fit_packing": packing.op10,
