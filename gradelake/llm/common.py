@@ -53,7 +53,9 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(
-    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
+    schema: str,
 ) -> DataFrame:
     """``mapInArrow`` batch by batch, in batches small enough for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

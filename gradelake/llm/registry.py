@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import language, mixing, packing, quality, simhash
+from gradelake.llm import html, language, lm, mixing, packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
+    "op3_html_extraction": html.op3,
     "op4_language_id": language.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_mixing_sources": mixing.op6,
+    "op8_token_counts": tokens.op8,
+    "op9_lm_scoring": lm.op9,
     "op10_best_fit_packing": packing.op10,
 }
 
