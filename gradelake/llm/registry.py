@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import html, language, lm, mixing, packing, quality, simhash, tokens
+from gradelake.llm import embeddings, html, language, lm, mixing, packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_mixing_sources": mixing.op6,
+    "op7_embedding_near_dedup": embeddings.op7,
     "op8_token_counts": tokens.op8,
     "op9_lm_scoring": lm.op9,
     "op10_best_fit_packing": packing.op10,
