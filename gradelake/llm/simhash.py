@@ -261,8 +261,9 @@ def drop_near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataF
     named = groups.where(F.col("doc_id") == F.col("component_id"))
     counts = settled(named.groupBy("doc_id").count(), "kept")
     key = fresh(docs, "kept_id")
+    # Texts are shuffled once, in the same way at every size.
     once, often = [
-        counts.where(condition).select(F.col("doc_id").alias(key))
+        counts.where(condition).select(F.col("doc_id").alias(key)).hint("shuffle_hash")
         for condition in (F.col("count") == 1, F.col("count") > 1)
     ]
     single = docs.join(once, docs["doc_id"] == F.col(key), "left_semi")
