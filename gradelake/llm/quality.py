@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import WORD, table, words
+from gradelake.llm.common import WORD, let, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -24,15 +22,6 @@ THRESHOLD = -0.1
 SMOOTHING = 1.0
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once per row, however often ``body`` names it.
-
-    A plain column would be copied into every lambda that names it when Spark merges
-    projections or pushes a filter down.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def grams(w: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of every word and of every two adjacent words, repeats included."""
 

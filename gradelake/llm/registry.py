@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import embeddings, html, language, lm, mixing, packing, quality, simhash, tokens
+from gradelake.llm import embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
+    "op2_license_scans": licenses.op2,
     "op3_html_extraction": html.op3,
     "op4_language_id": language.op4,
     "op5_simhash_near_dedup": simhash.op5,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": packing.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}

@@ -10,12 +10,13 @@ from typing import ClassVar
 import numpy as np
 
 # Words remembered per Python worker; the memo is emptied when it is full and fills anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1 << 20
 # Mark of a token that ends a run of letters.
 WORD_END = "</w>"
 
 # Control characters that Python alone counts as white space.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
+_MARKS = re.compile(r"[^\w\s][.,]")
 _SPACE = re.compile(r"[ \n\t\r]+")
 
 
@@ -85,6 +86,7 @@ class WordIds:
         if len(self.memo) > MEMO_WORDS:
             self._forget()
         memo = self.memo
+        texts = [self._plain(text) for text in texts]
         split = [_SPACE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
         ids = [list(map(memo.get, words)) for words in split]
         partial = [k for k, found in enumerate(ids) if None in found]
@@ -102,6 +104,24 @@ class WordIds:
                     found[at] = memo[word]
         return [b"".join(found) for found in ids]
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """``text`` with fewer different words and the same ids."""
+        if "<|" in text:  # special tokens are told apart by case
+            return text
+        try:
+            text.encode("latin-1")  # letters whose lower case does not depend on the library
+        except UnicodeEncodeError:
+            return text
+        text = text.lower()
+        if _MARKS.search(text):  # runs of marks are tokens of their own
+            return text
+        for mark in (". ", ".\n"):
+            text = text.replace(mark, " . ")
+        for mark in (", ", ",\n"):
+            text = text.replace(mark, " , ")
+        return text
+
     @staticmethod
     def _bare(word: str) -> str:
         if "<|" in word:  # special tokens are told apart by case
