@@ -37,9 +37,9 @@ def normalise(text: str) -> bytes:
 class Automaton:
     """Suffix automaton of a sample, as a dense table for parsing many texts at once.
 
-    ``step[state, symbol]`` is twice the next state, plus one where a longest match ends before
-    the symbol and a new phrase begins with it. Symbols that the sample lacks share the last
-    column: they are phrases of their own.
+    ``step[state, symbol]`` is twice the next state, plus one where a new phrase begins with the
+    symbol: at the root, and where the longest match ends before it. Symbols that the sample
+    lacks share the last column: they are phrases of their own and lead back to the root.
     """
 
     def __init__(self, sample: bytes):
@@ -75,8 +75,7 @@ class Automaton:
         self.step = np.tile(afresh, (len(follow), 1))
         for state, edges in enumerate(follow):
             for symbol, target in edges.items():
-                self.step[state, self.column[symbol]] = 2 * target
-        # The first phrase of a text begins at the root and is counted at its end.
+                self.step[state, self.column[symbol]] = 2 * target + (state == 0)
         self.width = len(symbols) + 1
 
     def phrases(self, block: np.ndarray, alive: np.ndarray) -> np.ndarray:
@@ -87,7 +86,7 @@ class Automaton:
         table, width = self.step.ravel(), self.width
         columns = self.column[block.T]
         state = np.zeros(len(block), np.int32)
-        count = np.ones(len(block), np.int32)
+        count = np.zeros(len(block), np.int32)
         for symbols, rows in zip(columns, alive.tolist(), strict=True):
             found = table[state[:rows] * width + symbols[:rows]]
             count[:rows] += found & 1

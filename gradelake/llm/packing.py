@@ -71,12 +71,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     used, huge = 0, np.iinfo(np.int64).max
     for k, size in enumerate(lengths.tolist()):
-        # Change of the sum, halved and without the part that all choices share.
-        change = counts[: capacity + 1 - size] - counts[size:]
+        # Change of the sum, less the 2 of a bin that moves from one gap to another.
+        change = 2 * (counts[: capacity + 1 - size] - counts[size:])
         change[0] -= 1  # a filled bin leaves the count
         change[counts[size:] == 0] = huge
         best = int(change.argmin())
-        anew = counts[capacity - size] - 0.5 if size < capacity else -0.5
+        anew = 2 * counts[capacity - size] - 1 if size < capacity else -2
         if change[best] <= anew:
             gap = best + size
             at = open_bins[gap].pop()

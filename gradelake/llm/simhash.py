@@ -188,14 +188,10 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     index = _keys(fps, masks, tags)
     probes = None
     for (tag, group, t), mask in zip(used, masks, strict=True):
+        own = F.col("fp").bitwiseAND(F.lit(mask))
         flips = F.array(*[F.lit(f) for f in _flips(group, t)])
-        rows = fps.select(
-            "fp",
-            F.lit(tag).alias("part"),
-            F.explode(
-                F.transform(flips, lambda f, m=mask: F.col("fp").bitwiseAND(F.lit(m)).bitwiseXOR(f))
-            ).alias("key"),
-        )
+        keys = F.transform(flips, own.bitwiseXOR)
+        rows = fps.select("fp", F.lit(tag).alias("part"), F.explode(keys).alias("key"))
         probes = rows if probes is None else probes.union(rows)
     sizes = index.groupBy("part", "key").count().where(F.col("count") > PAIRED_BUCKET)
     crowded = settled(sizes.select("part", "key"), "crowded")
