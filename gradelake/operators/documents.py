@@ -76,10 +76,25 @@ def quiz_document(question: str = "_question_json") -> Column:
     return F.concat(F.lit("["), F.array_join(ordered[question], ","), F.lit("]"))
 
 
-def answers_document() -> Column:
-    """Aggregate: the answers of a group as one JSON map, question position as string key."""
-    pairs = F.collect_list(F.struct(F.col("idx").cast("string"), F.col("answer")))
-    return quizjson.quiz_json(F.map_from_entries(pairs))
+def answers_document(order: str | None = None) -> Column:
+    """Aggregate: the answers of a group as one JSON map, question position as string key.
+
+    Of several answers to a question the last by ``order`` stays. The list is bounded by the
+    length of a quiz.
+    """
+    last = F.col(order) if order else F.lit(0)
+    given = F.sort_array(F.collect_list(F.struct("idx", last.alias("o"), "answer")))
+
+    def document(answers: Column) -> Column:
+        kept = F.filter(
+            answers, lambda x, k: F.coalesce(F.get(answers, k + 1)["idx"] != x["idx"], F.lit(True))
+        )
+        return F.map_from_entries(
+            F.transform(kept, lambda x: F.struct(x["idx"].cast("string"), x["answer"]))
+        )
+
+    # A one-element transform: the sorted list is made once and named in the lambda.
+    return quizjson.quiz_json(F.get(F.transform(F.array(given), document), F.lit(0)))
 
 
 def assemble_quiz(
@@ -91,10 +106,13 @@ def assemble_quiz(
 
 
 def answers_map(
-    answers: DataFrame, keys: Sequence[str], name: str = "student_answers_json"
+    answers: DataFrame,
+    keys: Sequence[str],
+    name: str = "student_answers_json",
+    order: str | None = None,
 ) -> DataFrame:
-    """Answer rows to one JSON map per attempt."""
-    return answers.groupBy(*keys).agg(answers_document().alias(name))
+    """Answer rows to one JSON map per attempt; a repeated answer overwrites the one before."""
+    return answers.groupBy(*keys).agg(answers_document(order).alias(name))
 
 
 def normalize_options(df: DataFrame, column: str = "opciones") -> DataFrame:

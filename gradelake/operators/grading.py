@@ -14,11 +14,6 @@ from gradelake.schemas import POLICY_LABELS
 
 ATTEMPT_CELL = ["profile_name", "student_name", "variant_name"]
 
-# Up to this many units the gradebook is one aggregate; past it Spark's two-step pivot is used,
-# because the one-step form tests every unit on every row.
-MAX_DIRECT_UNITS = 64
-
-
 def score_attempts(answers: DataFrame) -> DataFrame:
     """Correct answers and questions per attempt; an unanswered question never counts."""
     correct = answer_status(F.col("answer"), F.col("respuesta_correcta")) == "correct"
@@ -67,56 +62,46 @@ def grade_mean(attempts: DataFrame) -> DataFrame:
     return grade_policy(attempts, "mean")
 
 
-def gradebook_units(
-    attempts: DataFrame, configs: DataFrame, profile: str | None = None
-) -> list[str]:
-    """Names of the evaluative units that have attempts, sorted: the gradebook's columns.
-
-    Refuses more than Spark allows for a pivot; use ``grade_policy`` rows for such tables.
-    """
-    rows = attempts if profile is None else attempts.where(F.col("profile_name") == profile)
-    limit = int(attempts.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    names = filter_evaluative(rows, configs).select("variant_name").distinct().limit(limit + 1)
-    units = sorted(row[0] for row in names.collect())
-    if len(units) > limit:
-        raise ValueError(f"more than {limit} units: too many columns for one gradebook")
-    return units
+def gradebook_units(attempts: DataFrame, configs: DataFrame, profile: str) -> list[str]:
+    """Names of a subject's evaluative units that have attempts, sorted: its gradebook's columns."""
+    rows = filter_evaluative(attempts.where(F.col("profile_name") == profile), configs)
+    return sorted(row[0] for row in rows.select("variant_name").distinct().collect())
 
 
 def gradebook(
     attempts: DataFrame,
     configs: DataFrame,
     policy: str = "highest",
-    units: Sequence[str] | None = None,
     profile: str | None = None,
+    units: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per student, one column per evaluative unit, null where there is no attempt."""
+    """One row per student of a subject, one column per evaluative unit, null without attempts.
+
+    The columns are ``units``, or else the subject's units with attempts. Grades are brought to
+    one per student and unit first, then spread over the columns. Without a ``profile`` the
+    units have to be given. ``gradebook_rows`` holds the same grades for all subjects.
+    """
+    if profile is not None:
+        attempts = attempts.where(F.col("profile_name") == profile)
     if units is None:
+        if profile is None:
+            raise ValueError("name the subject, or the units to make columns of")
         units = gradebook_units(attempts, configs, profile)
-    rows = attempts if profile is None else attempts.where(F.col("profile_name") == profile)
-    rows = filter_evaluative(rows, configs).where(F.col("variant_name").isin(list(units)))
-    if len(units) > MAX_DIRECT_UNITS:
-        cells = grade_policy(rows, policy)
-        by_student = cells.groupBy("profile_name", "student_name")
-        return by_student.pivot("variant_name", list(units)).agg(F.max("grade"))
+    cells = gradebook_rows(attempts.where(F.col("variant_name").isin(list(units))), configs, policy)
+    by_student = cells.groupBy("profile_name", "student_name")
+    if not units:
+        return by_student.agg(F.count(F.lit(1)).alias("_")).drop("_")
+    return by_student.agg(
+        *[
+            F.max(F.when(F.col("variant_name") == unit, F.col("grade"))).alias(unit)
+            for unit in units
+        ]
+    )
 
-    policy = POLICY_LABELS.get(policy, policy)
 
-    # One shuffle on (profile, student): each unit is a filtered aggregate of its own.
-    def unit_grade(unit: str) -> Column:
-        mine = F.col("variant_name") == unit
-        grade = F.when(mine, F.col("grade"))
-        if policy == "latest":
-            return F.max_by(grade, F.when(mine, instant_key()))
-        if policy == "highest":
-            return F.max(grade)
-        if policy == "mean":
-            return F.avg(grade)
-        raise ValueError(f"unknown grading policy: {policy}")
-
-    return rows.groupBy("profile_name", "student_name").agg(
-        *[unit_grade(unit).alias(unit) for unit in units]
-    )
+def gradebook_rows(attempts: DataFrame, configs: DataFrame, policy: str = "highest") -> DataFrame:
+    """The gradebook of all subjects as rows: subject, student, evaluative unit, grade."""
+    return grade_policy(filter_evaluative(attempts, configs), policy)
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:

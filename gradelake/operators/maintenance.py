@@ -12,23 +12,50 @@ from gradelake.operators.versions import latest_ids
 from gradelake.plans.ordering import with_position
 
 
+def _whole_number(df: DataFrame, order: str) -> Column:
+    """An order column as a whole number; times as microseconds."""
+    if order not in df.columns:
+        raise ValueError(f"no column {order} to order by")
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.StringType):
+        return F.unix_micros(F.col(order).try_cast("timestamp"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(order).cast("bigint")
+    raise ValueError(f"{order} is neither a time nor a whole number")
+
+
+def _winners(df: DataFrame, keys: Sequence[str], order: str, latest: bool) -> DataFrame:
+    """One row per key: the last, or the first, by ``order``; a null order loses to any other.
+
+    Equal orders are told apart by a hash of the row. The winner is found on the key and one
+    fixed-width number, so wide columns stay out of the aggregate, and then fetched.
+    """
+    span = F.lit("9223372036854775808").cast("decimal(19,0)")
+    missing = F.lit("-9223372036854775808" if latest else "9223372036854775807")
+    number = F.coalesce(_whole_number(df, order).cast("decimal(19,0)"),
+                        missing.cast("decimal(19,0)"))
+    spread = F.shiftrightunsigned(F.xxhash64(*df.columns), 1).cast("decimal(19,0)")
+    ranked = df.withColumn("_rank", number * span + spread)
+    best = F.max("_rank") if latest else F.min("_rank")
+    chosen = ranked.groupBy(*keys).agg(best.alias("_rank"))
+    # Rows that share key and rank are copies of each other.
+    return ranked.join(chosen, [*keys, "_rank"], "left_semi").drop("_rank").distinct()
+
+
 def append_attempts(
-    existing: DataFrame, batch: DataFrame, key: str | Sequence[str] = "id"
+    existing: DataFrame, batch: DataFrame, key: str | Sequence[str] = "id", order: str = "ts"
 ) -> DataFrame:
-    """Rows of ``batch`` not stored yet, each attempt once; the earliest save of it counts.
+    """Rows of ``batch`` not stored yet, each attempt once; its earliest save by ``order`` counts.
 
-    Attempts that have no id yet can be told apart by several ``key`` columns. The stored table
-    is cut down to the keys of the batch first, so a small batch reaches it as a broadcast
-    filter and only the key columns are read.
+    Saves without a time come last. Attempts that have no id yet can be told apart by several
+    ``key`` columns. The stored table is cut down to the keys of the batch first, so a small
+    batch reaches it as a broadcast filter and only the key columns are read.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = sorted((c for c in batch.columns if c not in keys), key=lambda c: c != "ts")
-    saves = batch.groupBy(*keys)
-    if rest:
-        unique = saves.agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
-    else:
-        unique = batch.distinct()
     stored = existing.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    unique = _winners(batch, keys, order, latest=False)
     return unique.join(stored, keys, "left_anti").select(*batch.columns)
 
 
@@ -38,49 +65,45 @@ def upsert_latest(
     keys: Sequence[str],
     order: str,
     id_column: str | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Insert or update by key; of several updates to a key the last by ``order`` wins.
 
-    An updated row keeps its id and the columns the updates do not carry; a new row gets the
-    next ids, in the order the keys first appeared.
+    An update without an order is the earliest. An updated row keeps its id and the columns the
+    updates do not carry; a new row gets the next ids, in the order the keys first appeared.
+    Updates are joined to the target, not the other way round, so a small batch is broadcast.
     """
     carried = [c for c in updates.columns if c not in (*keys, order)]
-    newest = updates.groupBy(*keys).agg(
-        *[F.max_by(c, order).alias(f"_new_{c}") for c in carried],
-        F.min(order).alias("_first_seen"),
+    newest = _winners(updates, keys, order, latest=True).select(
+        *keys, *[F.col(c).alias(f"_new_{c}") for c in carried], F.lit(True).alias("_updated")
     )
-    updated = F.col("_first_seen").isNotNull()
 
     def merged_value(column: str) -> Column:
         if column in carried:
-            return F.when(updated, F.col(f"_new_{column}")).otherwise(F.col(column))
+            return F.when(F.col("_updated"), F.col(f"_new_{column}")).otherwise(F.col(column))
         return F.col(column)
 
-    stored = target.withColumn("_stored", F.lit(True))
-    merged = stored.join(newest, list(keys), "full_outer").select(
-        *[merged_value(c).alias(c) for c in target.columns], "_stored", "_first_seen"
+    kept = target.join(newest, list(keys), "left").select(
+        *[merged_value(c).alias(c) for c in target.columns]
     )
+    added = newest.join(target.select(*keys), list(keys), "left_anti").select(
+        *keys, *[F.col(f"_new_{c}").alias(c) for c in carried]
+    )
+    for field in target.schema:
+        if field.name not in added.columns:
+            added = added.withColumn(field.name, F.lit(None).cast(field.dataType))
     if id_column is None:
-        return merged.select(*target.columns)
-    kept = merged.where(F.col("_stored")).select(*target.columns)
-    added = merged.where(F.col("_stored").isNull()).drop(id_column)
+        return kept.unionByName(added.select(*target.columns))
+    seen = updates.groupBy(*keys).agg(F.min(_whole_number(updates, order)).alias("_first_seen"))
     start = target.agg(F.max(id_column)).first()[0] or 0
     numbered = assign_ids(
-        added, start, ["_first_seen", *keys], id_column, max_group_rows
+        added.drop(id_column).join(seen, list(keys)), start, ["_first_seen", *keys], id_column
     ).withColumn(id_column, F.col(id_column).cast(target.schema[id_column].dataType))
     return kept.unionByName(numbered.select(*target.columns))
 
 
-def assign_ids(
-    df: DataFrame,
-    start: int,
-    order: Sequence[str],
-    name: str = "id",
-    max_group_rows: int | None = None,
-) -> DataFrame:
+def assign_ids(df: DataFrame, start: int, order: Sequence[str], name: str = "id") -> DataFrame:
     """Consecutive ids after ``start``, following ``order``."""
-    placed = with_position(df, order, name=name, max_group_rows=max_group_rows)
+    placed = with_position(df, order, name=name)
     return placed.withColumn(name, F.col(name) + F.lit(start))
 
 
@@ -170,15 +193,22 @@ def mark_active(quizzes: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def evolve_schema(
-    parts: Sequence[DataFrame], target: T.StructType, defaults: dict[str, object] | None = None
+    parts: Sequence[DataFrame],
+    target: T.StructType,
+    defaults: dict[str, object] | None = None,
+    drop_undeclared: bool = False,
 ) -> DataFrame:
     """Bring tables written by older versions to the current columns and join them up.
 
-    A table that lacks a column gets its default there; nulls already stored stay null.
+    A table that lacks a column gets its default there; nulls already stored stay null. A column
+    that is not declared is an error unless ``drop_undeclared`` says to leave it out.
     """
     defaults = defaults or {}
     aligned = []
     for part in parts:
+        undeclared = [c for c in part.columns if c not in target.fieldNames()]
+        if undeclared and not drop_undeclared:
+            raise ValueError(f"undeclared columns: {', '.join(undeclared)}")
         columns = [
             (F.col(f.name) if f.name in part.columns else F.lit(defaults.get(f.name)))
             .cast(f.dataType)

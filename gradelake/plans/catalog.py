@@ -121,10 +121,10 @@ def _(v: Views) -> DataFrame:
     attempts = v.attempts()
     recent = F.col("ts") >= F.lit("1998-01-01").cast("timestamp_ntz")
     snapshots = v.snapshots().select(F.col("attempt_id").alias("id"), "quiz_snapshot_json")
-    current = attempts.where(recent).join(snapshots, "id", "left")
+    current = attempts.where(recent).select("id", "grade").join(snapshots, "id", "left")
     target = T.StructType().add("id", "long").add("grade", "double")
     target = target.add("quiz_snapshot_json", "string")
-    whole = maintenance.evolve_schema([attempts.where(~recent), current], target)
+    whole = maintenance.evolve_schema([attempts.where(~recent).select("id", "grade"), current], target)
     return whole.select(
         "id", _grade(), F.col("quiz_snapshot_json").isNotNull().alias("has_snapshot")
     )
@@ -239,14 +239,13 @@ def _(v: Views) -> DataFrame:
                         order by created_at desc, id desc) as rn
                       from quizzes where created_at < '2024-01-16'),
        fresh as (select q.*, row_number() over (partition by config_id
-                        order by created_at desc, q.id desc) as rn
-                 from quizzes q join configs c on c.id = q.config_id and c.show_feedback = 0
-                 where created_at >= '2024-01-16')
+                        order by q.id desc) as rn
+                 from quizzes q where created_at >= '2024-01-16')
        select id, config_id, cast(case when rn = 1 and config_id not in
               (select config_id from fresh) then 1 else 0 end as int) as is_active
        from older
        union all
-       select id, config_id, cast(1 as int) from fresh where rn = 1""",
+       select id, config_id, cast(case when rn = 1 then 1 else 0 end as int) from fresh""",
 )
 def _(v: Views) -> DataFrame:
     quizzes = v.quizzes()
@@ -254,9 +253,8 @@ def _(v: Views) -> DataFrame:
     older = quizzes.where(F.col("created_at") < cut)
     newest = versions.latest_ids(older).select(F.col("id").alias("active_id"))
     stored = maintenance.mark_active(older, newest)
-    evaluative = v.configs().where("show_feedback = 0").select(F.col("id").alias("config_id"))
-    recent = quizzes.where(F.col("created_at") >= cut).join(evaluative, "config_id", "left_semi")
-    changed = maintenance.activate_new_version(stored, versions.latest_version(recent))
+    recent = quizzes.where(F.col("created_at") >= cut)
+    changed = maintenance.activate_new_version(stored, recent)
     return changed.select("id", "config_id", "is_active")
 
 
@@ -296,7 +294,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     attempts = v.attempts().select("id", "ts")
-    numbered = maintenance.assign_ids(attempts, 1000, ["ts", "id"], "new_id", max_group_rows=0)
+    numbered = maintenance.assign_ids(attempts, 1000, ["ts", "id"], "new_id")
     return numbered.select("id", "new_id")
 
 
@@ -582,10 +580,19 @@ def _register_policy(policy: str) -> None:
 
     @query(f"gradebook_{policy}", book)
     def _(v: Views) -> DataFrame:
-        sheet = grading.gradebook(v.attempts(), v.configs(), policy)
-        units = [c for c in sheet.columns if c not in ("profile_name", "student_name")]
+        units = ["unit_2", "unit_3"]
+        sheet = grading.gradebook(v.attempts(), v.configs(), policy, units=units)
         return sheet.select("profile_name", "student_name", *[_grade(unit) for unit in units])
 
+    rows = f"""select g.* from ({by_cell}) g where exists (
+         select 1 from configs c where c.profile_name = g.profile_name
+         and c.variant_name = g.variant_name and c.show_feedback = 0)"""
+
+    @query(f"gradebook_rows_{policy}", rows)
+    def _(v: Views) -> DataFrame:
+        cells = grading.gradebook_rows(v.attempts(), v.configs(), policy)
+        return cells.withColumn("grade", F.round("grade", 6))
+
 
 for _policy in _POLICY_SQL:
     _register_policy(_policy)
@@ -700,9 +707,7 @@ def _(v: Views) -> DataFrame:
 
 @query("rank_position_ranged", _RANK_SQL)
 def _(v: Views) -> DataFrame:
-    placed = ordering.with_position(
-        v.attempts(), ordering.RANKING, ["profile_name"], max_group_rows=0
-    )
+    placed = ordering.with_position(v.attempts(), ordering.RANKING, ["profile_name"])
     return placed.select("id", "profile_name", "position")
 
 

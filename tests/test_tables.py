@@ -68,7 +68,8 @@ def test_clustered_append_keeps_values_together(spark, tmp_path):
 def test_partitions_follow_the_data():
     assert shuffle_partitions(0) == 200
     assert shuffle_partitions(10**12) == 7451
-    assert shuffle_partitions(100 * 10**12) == 50_000
+    assert shuffle_partitions(100 * 10**12) == 745_059
+    assert shuffle_partitions(10**12, 10**9) == 1000
 
 
 def test_older_tables_get_the_current_columns(spark):
