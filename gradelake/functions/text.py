@@ -7,6 +7,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradelake.schemas import LOCAL_ZONE
+
 # Every character a text strip removes.
 _SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -39,12 +41,12 @@ def local_time(ts: Column, tz: str) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit(tz), ts.cast("timestamp_ntz"))
 
 
-def fmt_ts_table(ts: Column, tz: str = "UTC") -> Column:
+def fmt_ts_table(ts: Column, tz: str = LOCAL_ZONE) -> Column:
     """``2025-09-01 10:00``"""
     return F.date_format(local_time(ts, tz), "yyyy-MM-dd HH:mm")
 
 
-def fmt_ts_card(ts: Column, tz: str = "UTC") -> Column:
+def fmt_ts_card(ts: Column, tz: str = LOCAL_ZONE) -> Column:
     """``01 de Sep, 2025 - 10:00``"""
     return F.date_format(local_time(ts, tz), "dd 'de' MMM, yyyy - HH:mm")
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from gradelake.functions import quizjson
 
 
+# Keys of a reviewed question's options.
+OPTION_KEYS = ("A", "B", "C", "D")
+
+
 def clean_replies(replies: DataFrame, column: str = "raw_text", mode: str = "list") -> DataFrame:
     """Add ``quiz_data_json``: the quiz part of each reply with its backslashes repaired."""
     part = quizjson.extract_json_list(F.col(column), mode)
@@ -167,3 +171,22 @@ def shuffle_options(df: DataFrame, seed: str, key: Sequence[str]) -> DataFrame:
             ).otherwise(correct),
         }
     ).select(*df.columns, "options_ok")
+
+
+def reviewed_question(df: DataFrame) -> DataFrame:
+    """Question rows as a reviewer's form stores them.
+
+    The options are exactly A to D, a missing or null one as empty text; a correct key that is
+    none of them becomes A.
+    """
+    keys = [F.lit(k) for k in OPTION_KEYS]
+    values = [F.coalesce(F.try_element_at("opciones", k), F.lit("")) for k in keys]
+    correct = F.col("respuesta_correcta")
+    return df.withColumns(
+        {
+            "opciones": F.map_from_arrays(F.array(*keys), F.array(*values)),
+            "respuesta_correcta": F.when(correct.isin(*OPTION_KEYS), correct).otherwise(
+                F.lit(OPTION_KEYS[0])
+            ),
+        }
+    )

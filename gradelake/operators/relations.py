@@ -9,7 +9,7 @@ from gradelake.functions import text
 from gradelake.functions.quizjson import answer_status, parse_answers
 from gradelake.operators.documents import explode_items, with_questions
 from gradelake.plans.ordering import RANKING, with_position
-from gradelake.schemas import PASS_GRADE
+from gradelake.schemas import PASS_GRADE, LOCAL_ZONE
 
 OPTION_NOT_FOUND = "Opción no encontrada"
 
@@ -47,7 +47,7 @@ def pass_flag(df: DataFrame, threshold: float = PASS_GRADE) -> DataFrame:
 
 def participation_table(
     attempts: DataFrame,
-    tz: str = "UTC",
+    tz: str = LOCAL_ZONE,
     grade_label: str = "Nota",
     position: bool = False,
 ) -> DataFrame:

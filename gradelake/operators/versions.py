@@ -27,13 +27,13 @@ def latest_version(quizzes: DataFrame) -> DataFrame:
 
 
 def active_version(quizzes: DataFrame) -> DataFrame:
-    """The active version of each unit, whole rows; the lowest id if several are active."""
-    rest = [c for c in quizzes.columns if c not in ("config_id", "id")]
+    """The active version of each unit, whole rows; the lowest id if several are active.
+
+    Ids are chosen first, so the quiz text never enters a shuffle.
+    """
     active = quizzes.where(F.col("is_active") == 1)
-    chosen = active.groupBy("config_id").agg(
-        F.min("id").alias("id"), F.min_by(F.struct(*rest), "id").alias("_row")
-    )
-    return chosen.select("config_id", "id", "_row.*").select(*quizzes.columns)
+    chosen = active.groupBy("config_id").agg(F.min("id").alias("id"))
+    return active.join(chosen, ["config_id", "id"], "left_semi").select(*quizzes.columns)
 
 
 def first_valid_generation(
@@ -52,14 +52,13 @@ def first_valid_generation(
     cleaned = tried.withColumn(
         "_doc", repair_backslashes(extract_json_list(F.col("raw_text"), extraction))
     )
-    judged = validate_quiz(cleaned, "_doc", "num_preguntas", mode, "_valid").select(
-        "config_id",
-        F.when(F.col("_valid"), F.col("attempt")).alias("_attempt"),
-        F.when(F.col("_valid"), F.col("_doc")).alias("_doc"),
-    )
-    return judged.groupBy("config_id").agg(
-        F.min("_attempt").alias("attempt"), F.min_by("_doc", "_attempt").alias("quiz_data_json")
-    )
+    judged = validate_quiz(cleaned, "_doc", "num_preguntas", mode, "_valid")
+    # The first valid try is found on two narrow columns; its document is fetched afterwards.
+    valid = F.when(F.col("_valid"), F.col("attempt"))
+    first = judged.select("config_id", valid.alias("_attempt")).groupBy("config_id")
+    first = first.agg(F.min("_attempt").alias("attempt"))
+    documents = cleaned.select("config_id", "attempt", F.col("_doc").alias("quiz_data_json"))
+    return first.join(documents, ["config_id", "attempt"], "left")
 
 
 def failed_generations(generations: DataFrame) -> DataFrame:

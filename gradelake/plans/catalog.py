@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from gradelake.plans import ordering
 from gradelake.plans.oracle import with_ctes
 from gradelake.plans.views import Views
 from gradelake.schemas import DIFFICULTIES, QUIZ_CONFIGS
+from gradelake.session import scratch_folder
 from gradelake.sources import tables
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
@@ -298,6 +300,38 @@ def _(v: Views) -> DataFrame:
     return numbered.select("id", "new_id")
 
 
+@query(
+    "clear_results",
+    """select id, student_name, profile_name, cast(null as double) as grade
+       from attempts where id < 0""",
+)
+def _(v: Views) -> DataFrame:
+    path = f"{scratch_folder(v.spark)}/results-{uuid.uuid4().hex}"
+    v.attempts().select("id", "student_name", "profile_name", "grade").write.parquet(path)
+    stored = v.spark.read.parquet(path)
+    tables.replace_table(maintenance.clear_results(stored), path)
+    return v.spark.read.schema(stored.schema).parquet(path)
+
+
+@query(
+    "export_gradebook_csv",
+    """select student_name, max(case when variant_name = 'unit_2' then grade end) as unit_2,
+              max(case when variant_name = 'unit_3' then grade end) as unit_3
+       from (select student_name, variant_name, round(max(grade), 6) as grade from attempts
+             where profile_name = '3-MEDIUM' and variant_name in ('unit_2', 'unit_3')
+             group by 1, 2) g
+       group by 1""",
+)
+def _(v: Views) -> DataFrame:
+    book = grading.gradebook(v.attempts(), v.configs(), profile="3-MEDIUM")
+    folder = f"{scratch_folder(v.spark)}/exports-{uuid.uuid4().hex}"
+    path = tables.export_gradebook_csv(book, folder, "3-MEDIUM")
+    shown = v.spark.read.csv(
+        path, header=True, schema="student_name string, unit_2 double, unit_3 double"
+    )
+    return shown.select("student_name", _grade("unit_2"), _grade("unit_3"))
+
+
 # --- Checks ----------------------------------------------------------------------------------
 
 
@@ -415,7 +449,7 @@ _DISPLAY_SQL = """student_name as "Estudiante", variant_name as "Unidad",
 
 @query("participation_table", f"select {_DISPLAY_SQL}")
 def _(v: Views) -> DataFrame:
-    return relations.participation_table(v.attempts())
+    return relations.participation_table(v.attempts(), "UTC")
 
 
 @query(
@@ -424,7 +458,7 @@ def _(v: Views) -> DataFrame:
               as "Posición", {_DISPLAY_SQL}""",
 )
 def _(v: Views) -> DataFrame:
-    return relations.participation_table(v.attempts(), position=True)
+    return relations.participation_table(v.attempts(), "UTC", position=True)
 
 
 _STATUS_SQL = """select c.id, c.profile_name, c.variant_name,
@@ -666,8 +700,9 @@ def _(v: Views) -> DataFrame:
 
 
 def _generations(v: Views, mode: str) -> DataFrame:
-    expected = v.configs().select(F.col("id").alias("config_id"), F.lit(1).alias("num_preguntas"))
-    return versions.first_valid_generation(v.reply_tries(), expected, mode=mode)
+    replies = v.reply_tries()
+    expected = replies.select("config_id").distinct().withColumn("num_preguntas", F.lit(1))
+    return versions.first_valid_generation(replies, expected, mode=mode)
 
 
 def _register_generation(name: str, mode: str) -> None:
@@ -977,18 +1012,17 @@ def _(v: Views) -> DataFrame:
     )
 
 
-@query(
-    "shuffle_questions",
-    """select attempt_id, idx as original_idx, cast(place as int) as place, pregunta
-       from (select attempt_id, idx, concat('q', cast(question_id as varchar)) as pregunta,
-                    row_number() over (partition by attempt_id order by md5(concat('seed:',
-                      cast(attempt_id as varchar), ':', cast(idx as varchar)))) as place
-             from answers) d where place <= 4""",
-)
-def _(v: Views) -> DataFrame:
-    drawn = documents.shuffle_questions(
-        v.snapshots(), "seed", "attempt_id", "quiz_snapshot_json", limit=4
-    )
+_DRAWN_SQL = """select attempt_id, idx as original_idx, cast(place as int) as place, pregunta
+       from (select a.attempt_id, a.idx, concat('q', cast(a.question_id as varchar)) as pregunta,
+                    c.num_preguntas, c.show_feedback,
+                    row_number() over (partition by a.attempt_id order by md5(concat('seed:',
+                      cast(a.attempt_id as varchar), ':', cast(a.idx as varchar)))) as drawn
+             from answers a join attempts t on t.id = a.attempt_id
+             join configs c on c.profile_name = t.profile_name
+               and c.variant_name = t.variant_name) d"""
+
+
+def _drawn(drawn: DataFrame) -> DataFrame:
     rows = documents.explode_items(drawn, ["attempt_id"], "questions", "_pos", "_q")
     return rows.select(
         "attempt_id",
@@ -998,6 +1032,74 @@ def _(v: Views) -> DataFrame:
     )
 
 
+def _configured(v: Views) -> DataFrame:
+    """Quiz documents with what the unit's configuration says about showing them."""
+    units = v.configs().select(
+        "profile_name",
+        "variant_name",
+        "num_preguntas",
+        (F.col("show_feedback") == 0).alias("evaluative"),
+    )
+    attempts = v.attempts().select(F.col("id").alias("attempt_id"), "profile_name", "variant_name")
+    shown = attempts.join(units, ["profile_name", "variant_name"])
+    return v.snapshots().join(shown, "attempt_id")
+
+
+@query(
+    "shuffle_questions",
+    _DRAWN_SQL.replace(
+        "cast(place as int) as place",
+        "cast(case when show_feedback = 0 then drawn else idx + 1 end as int) as place",
+    )
+    + " where case when show_feedback = 0 then drawn else idx + 1 end <= num_preguntas",
+)
+def _(v: Views) -> DataFrame:
+    return _drawn(
+        documents.shuffle_questions(
+            _configured(v), "seed", "attempt_id", "quiz_snapshot_json", "evaluative",
+            "num_preguntas",
+        )
+    )
+
+
+@query("shuffle_all_questions", _DRAWN_SQL.replace("cast(place", "cast(drawn"))
+def _(v: Views) -> DataFrame:
+    return _drawn(
+        documents.shuffle_questions(v.snapshots(), "seed", "attempt_id", "quiz_snapshot_json")
+    )
+
+
+@query(
+    "reviewed_question",
+    """select attempt_id, idx, case when question_id % 5 = 0 then 'A' else respuesta_correcta end
+                as respuesta_correcta,
+              concat('a|', case when question_id % 3 = 0 then '' else 'b' end, '|c|d') as options
+       from answers""",
+)
+def _(v: Views) -> DataFrame:
+    given = F.map_filter(
+        F.map_concat("opciones", F.create_map(F.lit("E"), F.lit("e"))),
+        lambda k, _: (k != "B") | (F.col("question_id") % 3 != 0),
+    )
+    rows = v.question_rows().withColumn(
+        "question_id", F.substring("pregunta", 2, 20).cast("bigint")
+    )
+    edited = rows.withColumns(
+        {
+            "opciones": given,
+            "respuesta_correcta": F.when(F.col("question_id") % 5 == 0, "E").otherwise(
+                F.col("respuesta_correcta")
+            ),
+        }
+    )
+    return documents.reviewed_question(edited).select(
+        "attempt_id",
+        "idx",
+        "respuesta_correcta",
+        F.array_join(F.map_values("opciones"), "|").alias("options"),
+    )
+
+
 @query(
     "shuffle_options",
     """with options as (

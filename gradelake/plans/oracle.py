@@ -88,7 +88,7 @@ CTES = {
                else concat(replace(cast(ts as varchar), ' ', 'T'), '-04:00') end as timestamp_text
         from events""",
     "raw_items": r"""
-        select p_partkey as gen_id, cast(p_partkey % 20 + 1 as int) as config_id,
+        select p_partkey as gen_id, cast(p_partkey // 3 + 1 as int) as config_id,
                concat('Here you go: ', case when p_size % 7 = 0 then '{' else '[{' end,
                       '"pregunta":"Concept ', p_name, ' $', chr(92),
                       case when p_size % 2 = 0 then 'alpha' else 'frac' end, '$",',

@@ -171,7 +171,7 @@ class Views:
         options = F.lit('"opciones":{"A":"1","B":"2","C":"3","D":"4"},')
         return self.table("part").select(
             F.col("p_partkey").alias("gen_id"),
-            (F.col("p_partkey") % N_CONFIGS + 1).cast("int").alias("config_id"),
+            F.expr("cast(p_partkey div 3 as int) + 1").alias("config_id"),
             F.concat(
                 F.lit("Here you go: "),
                 F.when(no_list, "{").otherwise("[{"),

@@ -106,3 +106,6 @@ MAX_TRIES = 3
 def required_columns(schema: T.StructType) -> list[str]:
     """Names of the columns declared NOT NULL."""
     return [f.name for f in schema.fields if not f.nullable]
+
+# Zone of stored wall-clock times and of times shown.
+LOCAL_ZONE = "America/Caracas"

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import fmt_cell, parse_topics
 from gradelake.plans.ordering import NEWEST, sort_columns
-from gradelake.schemas import TABLES
-from gradelake.session import materialize
+from gradelake.schemas import LOCAL_ZONE, TABLES
 
 # Stored times with an offset; all others are local wall-clock times.
 _OFFSET = r"([+-]\d\d:?\d\d|Z)$"
-LOCAL_ZONE = "America/Caracas"
 
 
 def read_table(
@@ -25,23 +26,33 @@ def read_table(
 
 
 def read_database_table(
-    spark: SparkSession, name: str, url: str, last_id: int, partitions: int = 64, **options
+    spark: SparkSession,
+    name: str,
+    url: str,
+    split: str | None = None,
+    last: int = 0,
+    partitions: int = 64,
+    **options,
 ) -> DataFrame:
-    """A table of an existing database through JDBC, read in id ranges in parallel."""
-    reader = spark.read.format("jdbc").options(
-        url=url,
-        dbtable=name,
-        partitionColumn="id",
-        lowerBound="1",
-        upperBound=str(max(last_id, 2)),
-        numPartitions=str(partitions),
-        **options,
-    )
-    return reader.load()
+    """A table of an existing database through JDBC, with its declared columns.
+
+    ``split`` names a numeric column, such as ``id``, whose ranges up to ``last`` are read in
+    parallel; a table without one is read in one go. Not run here: there is no driver.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if split:
+        reader = reader.options(
+            partitionColumn=split,
+            lowerBound="1",
+            upperBound=str(max(last, 2)),
+            numPartitions=str(partitions),
+        )
+    rows = reader.load()
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields])
 
 
 def scan_results(df: DataFrame, profile: str | None = None) -> DataFrame:
-    """Results of a profile (or all), newest first."""
+    """Results of a profile (or all), newest first; without a profile all rows are sorted."""
     rows = df if profile is None else df.where(F.col("profile_name") == profile)
     return rows.orderBy(*sort_columns(NEWEST))
 
@@ -85,8 +96,25 @@ def append_rows(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> Non
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table with rows that may have been read from it."""
-    materialize(df, "replace").write.mode("overwrite").parquet(path)
+    """Replace a table by rows that may have been read from it.
+
+    The rows are written beside the table first. The old folder is then set aside, the new one
+    takes its name, and only after that the old one is deleted: at every point one of the two is
+    whole under a name that begins with the table's.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    df.write.parquet(fresh)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = files.exists(place(path))
+    if stored and not files.rename(place(path), place(old)):
+        raise OSError(f"cannot set {path} aside; the new rows are in {fresh}")
+    if not files.rename(place(fresh), place(path)):
+        raise OSError(f"cannot put {fresh} in place; the old rows are in {old}")
+    if stored:
+        files.delete(place(old), True)
 
 
 def _named(column: str) -> Column:
@@ -95,8 +123,12 @@ def _named(column: str) -> Column:
 
 
 def gradebook_folder(base: str, profile: str) -> str:
-    """Where a profile's gradebook goes; spaces in its name become underscores."""
-    return f"{base.rstrip('/')}/calificaciones_evaluativas_{profile.replace(' ', '_')}.csv"
+    """Where a profile's gradebook goes; spaces in its name become underscores.
+
+    Characters that would open a folder of their own, or that paths give a meaning, are escaped.
+    """
+    name = re.sub(r"[^\w.\-]", lambda m: quote(m[0], safe=""), profile.replace(" ", "_"))
+    return f"{base.rstrip('/')}/calificaciones_evaluativas_{name}.csv"
 
 
 def export_gradebook_csv(book: DataFrame, base: str, profile: str) -> str:

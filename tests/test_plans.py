@@ -7,6 +7,7 @@ import re
 import pytest
 
 from __spark_entry__ import SMOKE_FOLDER, queries
+from gradelake.operators import maintenance
 from gradelake.plans.catalog import QUERIES
 from gradelake.plans.views import Views
 
@@ -29,7 +30,8 @@ def test_no_cross_join_no_python_no_global_window(spark, name):
 
 @pytest.mark.parametrize(
     "name", ["grade_highest", "grade_latest", "grade_mean", "gradebook_latest", "last_non_null",
-             "score_attempts", "latest_version", "participation_stats", "replay_activation"]
+             "score_attempts", "latest_version", "participation_stats", "replay_activation",
+             "active_version", "first_valid_generation", "append_attempts"]
 )
 def test_grades_are_aggregated_by_hash_before_the_shuffle(spark, name):
     plan = plan_of(queries()[name](spark, SMOKE_FOLDER))
@@ -57,9 +59,21 @@ def test_documents_are_built_and_parsed_in_one_shuffle(spark):
     assert len(re.findall(r"from_json\(StructField\(v,", plan)) == 1
 
 
-def test_only_first_tries_are_shuffled(spark):
+def test_first_tries_are_found_without_their_text(spark):
     plan = plan_of(queries()["first_valid_generation"](spark, SMOKE_FOLDER))
-    assert re.search(r"WindowGroupLimit.*row_number\(\), 3, Partial", plan)
+    assert re.search(r"HashAggregate\(keys=\[config_id#\d+\], functions=\[partial_min\(", plan)
+
+
+def test_small_updates_are_broadcast(spark):
+    """The target of an update is not shuffled for it."""
+    spark.range(5000).selectExpr("cast(id as string) as key", "id as value", "id").write.parquet(
+        path := f"{spark.conf.get('spark.checkpoint.dir')}/upsert-target"
+    )
+    target = spark.read.parquet(path)
+    updates = spark.createDataFrame([("7", 1, 1)], "key string, value long, at long")
+    plan = plan_of(maintenance.upsert_latest(target, updates, ["key"], "at"))
+    assert "FullOuter" not in plan and "SortAggregate" not in plan
+    assert not re.search(r"Exchange hashpartitioning\(key[^\n]*\n[^\n]*\n[^\n]*upsert-target", plan)
 
 
 def test_answers_window_is_shared(spark):
