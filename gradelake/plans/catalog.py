@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradelake.functions import quizjson, text
-from gradelake.operators import documents, grading, maintenance, quality, relations, versions
+from gradelake.operators import (
+    documents, grading, maintenance, quality, relations, results, versions,
+)
 from gradelake.plans import ordering
 from gradelake.plans.oracle import with_ctes
 from gradelake.plans.views import Views
@@ -300,6 +302,79 @@ def _(v: Views) -> DataFrame:
     return numbered.select("id", "new_id")
 
 
+@query(
+    "stored_results",
+    """with papers as (
+         select attempt_id,
+                concat('[', string_agg(concat('{"pregunta":"q', cast(question_id as varchar),
+                  '","opciones":{"A":"a","B":"b","C":"c","D":"d"},"respuesta_correcta":"',
+                  respuesta_correcta, '","explicacion":"e"}'), ',' order by idx), ']') as snapshot,
+                concat('{', string_agg(concat('"', cast(idx as varchar), '":',
+                  coalesce('"' || answer || '"', 'null')), ',' order by idx), '}') as given
+         from answers group by 1)
+       select a.id, a.student_name, a.profile_name, a.variant_name, a.score, a.total_questions,
+              round(a.grade, 6) as grade, strftime(a.ts, '%Y-%m-%d %H:%M:%S') as ts,
+              p.snapshot as quiz_snapshot_json, p.given as student_answers_json
+       from attempts a left join papers p on p.attempt_id = a.id""",
+)
+def _(v: Views) -> DataFrame:
+    sheets = v.sheets().withColumnRenamed("id", "attempt_id").withColumnRenamed("ts", "timestamp")
+    rows = results.stored_results(sheets, v.question_rows())
+    return rows.select(
+        F.col("attempt_id").alias("id"),
+        "student_name",
+        "profile_name",
+        "variant_name",
+        "score",
+        "total_questions",
+        _grade(),
+        _time_text("timestamp").alias("ts"),
+        "quiz_snapshot_json",
+        "student_answers_json",
+    )
+
+
+@query(
+    "append_stored_results",
+    """select id, score, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts
+       from attempts where id % 4 <> 0""",
+)
+def _(v: Views) -> DataFrame:
+    """Declared columns, saves in any order, some of them without a time."""
+    sheets = v.sheets().withColumnRenamed("id", "attempt_id").withColumnRenamed("ts", "timestamp")
+    rows = results.stored_results(sheets, v.question_rows()).withColumnRenamed("attempt_id", "id")
+    later = F.col("timestamp") + F.expr("interval 1 hour")
+    again = rows.withColumns({"timestamp": later, "score": F.col("score") - 100})
+    untimed = again.withColumn(
+        "timestamp", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("timestamp"))
+    )
+    stored = rows.where(F.col("id") % 4 == 0)
+    fresh = maintenance.append_attempts(stored, untimed.union(rows), order="timestamp")
+    return fresh.select("id", "score", _time_text("timestamp").alias("ts"))
+
+
+@query(
+    "generate_and_activate",
+    """with made as (
+         select config_id, arg_min(doc, attempt) filter (where lenient) as doc
+         from tries where attempt <= 3 group by 1 having count(*) filter (where lenient) > 0)
+       select id, config_id, cast(null as varchar) as quiz_data_json,
+              cast(case when config_id in (select config_id from made) then 0
+                   else is_active end as int) as is_active
+       from stored_quizzes
+       union all
+       select (select max(id) from stored_quizzes) + row_number() over (order by config_id),
+              config_id, doc, cast(1 as int) from made""",
+)
+def _(v: Views) -> DataFrame:
+    stored = v.stored_quizzes().select(
+        "id", "config_id", F.lit(None).cast("string").alias("quiz_data_json"), "is_active"
+    )
+    replies = v.reply_tries()
+    expected = replies.select("config_id").distinct().withColumn("num_preguntas", F.lit(1))
+    return results.generate_and_activate(stored, replies, expected)
+
+
 @query(
     "clear_results",
     """select id, student_name, profile_name, cast(null as double) as grade

@@ -68,8 +68,9 @@ class Views:
     def scores(self) -> DataFrame:
         return score_attempts(self.answers())
 
-    def attempts(self) -> DataFrame:
-        orders = self.table("orders").select(
+    def sheets(self) -> DataFrame:
+        """Who took which unit of which subject, and when."""
+        return self.table("orders").select(
             F.col("o_orderkey").alias("id"),
             F.concat(F.lit("student_"), F.col("o_custkey").cast("string")).alias("student_name"),
             F.col("o_orderpriority").alias("profile_name"),
@@ -78,6 +79,9 @@ class Views:
             ),
             F.col("o_orderdate").alias("ts"),
         )
+
+    def attempts(self) -> DataFrame:
+        orders = self.sheets()
         scores = self.scores().withColumnRenamed("attempt_id", "id")
         joined = orders.join(scores, "id", "left").select(
             "id",

@@ -180,3 +180,18 @@ def test_answers_of_a_hot_attempt(spark, tmp_path):
     assert len(placed) == 9000
     places = [r["idx"] for r in placed if r["attempt_id"] == 1]
     assert sorted(places) == list(range(6000))
+
+
+def test_same_plan_at_every_size(spark, attempts):
+    """Positions and pages take one path, whatever the number of rows."""
+    def shape(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line.split()[0] for line in plan.replace("+- ", "").replace(":- ", "").splitlines()]
+
+    few = attempts.where("id < 7")
+    for build in (
+        lambda df: ordering.with_position(df, ordering.RANKING, ["profile_name"]),
+        lambda df: ordering.paginate(df, ordering.NEWEST, 2, 3),
+    ):
+        assert shape(build(few)) == shape(build(attempts))
+        assert ordering.paginate(few, ordering.NEWEST, 2, 3).count() == 3
