@@ -8,8 +8,8 @@ import numpy as np
 
 # Tokens scored together, and tokens before them that they may look back on as well.
 BLOCK = 16
-WIDTH = 16
-SINGLE, SHARED = 96, 32
+WIDTH = 8
+SINGLE, SHARED = 48, 16
 BATCH, STEPS, RATE = 256, 500, 0.01
 FAR = -1e9
 # Rows scored at once, few enough for their logits to stay in the cache.
@@ -99,21 +99,34 @@ class Model:
 _BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 
 
-def layout(texts: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, ...]:
-    """Rows of inputs and of targets of several texts, and the text of each target (-1: none)."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    rows = 1 + -(-sizes // BLOCK)
+def placed(
+    ids: np.ndarray, sizes: np.ndarray, start: int, end: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of inputs and of targets of texts that lie one after the other in ``ids``.
+
+    Also the flat place of every id, and of the end of every text. A text begins with a row of
+    start ids and fills whole rows.
+    """
+    rows = 1 + -(-(sizes + 1) // BLOCK)
     first = (np.cumsum(rows) - rows + 1) * BLOCK
     length = int(rows.sum()) * BLOCK
-    inputs = np.full(length, start, np.int64)
-    targets = np.full(length, end, np.int64)
-    owner = np.full(length, -1, np.int64)
-    for k, text in enumerate(texts):
-        at = first[k]
-        inputs[at + 1 : at + 1 + len(text)] = text
-        targets[at : at + len(text)] = text
-        owner[at : at + sizes[k]] = k
-    return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), owner.reshape(-1, BLOCK)
+    inputs = np.full(length, start, np.int32)
+    targets = np.full(length, end, np.int32)
+    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))
+    inputs[at + 1] = ids
+    targets[at] = ids
+    return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), at, first + sizes
+
+
+def layout(texts: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, ...]:
+    """Rows of inputs and of targets of several texts, and the text of each target (-1: none)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ids = np.concatenate([*texts, np.zeros(0, np.int64)])
+    inputs, targets, at, ends = placed(ids, sizes, start, end)
+    owner = np.full(inputs.size, -1, np.int64)
+    owner[at] = np.repeat(np.arange(len(texts)), sizes)
+    owner[ends] = np.arange(len(texts))
+    return inputs, targets, owner.reshape(-1, BLOCK)
 
 
 def train(

@@ -65,9 +65,10 @@ def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
     schema: str,
+    rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """``mapInArrow`` batch by batch, in batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm import attention
-from gradelake.llm.common import id_crc, map_arrow, raw_bytes, settled, table, words
+from gradelake.llm.common import BATCH_ROWS, id_crc, map_arrow, settled, table
 from gradelake.llm.vocab import WordIds, default_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,15 +25,13 @@ TRAIN_ROWS = 512
 TRAIN_CHARS = 4000
 # Bytes of text scored together against the words that occur in them.
 BLOCK_BYTES = 16 << 20
-# Documents scored at once inside a block.
-GROUP = 64
+# Documents whose words are counted together, words tokenised together, documents scored at once.
+COUNT_ROWS, WORD_ROWS, GROUP = 512, 8192, 64
 
 # Least weight of the attention model, which spells a word from subword ids in its context,
 # against the share of the whole word among all training words.
 LEAST_SPELLED = 0.02
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def training_flag(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 7 is not 2; a null id is neither trained on nor held out."""
@@ -39,34 +39,77 @@ def training_flag(doc_id: Column) -> Column:
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, trained, block: rows dealt by hash into blocks of about ``block_bytes``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    return docs.select(
+    """doc_id, text, trained, held_out and block of every row, written once.
+
+    A block is a run of neighbouring rows of one input partition with about ``block_bytes`` of
+    text, so that the words of a block can be counted without moving the text.
+    """
+    rows = docs.select(
         F.col("doc_id").cast("bigint"),
-        text.alias("text"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
         training_flag(F.col("doc_id")).alias("trained"),
-        F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).alias("block"),
+        F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out"),
     )
+    schema = "doc_id long, text string, trained boolean, held_out boolean, block long"
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, block = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            blocks = block + (filled + np.cumsum(sizes, dtype=np.int64)) // block_bytes
+            filled += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(blocks)],
+                names=["doc_id", "text", "trained", "held_out", "block"],
+            )
+
+    return settled(rows.mapInArrow(run, schema), "blocks")
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words of all texts in a row, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    # White space at either end of a text gives an empty word.
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(False))
+    return flat.filter(pa.array(real)), np.bincount(owner[real], minlength=len(lists))
 
 
 def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
     """Every word of every block: block, word, count in all training text, subword ids, first.
 
-    Words are counted per block first. All blocks that hold a word then meet at the word, which
-    is at most one row per block however frequent the word is, so the total is a window sum and
-    each word is tokenised there. ``first`` marks one row of each word.
+    Words are counted per block before they are shuffled. All blocks that hold a word then meet
+    at the word, in a few rows per block however frequent it is, so its total is a window sum
+    and it is tokenised there. ``first`` marks one row of each word.
     """
-    lowered = F.translate("text", _UPPER, _UPPER.lower())
-    counts = (
-        rows.select("block", "trained", F.explode_outer(words(lowered)).alias("word"))
-        .where(F.col("word").isNotNull())
-        .groupBy("block", "word")
-        .agg(F.sum(F.col("trained").cast("bigint")).alias("n"))
+
+    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        blocks = batch.column(3).to_numpy()
+        for block in np.unique(blocks):
+            for trained in (True, False):
+                chosen = (blocks == block) & (batch.column(2).to_numpy(False) == trained)
+                words, _ = split(batch.column(1).filter(pa.array(chosen)))
+                found = pc.value_counts(words)
+                n = found.field("counts").to_numpy(False) if trained else np.zeros(len(found), int)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(found), block)),
+                        found.field("values"),
+                        pa.array(n.astype(np.int64)),
+                    ],
+                    names=["block", "word", "n"],
+                )
+
+    counts = map_arrow(
+        rows.select("doc_id", "text", "trained", "block"),
+        counted,
+        "block long, word string, n long",
+        COUNT_ROWS,
     )
     by_word = Window.partitionBy("word")
-    totals = counts.select(
+    totals = counts.groupBy("block", "word").agg(F.sum("n").alias("n")).select(
         "block",
         "word",
         F.sum("n").over(by_word).alias("n"),
@@ -75,20 +118,19 @@ def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = batch.column(1).dictionary_encode()
-        ids = WordIds.shared(tokenizer).encode(found.dictionary.to_pylist())
+        # A word comes in one batch or two: there is little to remember.
+        ids = WordIds.shared(tokenizer, 1 << 14).encode(found.dictionary.to_pylist())
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
-                batch.column(1).cast(pa.binary()),
-                batch.column(2),
+                *batch.columns[:3],
                 pa.array(ids, pa.binary()).take(found.indices),
                 batch.column(3),
             ],
             names=["block", "word", "n", "ids", "first"],
         )
 
-    schema = "block long, word binary, n long, ids binary, first boolean"
-    return map_arrow(totals, run, schema)
+    schema = "block long, word string, n long, ids binary, first boolean"
+    return map_arrow(totals, run, schema, WORD_ROWS)
 
 
 def id_counts(vocabulary: DataFrame) -> np.ndarray:
@@ -137,19 +179,21 @@ def sample(docs: DataFrame, tokenizer: str) -> tuple[list[np.ndarray], list[np.n
 
 
 class _Words:
-    """The words of a block: position by word, smoothed and plain share, subword ids."""
+    """The words of a block: smoothed and plain share, and subword ids by position."""
 
     def __init__(self, frame: pa.Table, total: int, distinct: int):
-        names = frame.column("word").to_pylist()
+        self.names = frame.column("word").combine_chunks()
         counts = frame.column("n").to_numpy()
-        ids = frame.column("ids").to_pylist()
-        self.at = {w: k for k, w in enumerate(names)}
         self.known = counts > 0
         self.share = np.log10((counts + 1) / (total + distinct + 1))
         self.plain = counts / max(total, 1)
-        self.flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        self.size = np.array([len(i) // 4 for i in ids], np.int64)
+        ids = frame.column("ids").combine_chunks()
+        self.size = pc.binary_length(ids).to_numpy(False).astype(np.int64) // 4
         self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype(np.int32)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        return pc.index_in(words, value_set=self.names).to_numpy(False)
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """Subword ids of a sequence of words."""
@@ -177,7 +221,7 @@ def score(
     known = vocabulary.where(F.col("first") & (F.col("n") > 0))
     once = F.sum((F.col("n") == 1).cast("bigint"))
     n_words, n_distinct, n_once = known.agg(F.sum("n"), F.count(F.lit(1)), once).first()
-    texts = docs.where(training_flag(F.col("doc_id"))).count()
+    texts = rows.where("trained").count()
     total = (n_words or 0) + texts
     distinct = n_distinct + (texts > 0)
     counts = id_counts(vocabulary)
@@ -190,46 +234,46 @@ def score(
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words_ = _Words(right, total, distinct)
-        found: list[tuple] = []
+        known_words = _Words(right, total, distinct)
         model = sent.value
-        for batch in left.to_batches(max_chunksize=GROUP):
-            ids, sizes, plain = [], [], []
-            for text in raw_bytes(batch.column(1)):
-                places = np.array([words_.at[w] for w in text.lower().split()], np.int64)
-                base = words_.share[places].sum() + end_share
-                known = int(words_.known[places].sum()) + (texts > 0)
-                found.append((len(places) + 1, known, base))
-                ids.append(words_.ids(places))
-                sizes += [words_.size[places], [1]]
-                plain += [words_.plain[places], [end_plain]]
-            inputs, targets, owner = attention.layout(ids, START, END)
-            spelled = model.score(inputs, targets)[owner >= 0].astype(float)
-            size = np.concatenate(sizes).astype(np.int64)
-            spelled = np.bincount(np.repeat(np.arange(len(size)), size), spelled, len(size))
-            mixed = np.log10(
-                (1 - spell) * np.concatenate(plain) + spell * 10.0 ** np.maximum(spelled, -300)
+        n = left.num_rows
+        words, counts = split(left.column("text").combine_chunks())
+        places = known_words.places(words)
+        owner = np.repeat(np.arange(n), counts)
+        base = np.bincount(owner, known_words.share[places], n) + end_share
+        known = np.bincount(owner, known_words.known[places], n).astype(np.int64) + (texts > 0)
+        sums = np.zeros(n)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        for at in range(0, n, GROUP):
+            last = min(n, at + GROUP)
+            group = places[upto[at] : upto[last]]
+            of = owner[upto[at] : upto[last]] - at
+            size = known_words.size[group]
+            length = np.bincount(of, size, last - at).astype(np.int64)
+            inputs, targets, ids_at, ends_at = attention.placed(
+                known_words.ids(group), length, START, END
             )
-            tokens = np.array([f[0] for f in found[-len(ids) :]])
-            sums = np.bincount(np.repeat(np.arange(len(ids)), tokens), mixed, len(ids))
-            found[-len(ids) :] = [
-                (*f, s) for f, s in zip(found[-len(ids) :], sums.tolist(), strict=True)
-            ]
-        n, known, base, sums = zip(*found, strict=True) if found else ((), (), (), ())
+            each = model.score(inputs, targets).ravel()
+            spelled = np.bincount(np.repeat(np.arange(len(size)), size), each[ids_at], len(size))
+            sums[at:last] = np.bincount(
+                of, mixed(known_words.plain[group], spelled), last - at
+            ) + mixed(end_plain, each[ends_at].astype(float))
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
                 "held_out": left.column("held_out"),
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array([total] * len(n), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(sums, pa.float64()),
+                "n_tokens": pa.array(counts.astype(np.int64) + 1),
+                "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(n, total, np.int64)),
+                "base_score": pa.array(base),
+                "score": pa.array(sums),
             }
         )
 
-    held = F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False))
-    left = rows.select("doc_id", "text", held.alias("held_out"), "block").groupBy("block")
+    def mixed(plain: np.ndarray | float, spelled: np.ndarray) -> np.ndarray:
+        return np.log10((1 - spell) * plain + spell * 10.0 ** np.maximum(spelled, -300))
+
+    left = rows.select("doc_id", "text", "held_out", "block").groupBy("block")
     right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
     return left.cogroup(right).applyInArrow(
         run,

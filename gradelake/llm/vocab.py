@@ -44,10 +44,11 @@ class WordIds:
     together and cut at the marks. Ids are kept as little-endian unsigned 32-bit bytes.
     """
 
-    _workers: ClassVar[dict[str, WordIds]] = {}
+    _workers: ClassVar[dict[tuple[str, int], WordIds]] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         self.tokenizer = load_tokenizer(path)
+        self.memo_words = memo_words
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array(
             [(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)]
@@ -56,11 +57,12 @@ class WordIds:
         self._forget()
 
     @classmethod
-    def shared(cls, path: str) -> WordIds:
+    def shared(cls, path: str, memo_words: int = MEMO_WORDS) -> WordIds:
         """The memo of this worker process; it outlives tasks."""
-        if path not in cls._workers:
-            cls._workers[path] = cls(path)
-        return cls._workers[path]
+        key = (path, memo_words)
+        if key not in cls._workers:
+            cls._workers[key] = cls(path, memo_words)
+        return cls._workers[key]
 
     def _forget(self) -> None:
         self.memo = {"": b""}
@@ -83,7 +85,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.memo_words:
             self._forget()
         memo = self.memo
         texts = [self._plain(text) for text in texts]
