@@ -370,8 +370,8 @@ def _(v: Views) -> DataFrame:
     stored = v.stored_quizzes().select(
         "id", "config_id", F.lit(None).cast("string").alias("quiz_data_json"), "is_active"
     )
-    replies = v.reply_tries()
-    expected = replies.select("config_id").distinct().withColumn("num_preguntas", F.lit(1))
+    tries = v.reply_tries()
+    replies, expected = tries.drop("num_preguntas"), _expected(tries)
     return results.generate_and_activate(stored, replies, expected)
 
 
@@ -774,9 +774,13 @@ def _(v: Views) -> DataFrame:
     return relations.filter_active(v.stored_quizzes()).select("id", "config_id")
 
 
+def _expected(tries: DataFrame) -> DataFrame:
+    return tries.select("config_id", "num_preguntas").distinct()
+
+
 def _generations(v: Views, mode: str) -> DataFrame:
-    replies = v.reply_tries()
-    expected = replies.select("config_id").distinct().withColumn("num_preguntas", F.lit(1))
+    tries = v.reply_tries()
+    replies, expected = tries.drop("num_preguntas"), _expected(tries)
     return versions.first_valid_generation(replies, expected, mode=mode)
 
 
@@ -1007,7 +1011,7 @@ def _(v: Views) -> DataFrame:
 
 @query("validate_quiz", "select gen_id, lenient, strict from validated")
 def _(v: Views) -> DataFrame:
-    cleaned = documents.clean_replies(v.raw_items()).withColumn("num_preguntas", F.lit(1))
+    cleaned = documents.clean_replies(v.raw_items())
     judged = documents.validate_quiz(cleaned, name="lenient")
     judged = documents.validate_quiz(judged, mode="strict", name="strict")
     return judged.select("gen_id", "lenient", "strict")
@@ -1015,14 +1019,16 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "explode_questions",
-    """select gen_id, cast(0 as int) as idx, doc ->> '$[0].pregunta' as pregunta,
-              doc ->> '$[0].opciones.C' as option_c,
-              doc ->> '$[0].respuesta_correcta' as respuesta_correcta,
-              doc ->> '$[0].explicacion' as explicacion
-       from validated where lenient""",
+    """select gen_id, cast(i as int) as idx,
+              doc ->> concat('$[', cast(i as varchar), '].pregunta') as pregunta,
+              doc ->> concat('$[', cast(i as varchar), '].opciones.C') as option_c,
+              doc ->> concat('$[', cast(i as varchar), '].respuesta_correcta')
+                as respuesta_correcta,
+              doc ->> concat('$[', cast(i as varchar), '].explicacion') as explicacion
+       from (select *, unnest(range(0, num_preguntas)) as i from validated where lenient) v""",
 )
 def _(v: Views) -> DataFrame:
-    cleaned = documents.clean_replies(v.raw_items()).withColumn("num_preguntas", F.lit(1))
+    cleaned = documents.clean_replies(v.raw_items())
     valid = documents.validate_quiz(cleaned).where("is_valid").select("gen_id", "quiz_data_json")
     return documents.explode_questions(valid).select(
         "gen_id",

@@ -88,37 +88,47 @@ CTES = {
                else concat(replace(cast(ts as varchar), ' ', 'T'), '-04:00') end as timestamp_text
         from events""",
     "raw_items": r"""
-        select p_partkey as gen_id, cast(p_partkey // 3 + 1 as int) as config_id,
-               concat('Here you go: ', case when p_size % 7 = 0 then '{' else '[{' end,
-                      '"pregunta":"Concept ', p_name, ' $', chr(92),
-                      case when p_size % 2 = 0 then 'alpha' else 'frac' end, '$",',
-                      case when p_size % 5 = 0 then ''
-                           else '"opciones":{"A":"1","B":"2","C":"3","D":"4"},' end,
-                      '"respuesta_correcta":"', substr('ABCD', cast(p_partkey % 4 as int) + 1, 1),
-                      '","explicacion":"', p_brand, '"}',
+        select gen_id, config_id, num_preguntas,
+               concat('Here you go: ', case when p_size % 7 = 0 then '' else '[' end,
+                      array_to_string(list_transform(range(1, given + 1), lambda k: concat(
+                        '{', case when p_size % 13 = 0 and k = 2 then '"titulo":"'
+                                  else '"pregunta":"' end,
+                        'Concept ', cast(k as varchar), ' ', p_name, ' $', chr(92),
+                        case when p_size % 2 = 0 then 'alpha' else 'frac' end, '$",',
+                        case when p_size % 5 = 0 and k = given then ''
+                             else '"opciones":{"A":"1","B":"2","C":"3","D":"4"},' end,
+                        '"respuesta_correcta":"',
+                        substr('ABCD', cast((gen_id + k) % 4 as int) + 1, 1),
+                        '","explicacion":"', p_brand, '"}')), ','),
                       case when p_size % 7 = 0 then '' else ']' end, ' Done.') as raw_text
-        from part""",
+        from (select *, greatest(1, num_preguntas - cast(p_size % 11 = 0 as int)) as given
+              from (select p_partkey as gen_id, cast(p_partkey // 3 + 1 as int) as config_id,
+                           cast((p_partkey // 3 + 1) % 3 + 1 as int) as num_preguntas,
+                           p_size, p_name, p_brand from part) p) q""",
     "extracted": r"""
-        select gen_id, config_id, raw_text,
+        select gen_id, config_id, num_preguntas, raw_text,
                case when regexp_matches(raw_text, '(?s)\[.*\]')
                     then regexp_extract(raw_text, '(?s)\[.*\]')
                     else trim(replace(replace(trim(raw_text), '```json', ''), '```', ''))
                end as doc
         from raw_items""",
     "repaired": r"""
-        select gen_id, config_id,
+        select gen_id, config_id, num_preguntas,
                regexp_replace(regexp_replace(doc, '(^|[^\\])\\([^\x22\\/bfnrt]|$)', '\1\\\\\2', 'g'),
                               '(^|[^\\])\\([^\x22\\/bfnrt]|$)', '\1\\\\\2', 'g') as doc
         from extracted""",
     "validated": """
-        select gen_id, config_id, doc,
-               coalesce(json_valid(doc) and json_type(doc) = 'ARRAY' and json_array_length(doc) = 1
-                   and json_exists(doc, '$[0].pregunta'), false) as lenient,
-               coalesce(json_valid(doc) and json_type(doc) = 'ARRAY' and json_array_length(doc) = 1
-                   and json_exists(doc, '$[0].pregunta') and json_exists(doc, '$[0].opciones')
-                   and json_exists(doc, '$[0].respuesta_correcta'), false) as strict
-        from (select gen_id, config_id, case when json_valid(doc) then doc end as doc
-              from repaired) r""",
+        select gen_id, config_id, num_preguntas, doc,
+               coalesce(whole and len(json_extract(doc, '$[*].pregunta')) = num_preguntas, false)
+                 as lenient,
+               coalesce(whole and len(json_extract(doc, '$[*].pregunta')) = num_preguntas
+                   and len(json_extract(doc, '$[*].opciones')) = num_preguntas
+                   and len(json_extract(doc, '$[*].respuesta_correcta')) = num_preguntas, false)
+                 as strict
+        from (select *, json_type(doc) = 'ARRAY' and json_array_length(doc) = num_preguntas
+                as whole
+              from (select gen_id, config_id, num_preguntas,
+                           case when json_valid(doc) then doc end as doc from repaired) r) w""",
     "tries": """
         select gen_id, config_id, doc, lenient, strict,
                row_number() over (partition by config_id order by gen_id) as attempt

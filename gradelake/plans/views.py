@@ -7,7 +7,7 @@ events, raw generated replies from parts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.operators.documents import answers_document, question_json, quiz_document
@@ -169,27 +169,47 @@ class Views:
         )
 
     def raw_items(self) -> DataFrame:
-        """Generated replies, one question each; some are no list, some lack the options."""
-        size = F.col("p_size")
+        """Generated replies, three per configuration, each with one to three questions.
+
+        Some are no list, some are a question short, some lack a question's text or options in
+        the middle or at the end. ``num_preguntas`` is what the configuration asks for.
+        """
+        size, part = F.col("p_size"), F.col("p_partkey")
+        config = F.expr("cast(p_partkey div 3 as int) + 1")
+        asked = config % 3 + 1
+        given = F.greatest(F.lit(1), asked - (size % 11 == 0).cast("int"))
         no_list, no_options = size % 7 == 0, size % 5 == 0
         options = F.lit('"opciones":{"A":"1","B":"2","C":"3","D":"4"},')
-        return self.table("part").select(
-            F.col("p_partkey").alias("gen_id"),
-            F.expr("cast(p_partkey div 3 as int) + 1").alias("config_id"),
-            F.concat(
-                F.lit("Here you go: "),
-                F.when(no_list, "{").otherwise("[{"),
-                F.lit('"pregunta":"Concept '),
+
+        def question(k: Column) -> Column:
+            untitled = (size % 13 == 0) & (k == 2)
+            return F.concat(
+                F.lit("{"),
+                F.when(untitled, '"titulo":"').otherwise('"pregunta":"'),
+                F.lit("Concept "),
+                k.cast("string"),
+                F.lit(" "),
                 F.col("p_name"),
                 F.lit(" $\\"),
                 F.when(size % 2 == 0, "alpha").otherwise("frac"),
                 F.lit('$",'),
-                F.when(no_options, "").otherwise(options),
+                F.when(no_options & (k == given), "").otherwise(options),
                 F.lit('"respuesta_correcta":"'),
-                _letter(F.col("p_partkey")),
+                _letter(part + k),
                 F.lit('","explicacion":"'),
                 F.col("p_brand"),
                 F.lit('"}'),
+            )
+
+        questions = F.array_join(F.transform(F.sequence(F.lit(1), given), question), ",")
+        return self.table("part").select(
+            part.alias("gen_id"),
+            config.alias("config_id"),
+            asked.alias("num_preguntas"),
+            F.concat(
+                F.lit("Here you go: "),
+                F.when(no_list, "").otherwise("["),
+                questions,
                 F.when(no_list, "").otherwise("]"),
                 F.lit(" Done."),
             ).alias("raw_text"),
