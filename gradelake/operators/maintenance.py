@@ -148,18 +148,24 @@ def activate_new_version(quizzes: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def set_activation(
-    quizzes: DataFrame, requests: DataFrame, order: str | None = None
+    quizzes: DataFrame,
+    requests: DataFrame,
+    order: str | None = None,
+    newest: DataFrame | None = None,
 ) -> DataFrame:
     """Apply on/off requests (``config_id``, ``is_active``) per unit.
 
     Off clears every version of the unit; on leaves only the newest version active. Of several
-    requests for a unit the last by ``order`` counts; without an order, any "on" does.
+    requests for a unit the last by ``order`` counts; without an order, any "on" does. ``newest``
+    is ``latest_ids`` of the versions where it is at hand, so it need not be worked out from
+    ``quizzes``.
     """
     on = F.col("is_active") == 1
     wanted = requests.groupBy("config_id").agg(
         (F.max_by(on, order) if order else F.max(on)).alias("_on")
     )
-    newest = latest_ids(quizzes).select("config_id", F.col("id").alias("_newest"))
+    newest = latest_ids(quizzes) if newest is None else newest
+    newest = newest.select("config_id", F.col("id").alias("_newest"))
     plan = wanted.join(newest, "config_id", "left")
     return quizzes.join(plan, "config_id", "left").select(
         *[c for c in quizzes.columns if c != "is_active"],
@@ -169,15 +175,19 @@ def set_activation(
     ).select(*quizzes.columns)
 
 
-def replay_activation(actions: DataFrame, quizzes: DataFrame) -> DataFrame:
+def replay_activation(
+    actions: DataFrame, quizzes: DataFrame, newest: DataFrame | None = None
+) -> DataFrame:
     """Active version per unit after a log of ``generate``, ``on`` and ``off`` actions.
 
     Every insert of a version is itself an action, so the last action decides whether the unit
     is active, and then it is the newest version that is. ``active_id`` is null when off.
+    ``newest`` is ``latest_ids`` of the versions where it is at hand.
     """
     is_off = (F.col("act") == "off").cast("int")
     last = actions.groupBy("config_id").agg(F.max_by(is_off, "action_id").alias("_off"))
-    newest = latest_ids(quizzes).select("config_id", F.col("id").alias("_newest"))
+    newest = latest_ids(quizzes) if newest is None else newest
+    newest = newest.select("config_id", F.col("id").alias("_newest"))
     return last.join(newest, "config_id", "left").select(
         "config_id", F.when(F.col("_off") == 0, F.col("_newest")).alias("active_id")
     )

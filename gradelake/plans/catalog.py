@@ -274,7 +274,8 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     switches = v.actions().where(F.col("act").isin("on", "off"))
     requests = switches.withColumn("is_active", (F.col("act") == "on").cast("int"))
-    changed = maintenance.set_activation(v.stored_quizzes(), requests, "action_id")
+    newest = versions.latest_ids(v.quizzes())
+    changed = maintenance.set_activation(v.stored_quizzes(), requests, "action_id", newest)
     return changed.select("id", "config_id", "is_active")
 
 
