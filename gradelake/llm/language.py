@@ -19,7 +19,7 @@ from gradelake.llm.common import fresh, id_crc, map_arrow, table
 UNKNOWN = "und"
 # Labelled rows drawn per language, and bytes of their normalised text the automaton is made of.
 SAMPLE_ROWS = 128
-SAMPLE_BYTES = 48_000
+SAMPLE_BYTES = 24_000
 # A text is parsed in pieces of this many bytes, each on its own; all pieces count.
 PIECE = 512
 # Pieces parsed side by side.
