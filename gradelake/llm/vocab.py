@@ -10,7 +10,7 @@ from typing import ClassVar
 import numpy as np
 
 # Words remembered per Python worker; the memo is emptied when it is full and fills anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 # Mark of a token that ends a run of letters.
 WORD_END = "</w>"
 
