@@ -129,61 +129,91 @@ def layout(texts: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, .
     return inputs, targets, owner.reshape(-1, BLOCK)
 
 
-def train(
-    texts: list[np.ndarray],
-    weights: list[np.ndarray],
-    counts: np.ndarray,
-    start: int,
-    end: int,
-    steps: int = STEPS,
-) -> Model:
-    """A model fitted to ``texts`` with Adam; class shares come from ``counts``.
-
-    ``weights`` has the weight of every id of a text and of its end.
-
-    The same texts and counts give the same model. Without texts it is the class shares alone.
-    """
+def untrained(counts: np.ndarray, start: int) -> Model:
+    """The class shares alone; tables and output layer are small seeded noise."""
     of, within = classes(counts)
     draw = np.random.default_rng(7)
-    shapes = [(len(counts), WIDTH)] * 4
 
     def table(shape, scale):
         return (draw.standard_normal(shape) * scale).astype(np.float32)
 
     share = np.bincount(of, counts + 1.0, SINGLE + SHARED)
-    model = Model(
-        *[table(s, 0.1) for s in shapes],
+    return Model(
+        *[table((len(counts), WIDTH), 0.1) for _ in range(4)],
         np.zeros(2 * BLOCK, np.float32),
         table((WIDTH, SINGLE + SHARED), 0.1),
         np.log(np.maximum(share, 1e-9) / share.sum()).astype(np.float32),
         of, within, start,
     )
-    if not texts:
-        return model
-    inputs, targets, owner = layout(texts, start, end)
-    weight = np.zeros(owner.size, np.float32)
-    weight[owner.ravel() >= 0] = np.concatenate(weights)
-    weight = weight.reshape(owner.shape)
-    usable = np.flatnonzero((owner[1:] >= 0).any(axis=1)) + 1
+
+
+def fit(
+    model: Model,
+    windows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
+    steps: int,
+    seed: list[int],
+    done: float = 0.0,
+    share: float = 1.0,
+) -> None:
+    """Adam on ``model`` itself, over ids, ids before, targets and target weights of windows.
+
+    Every window is taken once before any is taken again. The rate falls linearly over the whole
+    training, of which this is a ``share`` that begins after ``done``.
+    """
+    ids, before, targets, weight = windows
+    draw = np.random.default_rng(seed)
+    order, at_row = draw.permutation(len(ids)), 0
     params = model.parameters()
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        rows = usable[draw.integers(0, len(usable), BATCH)]
-        grads = _gradients(model, inputs[rows], inputs[rows - 1], targets[rows], weight[rows])
-        rate = RATE * (1 - (step - 1) / steps)
+        if at_row >= len(order):
+            order, at_row = draw.permutation(len(ids)), 0
+        rows = order[at_row : at_row + BATCH]
+        at_row += BATCH
+        grads = _gradients(model, ids[rows], before[rows], targets[rows], weight[rows])
+        rate = RATE * (1 - done - share * (step - 1) / steps)
         for p, (at, g), m, v in zip(params, grads, first, second, strict=True):
             # Rows of ids that a batch lacks keep their moments.
             m[at] = 0.9 * m[at] + 0.1 * g
             v[at] = 0.99 * v[at] + 0.01 * g * g
             rise = m[at] / (1 - 0.9**step)
             p[at] -= rate * rise / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
-    # exp() of an attention weight is taken without a shift: keep it within its range.
+
+
+def bound(model: Model) -> None:
+    """exp() of an attention weight is taken without a shift: keep it within its range."""
     reach = np.linalg.norm(model.query, axis=1).max() * np.linalg.norm(model.key, axis=1).max()
     reach += np.abs(model.distance).max()
     if reach > 60:
         model.query *= 60 / reach
         model.distance *= 60 / reach
+
+
+def train(
+    texts: list[np.ndarray],
+    weights: list[np.ndarray],
+    counts: np.ndarray,
+    start: int,
+    end: int,
+    steps: int = STEPS,
+) -> Model:
+    """A model fitted to ``texts`` in one place; class shares come from ``counts``.
+
+    ``weights`` has the weight of every id of a text and of its end.
+
+    The same texts and counts give the same model. Without texts it is the class shares alone.
+    """
+    model = untrained(counts, start)
+    if not texts:
+        return model
+    inputs, targets, owner = layout(texts, start, end)
+    weight = np.zeros(owner.size, np.float32)
+    weight[owner.ravel() >= 0] = np.concatenate(weights)
+    weight = weight.reshape(owner.shape)
+    rows = np.flatnonzero((owner[1:] >= 0).any(axis=1)) + 1
+    fit(model, (inputs[rows], inputs[rows - 1], targets[rows], weight[rows]), steps, [7])
+    bound(model)
     return model
 
 
@@ -215,17 +245,19 @@ def _gradients(model, ids, before, targets, weight) -> list[tuple]:
         np.where(_BACK >= 0, g_scores.sum(axis=0), 0).ravel(), 2 * BLOCK,
     )
 
-    def scattered(rows, values):
-        at, inverse = np.unique(rows.ravel(), return_inverse=True)
-        total = np.zeros((len(at), WIDTH), np.float32)
-        np.add.at(total, inverse, values.reshape(-1, WIDTH))
-        return at, total
+    def scattered(rows, *values):
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        at, begin = np.unique(flat[order], return_index=True)
+        for value in values:
+            yield at, np.add.reduceat(value.reshape(-1, WIDTH)[order], begin, axis=0)
 
+    (query, own), (key, value) = scattered(ids, g_query, g_hidden), scattered(seen, g_key, g_value)
     return [
-        scattered(ids, g_query),
-        scattered(seen, g_key),
-        scattered(seen, g_value),
-        scattered(ids, g_hidden),
+        query,
+        key,
+        value,
+        own,
         (slice(None), g_distance.astype(np.float32)),
         (slice(None), g_out),
         (slice(None), p.sum(axis=(0, 1))),

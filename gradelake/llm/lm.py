@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import copy
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,14 @@ from gradelake.llm.vocab import WordIds, default_path
 TOKENIZER = "word_bpe_49k.json"
 START, END = 49406, 49407
 VOCABULARY = 49408
-# Training documents the attention model is fitted on at most, those with the smallest hashed
-# ids, and characters used of each. Word counts and class shares come from all of them.
-TRAIN_ROWS = 512
-TRAIN_CHARS = 4000
+# The attention model is fitted in rounds, each on its share of the windows of every training
+# text. In a round the texts are dealt into shards of about so many windows, which are fitted
+# side by side from one model and averaged. A small corpus is gone through again until the
+# rounds have made attention.STEPS steps.
+ROUNDS = 4
+SHARD_WINDOWS = 1 << 17
+# Rows of the model's tables that are averaged together.
+SLICE = 4096
 # Bytes of text scored together against the words that occur in them.
 BLOCK_BYTES = 16 << 20
 # Documents whose words are counted together, words tokenised together, documents scored at once.
@@ -152,30 +157,140 @@ def id_counts(vocabulary: DataFrame) -> np.ndarray:
     return counts
 
 
-def sample(docs: DataFrame, tokenizer: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Subword ids of the texts that the attention model is fitted on, and their weights.
+def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
+    """All windows of all training texts: one row per text and round, doc_id, round, n, ids.
 
-    Frequent words are left to the word shares: the ids of a word weigh one over its count in
-    the sample, so that the model learns to spell the words it is needed for.
+    A window is the 2 * BLOCK + 1 ids that BLOCK targets, the end among them, are learned from,
+    followed by the number of targets. A round takes every ROUNDS-th window of a text, beginning
+    at a place hashed from its id.
     """
-    trained = docs.where(training_flag(F.col("doc_id")) & F.col("text").isNotNull())
-    rank = F.xxhash64(F.lit("attention"), "doc_id")
-    drawn = trained.select("doc_id", rank.alias("rank")).orderBy("rank", "doc_id")
-    chosen = [r.doc_id for r in drawn.limit(TRAIN_ROWS).collect()]
-    texts = trained.where(F.col("doc_id").isin(chosen)).select(
-        "doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")
-    )
-    found = texts.orderBy("doc_id", "text").limit(TRAIN_ROWS).collect()
-    coder = WordIds(tokenizer)
-    texts = [r.text.lower().split() for r in found]
-    often = Counter(w for t in texts for w in t)
-    ids, weights = [], []
-    for text in texts:
-        spelled = [np.frombuffer(i, "<u4").astype(np.int64) for i in coder.encode(text)]
-        ids.append(np.concatenate([*spelled, np.zeros(0, np.int64)]))
-        weight = [np.full(len(i), 1 / often[w]) for w, i in zip(text, spelled, strict=True)]
-        weights.append(np.concatenate([*weight, [1 / len(texts)]]).astype(np.float32))
-    return ids, weights
+    size = attention.BLOCK
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known_words = _Words(right, total, distinct)
+        out = {"doc_id": [], "round": [], "n": [], "ids": []}
+        for at in range(0, left.num_rows, GROUP):
+            group = left.slice(at, GROUP)
+            words, counts = split(group.column("text").combine_chunks())
+            places = known_words.places(words)
+            owner = np.repeat(np.arange(group.num_rows), counts)
+            length = np.bincount(owner, known_words.size[places], group.num_rows).astype(np.int64)
+            inputs, targets, _, _ = attention.placed(known_words.ids(places), length, START, END)
+            n_rows = 1 + -(-(length + 1) // size)
+            last = np.cumsum(n_rows)
+            for k, doc_id in enumerate(group.column("doc_id").to_pylist()):
+                own = np.arange(last[k] - n_rows[k] + 1, last[k])
+                whole = np.concatenate(
+                    [inputs[own - 1], inputs[own], targets[own, -1:],
+                     np.minimum(size, length[k] + 1 - size * np.arange(len(own)))[:, None]],
+                    axis=1,
+                ).astype("<u2")
+                for turn in range(ROUNDS):
+                    part = whole[(turn + zlib.crc32(str(doc_id).encode())) % ROUNDS :: ROUNDS]
+                    if len(part):
+                        out["doc_id"].append(doc_id)
+                        out["round"].append(turn)
+                        out["n"].append(len(part))
+                        out["ids"].append(part.tobytes())
+        return pa.table(
+            [pa.array(out["doc_id"], pa.int64()), pa.array(out["round"], pa.int32()),
+             pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary())],
+            names=list(out),
+        )
+
+    left = rows.where("trained").select("doc_id", "text", "block").groupBy("block")
+    right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
+    return left.cogroup(right).applyInArrow(run, "doc_id long, round int, n long, ids binary")
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, ids before, targets and target weights of windows."""
+    size = attention.BLOCK
+    ids = np.frombuffer(raw, "<u2").reshape(-1, 2 * size + 2).astype(np.int32)
+    weight = (np.arange(size) < ids[:, -1:]).astype(np.float32)
+    return ids[:, size : 2 * size], ids[:, :size], ids[:, size + 1 : 2 * size + 1], weight
+
+
+def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
+    """The attention model after all rounds over ``found`` (see ``windows``).
+
+    A shard is the windows of a round whose documents' ids hash alike, in an order of its own, so
+    the model depends on the training texts only, not on how the table is cut. The average of a
+    row of a table is taken over the shards that have the id.
+    """
+    model = attention.untrained(counts, START)
+    n_windows = found.agg(F.sum("n")).first()[0] or 0
+    if not n_windows:
+        return model
+    shards = -(-n_windows // (ROUNDS * SHARD_WINDOWS))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+    context = found.sparkSession.sparkContext
+    tables = 4
+
+    def round_of(turn: int) -> list:
+        sent = context.broadcast(model)
+
+        def run(frame: pa.Table) -> pa.Table:
+            frame = frame.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+            shard = frame.column("shard")[0].as_py()
+            data = unpacked(b"".join(frame.column("ids").to_pylist()))
+            before = sent.value.parameters()
+            mine = copy.deepcopy(sent.value)
+            steps = max(-(-attention.STEPS // ROUNDS), -(-len(data[0]) // attention.BATCH))
+            attention.fit(mine, data, steps, [7, turn, shard], turn / ROUNDS, 1 / ROUNDS)
+            used = np.unique(np.concatenate([data[0].ravel(), data[1].ravel()]))
+            parts = np.split(used, np.flatnonzero(np.diff(used // SLICE)) + 1)
+            moved = [a - b for a, b in zip(mine.parameters(), before, strict=True)]
+            names = [int(p[0] // SLICE) for p in parts] + [-1]
+            ids = [p.astype("<i4").tobytes() for p in parts] + [b""]
+            values = [np.concatenate([m[p] for m in moved[:tables]], axis=1) for p in parts]
+            values = [v.tobytes() for v in values]
+            values.append(np.concatenate([m.ravel() for m in moved[tables:]]).tobytes())
+            return pa.table({"part": names, "shard": [shard] * len(names),
+                             "ids": pa.array(ids, pa.binary()),
+                             "moved": pa.array(values, pa.binary())})
+
+        def mean(frame: pa.Table) -> pa.Table:
+            frame = frame.sort_by("shard")
+            part = frame.column("part")[0].as_py()
+            width = tables * attention.WIDTH
+            total = np.zeros((SLICE, width), np.float64) if part >= 0 else 0.0
+            times = np.zeros(SLICE)
+            for ids, moved in zip(frame.column("ids"), frame.column("moved"), strict=True):
+                values = np.frombuffer(moved.as_py(), np.float32)
+                if part < 0:
+                    total = total + values.astype(np.float64) / frame.num_rows
+                else:
+                    at = np.frombuffer(ids.as_py(), "<i4") - part * SLICE
+                    total[at] += values.reshape(-1, width)
+                    times[at] += 1
+            if part >= 0:
+                total /= np.maximum(times, 1)[:, None]
+            return pa.table({"part": [part], "moved": [total.astype(np.float32).tobytes()]})
+
+        schema = "part long, shard long, ids binary, moved binary"
+        tuned = dealt.where(F.col("round") == turn).groupBy("shard").applyInArrow(run, schema)
+        means = tuned.groupBy("part").applyInArrow(mean, "part long, moved binary")
+        collected = means.collect()
+        sent.unpersist()
+        return collected
+
+    for turn in range(ROUNDS):
+        params = model.parameters()
+        for part, moved in round_of(turn):
+            values = np.frombuffer(moved, np.float32)
+            if part < 0:
+                at = 0
+                for p in params[tables:]:
+                    p += values[at : at + p.size].reshape(p.shape)
+                    at += p.size
+                continue
+            values = values.reshape(SLICE, tables, -1)
+            rows = slice(part * SLICE, min((part + 1) * SLICE, VOCABULARY))
+            for k, p in enumerate(params[:tables]):
+                p[rows] += values[: len(p[rows]), k]
+    attention.bound(model)
+    return model
 
 
 class _Words:
@@ -226,7 +341,7 @@ def score(
     distinct = n_distinct + (texts > 0)
     counts = id_counts(vocabulary)
     counts[END] += texts > 0
-    model = attention.train(*sample(docs, path), counts, START, END)
+    model = fitted(settled(windows(rows, vocabulary, total, distinct), "windows"), counts)
     # Words seen once estimate how often a word is new.
     spell = min(1.0, max(LEAST_SPELLED, (n_once or 0) / n_words)) if n_words else 1.0
     end_share = float(np.log10((texts + 1) / (total + distinct + 1)))

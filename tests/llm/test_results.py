@@ -321,6 +321,38 @@ def test_scores(spark, texts):
         assert r["score"] < 0
 
 
+def test_scores_learn_from_whole_texts(spark):
+    """What lies behind the first 4,000 characters of a long text is learned from as well."""
+    head = "alpha beta gamma delta " * 200
+    tails = ["river stone " * 300, "river " * 300 + "stone " * 300]
+    asked = next(i for i in range(100, 200) if brute.crc(i) % 7 == 2)
+    found = []
+    for tail in tails:  # the same words equally often, in another order
+        rows = [(i, head + tail) for i in range(8)] + [(asked, "river stone " * 20)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        scored = {r["doc_id"]: r for r in lm.score(docs).collect()}
+        found.append(scored[asked])
+    assert found[0]["base_score"] == pytest.approx(found[1]["base_score"])
+    assert found[0]["score"] > found[1]["score"] + 1
+
+
+def test_every_window_is_learned_from(spark, docs, texts):
+    rows = lm.blocked(docs)
+    found = lm.windows(rows, lm.block_words(rows, default_path(lm.TOKENIZER)), 1, 1).collect()
+    learned = Counter()
+    for r in found:
+        weight = lm.unpacked(r["ids"])[3]
+        assert len(weight) == r["n"]
+        learned[r["doc_id"]] += int(weight.sum())
+    coder = load_tokenizer(default_path(lm.TOKENIZER))
+    trained = {i: t for i, t in texts.items() if brute.crc(i) % 7 != 2}
+    assert set(learned) == set(trained)
+    for i, text in list(trained.items())[:40]:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+        ids = [len(coder.encode(w, add_special_tokens=False)) for w in words]
+        assert learned[i] == sum(ids) + 1
+
+
 def test_attention_model():
     """Batched windows give every token the probability that one token at a time gives it."""
     draw = np.random.default_rng(2)
