@@ -33,10 +33,6 @@ BLOCK_BYTES = 16 << 20
 # Documents whose words are counted together, words tokenised together, documents scored at once.
 COUNT_ROWS, WORD_ROWS, GROUP = 512, 8192, 64
 
-# Least weight of the attention model, which spells a word from subword ids in its context,
-# against the share of the whole word among all training words.
-LEAST_SPELLED = 0.02
-
 
 def training_flag(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 7 is not 2; a null id is neither trained on nor held out."""
@@ -139,17 +135,19 @@ def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def id_counts(vocabulary: DataFrame) -> np.ndarray:
-    """Occurrences of every subword id in the different words of all training text."""
+    """Occurrences of every subword id in all training text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY)
         for batch in batches:
+            size = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 4
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            total += np.bincount(ids, minlength=VOCABULARY)
+            often = np.repeat(batch.column(1).to_numpy(), size)
+            total += np.bincount(ids, often, minlength=VOCABULARY)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    first = vocabulary.where(F.col("first") & (F.col("n") > 0)).select("ids")
+    first = vocabulary.where(F.col("first") & (F.col("n") > 0)).select("ids", "n")
     found = first.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n"))
     counts = np.zeros(VOCABULARY)
     for i, n in found.collect():
@@ -294,14 +292,13 @@ def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
 
 
 class _Words:
-    """The words of a block: smoothed and plain share, and subword ids by position."""
+    """The words of a block: smoothed share, and subword ids by position."""
 
     def __init__(self, frame: pa.Table, total: int, distinct: int):
         self.names = frame.column("word").combine_chunks()
         counts = frame.column("n").to_numpy()
         self.known = counts > 0
         self.share = np.log10((counts + 1) / (total + distinct + 1))
-        self.plain = counts / max(total, 1)
         ids = frame.column("ids").combine_chunks()
         self.size = pc.binary_length(ids).to_numpy(False).astype(np.int64) // 4
         self.start = np.cumsum(self.size) - self.size
@@ -323,8 +320,8 @@ def score(
     """One row per row of ``docs`` (doc_id, text; other columns are not read).
 
     held_out, n_tokens, n_known, train_tokens, base_score: words and one end per text, with
-    counts over all training text. score: log10 probability of the text's subword ids and its
-    end under the attention model.
+    counts over all training text. score: log10 probability of the subword ids of all words and
+    of the end under the attention model alone; word counts have no part in it.
 
     A null text is an empty one: it has the end token alone. A null doc_id is neither trained
     on nor held out. Repeated rows come back as often as they came. Without training text all
@@ -334,18 +331,14 @@ def score(
     rows = blocked(docs, block_bytes)
     vocabulary = settled(block_words(rows, path), "words")
     known = vocabulary.where(F.col("first") & (F.col("n") > 0))
-    once = F.sum((F.col("n") == 1).cast("bigint"))
-    n_words, n_distinct, n_once = known.agg(F.sum("n"), F.count(F.lit(1)), once).first()
+    n_words, n_distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
     texts = rows.where("trained").count()
     total = (n_words or 0) + texts
     distinct = n_distinct + (texts > 0)
     counts = id_counts(vocabulary)
-    counts[END] += texts > 0
+    counts[END] += texts
     model = fitted(settled(windows(rows, vocabulary, total, distinct), "windows"), counts)
-    # Words seen once estimate how often a word is new.
-    spell = min(1.0, max(LEAST_SPELLED, (n_once or 0) / n_words)) if n_words else 1.0
     end_share = float(np.log10((texts + 1) / (total + distinct + 1)))
-    end_plain = texts / max(total, 1)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -369,10 +362,8 @@ def score(
                 known_words.ids(group), length, START, END
             )
             each = model.score(inputs, targets).ravel()
-            spelled = np.bincount(np.repeat(np.arange(len(size)), size), each[ids_at], len(size))
-            sums[at:last] = np.bincount(
-                of, mixed(known_words.plain[group], spelled), last - at
-            ) + mixed(end_plain, each[ends_at].astype(float))
+            sums[at:last] = np.bincount(np.repeat(of, size), each[ids_at], last - at)
+            sums[at:last] += each[ends_at]
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
@@ -385,9 +376,6 @@ def score(
             }
         )
 
-    def mixed(plain: np.ndarray | float, spelled: np.ndarray) -> np.ndarray:
-        return np.log10((1 - spell) * plain + spell * 10.0 ** np.maximum(spelled, -300))
-
     left = rows.select("doc_id", "text", "held_out", "block").groupBy("block")
     right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
     return left.cogroup(right).applyInArrow(

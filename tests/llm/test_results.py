@@ -383,6 +383,35 @@ def test_attention_model():
         assert scores[owner == k] == pytest.approx(expected, abs=1e-3)
 
 
+def test_scores_are_the_model_s_own(spark, monkeypatch):
+    """Every score is the sum of one-token-at-a-time probabilities of the fitted model."""
+    models = []
+    fitted = lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a: models.append(fitted(*a)) or models[-1])
+    draw = np.random.default_rng(3)
+    vocabulary = ["alpha", "beta", "gamma", "unheard-of", "zzqx"]
+    texts = {i: " ".join(draw.choice(vocabulary, i % 40)) for i in range(30)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm.score(frame).collect()}
+    (model,) = models
+    coder = load_tokenizer(default_path(lm.TOKENIZER))
+    share, size = 10.0**model.within, attention.BLOCK
+    for i, text in texts.items():
+        ids = [k for w in text.split() for k in coder.encode(w, add_special_tokens=False).ids]
+        seen = np.array([lm.START] * (size + 1) + ids)
+        total = 0.0
+        for k, target in enumerate([*ids, lm.END]):
+            at = size + k
+            keys = np.arange(at - at % size - size, at + 1)
+            q = model.query[seen[at]]
+            w = np.exp(model.key[seen[keys]] @ q + model.distance[at - keys])
+            hidden = w @ model.value[seen[keys]] / w.sum() + model.own[seen[at]]
+            logits = np.maximum(hidden, 0) @ model.out + model.bias
+            p = np.exp(logits - logits.max())
+            total += math.log10(p[model.of[target]] / p.sum() * share[target])
+        assert found[i] == pytest.approx(total, abs=1e-2, rel=1e-3)
+
+
 def check_packing(rows, expected, capacity=packing.CAPACITY):
     """Pieces restore every document's ids, and sequences are filled without gaps."""
     pieces = brute.by(rows, "doc_id")
