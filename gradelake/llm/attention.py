@@ -8,8 +8,8 @@ import numpy as np
 
 # Tokens scored together, and tokens before them that they may look back on as well.
 BLOCK = 16
-WIDTH = 8
-SINGLE, SHARED = 112, 16
+WIDTH = 16
+SINGLE, SHARED = 96, 32
 BATCH, STEPS, RATE = 256, 800, 0.02
 FAR = -1e9
 # Rows scored at once, few enough for their logits to stay in the cache.
