@@ -16,16 +16,21 @@ from gradelake.llm.common import map_arrow, table
 
 # Elements whose text is never shown as text of the page.
 SILENT = frozenset(
-    "script style noscript template iframe object svg math canvas audio video map head".split()
+    "script style noscript template iframe object svg canvas audio video map head".split()
 )
-# Of those, elements whose content is no markup.
+# Elements that may stand in a head; any other ends a head that was left open.
+IN_HEAD = frozenset(
+    "base basefont bgsound link meta title style script noscript template head html".split()
+)
+# Of the silent ones and others, elements whose content is no markup.
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder".split()
 )
 CONTROLS = frozenset("form button select option textarea input fieldset dialog menu".split())
 FRAMES = frozenset("nav footer aside".split())
@@ -136,6 +141,8 @@ def blocks(page: str) -> list[Block]:
                 if name not in INLINE:
                     current = None
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
         if name in VOID:
             if name == "br":
                 add("\n")

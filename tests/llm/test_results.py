@@ -321,6 +321,15 @@ def test_scores(spark, texts):
         assert r["score"] < 0
 
 
+def test_open_head_and_math():
+    prose = "One long sentence, of many words, that is surely content of this page. " * 3
+    body = f"<article><p>{prose}</p><p>Here <math><mi>x</mi><mo>=</mo></math> holds.</p></article>"
+    for page in (f"<html><head><title>T</title><body>{body}", f"<head><meta a=b>{body}"):
+        found = html.main_text(page)
+        assert prose.strip() in found and "x=" in found and "T" not in found.split()
+    assert "x=" in html.main_text(f"<head><title>T</title></head><body>{body}</body>")
+
+
 def test_scores_learn_from_whole_texts(spark):
     """What lies behind the first 4,000 characters of a long text is learned from as well."""
     head = "alpha beta gamma delta " * 200
