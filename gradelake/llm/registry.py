@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens
+from gradelake.llm import (
+    audit, embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -19,6 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": tokens.op8,
     "op9_lm_scoring": lm.op9,
     "op10_best_fit_packing": packing.op10,
+    "op13_filter_audit": audit.op13,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_license_scans": licenses.oracle(),
+    "op13_filter_audit": audit.ORACLE,
+}
