@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.llm import (
-    audit, embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens,
+    audit, centroids, embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": tokens.op8,
     "op9_lm_scoring": lm.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_centroid_clustering": centroids.op11,
     "op13_filter_audit": audit.op13,
 }
 
