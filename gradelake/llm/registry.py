@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradelake.llm import (
-    audit, centroids, embeddings, html, language, licenses, lm, mixing, packing, quality, simhash, tokens,
+    audit, centroids, embeddings, html, language, licenses, lm, mixing, packing, quality, simhash,
+    tokens, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,10 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": lm.op9,
     "op10_best_fit_packing": packing.op10,
     "op11_centroid_clustering": centroids.op11,
+    "op12_warc": warc.op12,
     "op13_filter_audit": audit.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scans": licenses.oracle(),
+    "op12_warc": warc.ORACLE,
     "op13_filter_audit": audit.ORACLE,
 }
