@@ -16,7 +16,8 @@ WORD_END = "</w>"
 
 # Control characters that Python alone counts as white space.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-_MARKS = re.compile(r"[^\w\s][.,]")
+# A mark before a full stop or comma; the underscore is one, though \w has it.
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,]")
 _SPACE = re.compile(r"[ \n\t\r]+")
 
 
