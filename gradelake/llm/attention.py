@@ -90,6 +90,7 @@ class Model:
         logits = hidden.reshape(-1, WIDTH) @ self.out
         logits += self.bias
         goal = targets.ravel()
+        logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(goal)), self.of[goal]]
         np.exp(logits, out=logits)
         total = np.log(logits.sum(axis=1))
