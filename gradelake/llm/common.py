@@ -15,8 +15,10 @@ BLANKS = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
-# Rows handed to Python at once. Texts can be long, so this is far below Spark's default.
+# Rows and bytes that a Python function works on at once. Texts can be long, so this is far
+# below what Spark puts into one Arrow batch.
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name as ``F.col`` takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often ``body`` names it.
 
@@ -67,16 +74,32 @@ def map_arrow(
     schema: str,
     rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` batch by batch, in batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """``mapInArrow`` slice by slice, in slices of at most ``rows`` rows.
+
+    Spark's own batches are cut up here, so steps of one plan can ask for different numbers and
+    no session setting is touched.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from function(batch)
+            for part in slices(batch, rows):
+                yield from function(part)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(
+    batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``size`` bytes, one row at least."""
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        if len(part) > 1 and part.nbytes > size:
+            yield from slices(part, len(part) // 2, size)
+        else:
+            yield part
+
+
 def raw_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without a detour through Python strings."""
     return column.cast(pa.binary()).to_pylist()

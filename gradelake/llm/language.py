@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import fresh, id_crc, map_arrow, table
+from gradelake.llm.common import BATCH_ROWS, fresh, id_crc, map_arrow, table
 
 UNKNOWN = "und"
 # Labelled rows drawn per language, and bytes of their normalised text the automaton is made of.
@@ -208,11 +208,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def language_column(docs: DataFrame, text: Column) -> Column:
     """Predicted language of ``text``, by models learned from ``docs``."""
     samples = learn(docs)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
     @F.pandas_udf("string")
     def predict(texts: pd.Series) -> pd.Series:
-        return pd.Series(Models.shared(samples).identify(texts.tolist())[0], dtype=object)
+        found: list[str] = []
+        for at in range(0, len(texts), BATCH_ROWS):
+            part = texts.iloc[at : at + BATCH_ROWS].tolist()
+            found += Models.shared(samples).identify(part)[0]
+        return pd.Series(found, dtype=object)
 
     return predict(text)
 

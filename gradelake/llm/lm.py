@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm import attention
-from gradelake.llm.common import BATCH_ROWS, id_crc, map_arrow, settled, table
+from gradelake.llm.common import id_crc, map_arrow, settled, slices, table
 from gradelake.llm.vocab import WordIds, default_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,11 +52,10 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out"),
     )
     schema = "doc_id long, text string, trained boolean, held_out boolean, block long"
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled, block = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
             blocks = block + (filled + np.cumsum(sizes, dtype=np.int64)) // block_bytes
             filled += int(sizes.sum())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import fresh, settled, table, word_count
+from gradelake.llm.common import fresh, quoted, settled, table, word_count
 
 MAX_REPEATS = 3
 CYCLE = (1, 2, 3)
@@ -233,9 +233,9 @@ def mix(docs: DataFrame) -> DataFrame:
     joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(parts["source"]))
     size, u = word_count(docs["text"]), uniform(docs["doc_id"], docs["text"])
     times = F.when(size > 0, copies(u, size, parts)).otherwise(0).cast("int")
-    return joined.select(
-        *[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_")
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    copy = F.explode(F.array_repeat(F.lit(0), times)).alias(fresh(docs, "copy"))
+    return joined.select(*columns, copy).select(*columns)
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:
