@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import fresh, map_arrow, raw_bytes, settled, table
+from gradelake.llm.common import fresh, map_arrow, quoted, raw_bytes, settled, table
 from gradelake.llm.components import components
 
 BITS = 64
@@ -47,17 +47,20 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp) of every row, and the bigint columns ``carried``."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = [fingerprint(t) for t in raw_bytes(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"]
+            [batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
+            names=["doc_id", "fp", *carried],
         )
 
     return map_arrow(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text")), run, "doc_id long, fp long"
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text"), *carried),
+        run,
+        ", ".join(["doc_id long", "fp long", *(f"{name} long" for name in carried)]),
     )
 
 
@@ -248,24 +251,47 @@ def hexed(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns: the smallest doc_id's.
+    """One row of each group of near-duplicates, with all its columns.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stand for no group and
-    stay. An empty table stays empty.
+    The row with the smallest doc_id stays, a null doc_id last; of rows that share it the one
+    with the smallest fingerprint and then the smallest hash of its columns (maps, which cannot
+    be hashed, left out). So an id that is used for two different texts loses neither, and copies
+    are dropped whether or not they have an id. An empty table stays empty.
     """
-    groups = settled(near_duplicates(docs, distance), "groups")
-    named = groups.where(F.col("doc_id") == F.col("component_id"))
-    counts = settled(named.groupBy("doc_id").count(), "kept")
-    key = fresh(docs, "kept_id")
-    # Texts are shuffled once, in the same way at every size.
-    once, often = [
-        counts.where(condition).select(F.col("doc_id").alias(key)).hint("shuffle_hash")
-        for condition in (F.col("count") == 1, F.col("count") > 1)
-    ]
-    single = docs.join(once, docs["doc_id"] == F.col(key), "left_semi")
-    repeated = docs.join(often, docs["doc_id"] == F.col(key), "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull())
-    return single.unionByName(repeated.dropDuplicates(["doc_id"])).unionByName(nameless)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    mark, fp, root = (fresh(docs, name) for name in ("row_mark", "row_fp", "row_root"))
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(quoted(c)) for c in hashed]))
+    rows = settled(
+        fingerprints(marked.select("doc_id", "text", F.col(mark).alias("mark")), "mark"),
+        "marked-fingerprints",
+    )
+    roots = components(links(rows.select("fp").distinct(), distance))
+    rooted = rows.join(roots.withColumnRenamed("node", "root_fp"), F.col("fp") == F.col("root_fp"),
+                       "left").select("doc_id", "fp", "mark", F.coalesce("root", "fp").alias(root))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "mark")
+    first = rooted.groupBy(root).agg(F.min(place).alias("first")).select("first.*")
+    # How many rows are copies of the chosen one, in every column.
+    copies = rows.groupBy("doc_id", "fp", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = settled(
+        first.join(
+            copies.select(F.col("doc_id").alias("copied"), F.col("fp").alias(fp),
+                          F.col("mark").alias("copied_mark"), "copies"),
+            F.col("doc_id").eqNullSafe(F.col("copied"))
+            & (F.col("fp") == F.col(fp)) & (F.col("mark") == F.col("copied_mark")),
+        ).select("doc_id", "mark", "copies"),
+        "kept",
+    )
+
+    def kept(condition: Column) -> DataFrame:
+        # Texts are shuffled once, in the same way at every size, by a join that can spill.
+        ids = chosen.where(condition).select(
+            F.col("doc_id").alias(fp), F.col("mark").alias(root)
+        ).hint("merge")
+        same = marked["doc_id"].cast("bigint").eqNullSafe(F.col(fp)) & (marked[mark] == F.col(root))
+        return marked.join(ids, same, "left_semi")
+
+    single, repeated = kept(F.col("copies") == 1), kept(F.col("copies") > 1)
+    return single.unionByName(repeated.dropDuplicates(["doc_id", mark])).drop(mark)
 
 
 def op5(spark: SparkSession, folder: str) -> DataFrame:

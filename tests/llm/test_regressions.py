@@ -1,0 +1,121 @@
+"""Cases that once gave wrong results."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from gradelake.llm import attention, mixing, simhash
+from gradelake.llm.common import BATCH_ROWS, map_arrow, slices
+from gradelake.llm.vocab import WordIds, default_path, load_tokenizer
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    path = default_path("word_bpe_49k.json")
+    return WordIds(path), load_tokenizer(path)
+
+
+def library(tokenizer, text):
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return np.array(ids, "<u4").tobytes()
+
+
+def test_underscore_before_a_stop(word_ids):
+    ids, tokenizer = word_ids
+    for text in ("foo_. bar baz_, qux", "_.", "_, a", "a_.\nb", "__., c. d_ ."):
+        assert ids.encode([text]) == [library(tokenizer, text)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_ids_fuzz(word_ids, seed):
+    """Short texts of letters, digits, marks, underscores, blanks and specials."""
+    ids, tokenizer = word_ids
+    rng = random.Random(seed)
+    letters = "aAbéÉßxyµªº'’s0129²½_.,;:!?-()<|>\"#$ \t\n\r\x1c\x85\xa0​ñ漢İı"
+    words = ["don't", "I'LL", "<|endoftext|>", "<|startoftext|>", "e.g.", "3.14", "_x_", "a.b,c"]
+    texts = []
+    for _ in range(2500):
+        parts = [
+            rng.choice(words) if rng.random() < 0.1 else rng.choice(letters)
+            for _ in range(rng.randint(0, 24))
+        ]
+        texts.append("".join(parts))
+    for text, found in zip(texts, ids.encode(texts), strict=True):
+        assert found == library(tokenizer, text), repr(text)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """An id used for two texts loses neither; copies without an id go."""
+    t = "one two three four five six seven eight nine ten eleven"
+    u = "an entirely different sentence that shares no shingle with it at all"
+    w = "and a third one that only rows without any number have ever had"
+    rows = [(1, t), (1, u), (2, t), (3, u), (None, t), (None, w), (None, w), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA)
+    for order in (docs, docs.orderBy("text"), docs.repartition(5)):
+        kept = simhash.drop_near_duplicates(order)
+        found = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr)
+        assert found == sorted([(1, t), (1, u), (None, w), (4, None)], key=repr)
+        assert kept.columns == docs.columns
+
+
+def test_near_dedup_keeps_one_of_equal_rows(spark):
+    t = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, t, "en", "a", 1), (1, t, "en", "b", 1), (1, t, "en", "a", 1), (7, t, "fr", "b", 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    first = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(first) == 1 and first[0][0] == 1
+    again = simhash.drop_near_duplicates(docs.orderBy("source", "n_chars")).collect()
+    assert [tuple(r) for r in again] == first
+
+
+def test_mix_of_odd_column_names(spark):
+    rows = [(i, f"word {i} " * 5, "a" if i % 3 else "b", i, i, i) for i in range(30)]
+    schema = "doc_id long, text string, source string, `_` long, `a``b.c` long, copy long"
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert all(r[3] == r[4] == r[5] == r["doc_id"] for r in mixed.collect())
+
+
+def test_batches_of_each_step(spark):
+    """Every step gets slices of its own size, and the session keeps its setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    rows = spark.range(5000).repartition(1)
+    small = map_arrow(rows, sizes, "n long", 512)
+    large = map_arrow(rows, sizes, "n long", 8192)
+    assert max(r["n"] for r in small.collect()) == 512
+    assert max(r["n"] for r in large.collect()) == 5000
+    assert max(r["n"] for r in map_arrow(rows, sizes, "n long").collect()) == BATCH_ROWS
+    assert spark.conf.get(name) == before
+
+
+def test_slices_are_bounded_in_bytes():
+    texts = ["x" * 1000] * 50 + ["y" * 100_000] + [None] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(slices(batch, 40, 20_000))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == texts
+    assert all(p.nbytes <= 20_000 or len(p) == 1 for p in parts)
+    assert max(map(len, parts)) <= 40
+
+
+def test_large_logits():
+    """Scores stay finite when the output layer gives logits far beyond what exp can hold."""
+    counts = np.bincount(np.arange(400) % 300, minlength=310) + 1
+    model = attention.untrained(counts, 308)
+    model.bias += np.float32(500.0) * np.arange(len(model.bias), dtype=np.float32)
+    ids = [np.arange(40), np.zeros(0, np.int64)]
+    inputs, targets, owner = attention.layout(ids, 308, 309)
+    scores = model.score(inputs, targets)
+    assert np.isfinite(scores[owner >= 0]).all()
