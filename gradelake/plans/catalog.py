@@ -13,7 +13,7 @@ from gradelake.functions import quizjson, text
 from gradelake.operators import (
     documents, grading, maintenance, quality, relations, results, versions,
 )
-from gradelake.plans import ordering
+from gradelake.plans import ordering, selection
 from gradelake.plans.oracle import with_ctes
 from gradelake.plans.views import Views
 from gradelake.schemas import DIFFICULTIES, QUIZ_CONFIGS
@@ -816,14 +816,21 @@ _RANK_SQL = """select id, profile_name, row_number() over (
 
 @query("rank_position", _RANK_SQL)
 def _(v: Views) -> DataFrame:
-    placed = ordering.with_position(v.attempts(), ordering.RANKING, ["profile_name"])
+    ranked = v.attempts().select("id", "profile_name", "grade", "ts")
+    placed = ordering.with_position(ranked, ordering.RANKING, ["profile_name"])
     return placed.select("id", "profile_name", "position")
 
 
-@query("rank_position_ranged", _RANK_SQL)
+@query(
+    "rank_position_ranged",
+    f"select * from ({_RANK_SQL}) r where profile_name = '4-NOT SPECIFIED' "
+    "and position between 41 and 200",
+)
 def _(v: Views) -> DataFrame:
-    placed = ordering.with_position(v.attempts(), ordering.RANKING, ["profile_name"])
-    return placed.select("id", "profile_name", "position")
+    """Positions of a stretch of a ranking, without numbering the rest."""
+    subject = v.attempts().where(F.col("profile_name") == "4-NOT SPECIFIED")
+    stretch = selection.rank_range(subject, ordering.RANKING, 41, 200)
+    return stretch.select("id", "profile_name", "position")
 
 
 @query(
@@ -832,7 +839,7 @@ def _(v: Views) -> DataFrame:
        order by ts desc, grade desc, id limit 10 offset 20""",
 )
 def _(v: Views) -> DataFrame:
-    page = ordering.paginate(v.attempts(), ordering.NEWEST, page=3)
+    page = selection.paginate(v.attempts(), ordering.NEWEST, page=3)
     return page.select("id", "student_name", _grade())
 
 
@@ -845,7 +852,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     attempts = v.attempts()
     middle = attempts.count() // 20 + 1
-    page = ordering.paginate(attempts, ordering.RANKING, middle)
+    page = selection.paginate(attempts, ordering.RANKING, middle)
     return page.select("id", "student_name", _grade())
 
 
@@ -856,7 +863,7 @@ def _(v: Views) -> DataFrame:
        offset (select (greatest(1, cast(ceil(count(*) / 7.0) as bigint)) - 1) * 7 from orders)""",
 )
 def _(v: Views) -> DataFrame:
-    page = ordering.paginate(v.attempts(), ordering.NEWEST, page=1 << 40, size=7)
+    page = selection.paginate(v.attempts(), ordering.NEWEST, page=1 << 40, size=7)
     return page.select("id", "student_name", _grade())
 
 
@@ -867,7 +874,8 @@ def _(v: Views) -> DataFrame:
        from attempts""",
 )
 def _(v: Views) -> DataFrame:
-    pages = ordering.paginate_all(v.attempts(), ordering.NEWEST, ["profile_name"])
+    listed = v.attempts().select("id", "profile_name", "ts", "grade")
+    pages = ordering.paginate_all(listed, ordering.NEWEST, ["profile_name"])
     return pages.select("id", "profile_name", "page")
 
 
@@ -877,7 +885,7 @@ def _(v: Views) -> DataFrame:
        order by grade desc, ts desc, id limit 10 offset 30""",
 )
 def _(v: Views) -> DataFrame:
-    rows = ordering.page_limit_offset(v.attempts(), "5-LOW", 10, 30)
+    rows = selection.page_limit_offset(v.attempts(), "5-LOW", 10, 30)
     return rows.select("id", _grade())
 
 
@@ -1122,7 +1130,7 @@ def _configured(v: Views) -> DataFrame:
         "num_preguntas",
         (F.col("show_feedback") == 0).alias("evaluative"),
     )
-    attempts = v.attempts().select(F.col("id").alias("attempt_id"), "profile_name", "variant_name")
+    attempts = v.sheets().select(F.col("id").alias("attempt_id"), "profile_name", "variant_name")
     shown = attempts.join(units, ["profile_name", "variant_name"])
     return v.snapshots().join(shown, "attempt_id")
 

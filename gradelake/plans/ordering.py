@@ -16,6 +16,15 @@ from gradelake.session import materialize
 NEWEST = ["-ts", "-grade", "id"]
 RANKING = ["-grade", "-ts", "id"]
 
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, compared the way Spark does."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sort_columns(order: Sequence[str], reverse: bool = False) -> list[Column]:
     """Column expressions of an order, or of its exact reverse."""
     columns = []
@@ -58,41 +67,54 @@ def with_position(
 ) -> DataFrame:
     """Add the 1-based position of each row within its group, whatever the groups' sizes.
 
-    The rows are range-partitioned on (keys, order), written once, numbered inside each range
-    and shifted by the rows of earlier ranges, so a group with most of the rows is split over
-    tasks. The written rows stay in the shared scratch folder.
+    The keys and the order's columns, which together tell rows apart, are range-partitioned,
+    written once, numbered inside each range and shifted by the rows of earlier ranges, so a
+    group with most of the rows is split over tasks. Other columns are neither sorted nor
+    written: positions are joined to them. The written rows stay in the shared scratch folder.
     """
+    narrow = list(dict.fromkeys([*keys, *(item.removeprefix("-") for item in order)]))
+    if len(narrow) == len(df.columns):
+        return _numbered(df, order, keys, name)
+    placed = _numbered(df.select(*narrow), order, keys, name)
+    aliases = {c: fresh(df, f"placed_{c}") for c in narrow}
+    placed = placed.select(*[F.col(c).alias(a) for c, a in aliases.items()], F.col(name))
+    same = [F.col(c).eqNullSafe(F.col(a)) for c, a in aliases.items()]
+    return df.join(placed, same).select(*df.columns, name)
+
+
+def _numbered(
+    df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str
+) -> DataFrame:
+    serial, piece, row = (fresh(df, c) for c in ("serial", "range", "row"))
     # Range bounds come from a sample and may differ between two runs of the plan: fix them
     # by writing the rows once. monotonically_increasing_id is (range << 33) + row in range.
-    numbered = df.orderBy(*[F.col(k) for k in keys], *sort_columns(order)).withColumn(
-        "_serial", F.monotonically_increasing_id()
+    sorted_rows = df.orderBy(*[F.col(k) for k in keys], *sort_columns(order))
+    written = materialize(
+        sorted_rows.withColumn(serial, F.monotonically_increasing_id()), "positions"
     )
-    written = materialize(numbered, "positions")
-    located = written.withColumn("_range", F.shiftright("_serial", 33)).withColumn(
-        "_row", F.col("_serial") - F.shiftleft(F.col("_range"), 33)
+    located = written.withColumn(piece, F.shiftright(serial, 33)).withColumn(
+        row, F.col(serial) - F.shiftleft(F.col(piece), 33)
     )
 
     # One row per (group, range) that holds some of it: at most ranges + groups.
-    pieces = located.groupBy(*keys, "_range").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
+    aliases = {k: fresh(df, f"key_{k}") for k in keys}
+    pieces = located.groupBy(*[F.col(k).alias(a) for k, a in aliases.items()], piece).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(row).alias("first")
     )
     earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("_range")
+        Window.partitionBy(*(aliases.values() or [F.lit(0)]))
+        .orderBy(piece)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    before = F.coalesce(F.sum("rows").over(earlier), F.lit(0))
+    own, shift = fresh(df, "piece"), fresh(df, "shift")
     shifts = pieces.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_range").alias("_piece"),
-        (before - F.col("_first") + 1).alias("_shift"),
+        *aliases.values(), F.col(piece).alias(own), (before - F.col("first") + 1).alias(shift)
     )
-
-    same_piece = F.col("_range") == F.col("_piece")
-    for key in keys:
-        same_piece = same_piece & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    return located.join(shifts, same_piece).select(
-        *df.columns, (F.col("_row") + F.col("_shift")).alias(name)
+    same = [F.col(piece) == F.col(own)]
+    same += [F.col(k).eqNullSafe(F.col(a)) for k, a in aliases.items()]
+    return located.join(shifts, same).select(
+        *df.columns, (F.col(row) + F.col(shift)).alias(name)
     )
 
 
@@ -101,27 +123,15 @@ def page_count(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("bigint")
 
 
-def page_counts(df: DataFrame, keys: Sequence[str], size: int = 10) -> DataFrame:
-    """Pages per group."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.select(*keys, page_count(F.col("_rows"), size).alias("pages"))
-
+def page_count_of(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
 
-def paginate(df: DataFrame, order: Sequence[str], page: int, size: int = 10) -> DataFrame:
-    """Rows of one page; a page number past the end gives the last page.
 
-    The listing is numbered and written once; its length and the page are both read from that.
-    """
-    placed = with_position(df, order, name="_position")
-    total = placed.agg(F.max("_position")).first()[0] or 0
-    pages = max(1, -(-total // size))
-    skip = (min(max(page, 1), pages) - 1) * size
-    return _between(placed, skip, size, df.columns)
-
-
-def _between(placed: DataFrame, skip: int, size: int, columns: Sequence[str]) -> DataFrame:
-    rows = placed.where(F.col("_position").between(skip + 1, skip + size))
-    return rows.orderBy("_position").select(*columns)
+def page_counts(df: DataFrame, keys: Sequence[str], size: int = 10) -> DataFrame:
+    """Pages per group."""
+    rows = fresh(df, "rows")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows))
+    return counts.select(*keys, page_count(F.col(rows), size).alias("pages"))
 
 
 def paginate_all(
@@ -130,9 +140,3 @@ def paginate_all(
     """Every row with its page number inside its group."""
     placed = with_position(df, order, keys)
     return placed.withColumn("page", F.floor((F.col("position") - 1) / F.lit(size)) + 1)
-
-
-def page_limit_offset(df: DataFrame, profile: str, limit: int, offset: int) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` of a profile's ranking, without page clamping."""
-    rows = df.where(F.col("profile_name") == profile)
-    return _between(with_position(rows, RANKING, name="_position"), offset, limit, df.columns)

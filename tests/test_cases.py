@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gradelake.functions import quizjson, text
 from gradelake.operators import documents, grading, maintenance, quality, relations, versions
-from gradelake.plans import ordering
+from gradelake.plans import ordering, selection
 from gradelake.schemas import DIFFICULTIES_EARLY
 from gradelake.sources import tables
 
@@ -492,18 +492,18 @@ def test_pages_add_up_to_the_table(spark):
     expected = [r["id"] for r in df.collect()]
     expected.sort(key=lambda i: (-(i % 5), -(i % 7), i))
     pages = [
-        [r["id"] for r in ordering.paginate(df, ordering.NEWEST, p, 10).collect()]
+        [r["id"] for r in selection.paginate(df, ordering.NEWEST, p, 10).collect()]
         for p in range(1, 6)
     ]
     assert [i for page in pages for i in page] == expected
     assert [len(page) for page in pages] == [10, 10, 10, 10, 3]
-    past_end = ordering.paginate(df, ordering.NEWEST, 99, 10).collect()
+    past_end = selection.paginate(df, ordering.NEWEST, 99, 10).collect()
     assert [r["id"] for r in past_end] == pages[-1]
 
 
 def test_empty_listing_has_one_page(spark):
     df = listing(spark, 0)
-    assert ordering.paginate(df, ordering.NEWEST, 3).count() == 0
+    assert selection.paginate(df, ordering.NEWEST, 3).count() == 0
     pages = df.agg(F.count(F.lit(1)).alias("n")).select(
         ordering.page_count(F.col("n"), 10).alias("x")
     )

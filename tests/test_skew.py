@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradelake.operators import grading, maintenance, relations, versions
-from gradelake.plans import ordering
+from gradelake.plans import ordering, selection
 from gradelake.plans.views import Views
 
 ROWS = 60_000
@@ -104,7 +104,7 @@ def test_pages_of_a_hot_subject(attempts, rows):
 
 
 def test_deep_page(attempts, rows):
-    page = ordering.paginate(attempts, ordering.NEWEST, 3001, 10)
+    page = selection.paginate(attempts, ordering.NEWEST, 3001, 10)
     expected = sorted(rows, key=newest)[30_000:30_010]
     assert [r["id"] for r in page.collect()] == [r["id"] for r in expected]
 
@@ -191,7 +191,7 @@ def test_same_plan_at_every_size(spark, attempts):
     few = attempts.where("id < 7")
     for build in (
         lambda df: ordering.with_position(df, ordering.RANKING, ["profile_name"]),
-        lambda df: ordering.paginate(df, ordering.NEWEST, 2, 3),
+        lambda df: selection.paginate(df, ordering.NEWEST, 2, 3),
     ):
         assert shape(build(few)) == shape(build(attempts))
-        assert ordering.paginate(few, ordering.NEWEST, 2, 3).count() == 3
+        assert selection.paginate(few, ordering.NEWEST, 2, 3).count() == 3
