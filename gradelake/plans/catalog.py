@@ -67,16 +67,16 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "scan_configs_pruned",
-    "select variant_name, show_feedback from configs where profile_name = '2-HIGH'",
+    "select variant_name, show_feedback from configs where profile_name = 'Brand#7'",
 )
 def _(v: Views) -> DataFrame:
-    return tables.scan_configs_pruned(v.configs(), "2-HIGH")
+    return tables.scan_configs_pruned(v.configs(), "Brand#7")
 
 
 @query(
     "decode_configs",
     """select id, cast(json_array_length(temas) as int) as topics,
-              concat(temas ->> 0, ', ', temas ->> 1) as topic_text
+              array_to_string(json_extract_string(temas, '$[*]'), ', ') as topic_text
        from configs""",
 )
 def _(v: Views) -> DataFrame:

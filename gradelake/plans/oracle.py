@@ -33,14 +33,21 @@ CTES = {
         select cast(row_number() over (order by p, u) as int) as id, p as profile_name,
                concat('unit_', cast(u as varchar)) as variant_name,
                cast(case when u = 1 then 1 else 0 end as int) as show_feedback,
-               cast(3 + u * 2 as int) as num_preguntas, '["algebra", "limits"]' as temas
-        from (select distinct o_orderpriority as p from orders) a, unnest([1, 2, 3, 4]) t(u)""",
+               cast(3 + u * 2 as int) as num_preguntas, '["algebra","limits"]' as temas
+        from (select distinct o_orderpriority as p from orders) a, unnest([1, 2, 3, 4]) t(u)
+        union all
+        select cast(21 + p_partkey as int), p_brand, concat('unit_', cast(p_partkey as varchar)),
+               cast(p_partkey % 2 as int), cast(3 + p_size % 10 as int),
+               concat('["', replace(p_name, ' ', '","'), '","', p_type, '"]')
+        from part""",
     "quizzes": """
-        select event_id as id, cast(user_id % 20 + 1 as int) as config_id,
+        select event_id as id, cast(case when user_id % 4 = 0 then user_id % 20 + 1 else 21 + user_id end as int)
+                 as config_id,
                date_trunc('minute', ts) as created_at
         from events where event_type = 'signup'""",
     "actions": """
-        select event_id as action_id, cast(user_id % 20 + 1 as int) as config_id,
+        select event_id as action_id, cast(case when user_id % 4 = 0 then user_id % 20 + 1 else 21 + user_id end as int)
+                 as config_id,
                case event_type when 'signup' then 'generate' when 'click' then 'on'
                     else 'off' end as act
         from events where event_type in ('signup', 'click', 'error')""",

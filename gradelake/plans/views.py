@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradelake.functions.text import topics_json
 from gradelake.operators.documents import answers_document, question_json, quiz_document
 from gradelake.operators.grading import grade_attempts, score_attempts
 from gradelake.operators.maintenance import mark_active, replay_activation
 from gradelake.plans.ordering import place_in_small_groups
 
 CONFIGS_PER_PROFILE = 4
-N_CONFIGS = 20
+N_ATTEMPTED = 20
 # Order of the questions in an attempt; (order, line number) alone is not unique.
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
@@ -95,9 +96,12 @@ class Views:
         return grade_attempts(joined)
 
     def configs(self) -> DataFrame:
-        """Four units per subject; the first is formative, the fourth is never attempted."""
+        """Units of subjects: four of each order priority, and one of each part under its brand.
+
+        Of the four the first is formative and the fourth is never attempted.
+        """
         unit = F.col("unit")
-        return (
+        attempted = (
             self.table("orders")
             .select(F.col("o_orderpriority").alias("profile_name"))
             .distinct()
@@ -110,12 +114,29 @@ class Views:
                 F.concat(F.lit("unit_"), unit.cast("string")).alias("variant_name"),
                 (unit == 1).cast("int").alias("show_feedback"),
                 (unit * 2 + 3).alias("num_preguntas"),
-                F.lit('["algebra", "limits"]').alias("temas"),
+                topics_json(F.array(F.lit("algebra"), F.lit("limits"))).alias("temas"),
             )
         )
+        part = F.col("p_partkey")
+        topics = F.array_append(F.split("p_name", " "), F.col("p_type"))
+        others = self.table("part").select(
+            (part + N_ATTEMPTED + 1).cast("int").alias("id"),
+            F.col("p_brand").alias("profile_name"),
+            F.concat(F.lit("unit_"), part.cast("string")).alias("variant_name"),
+            (part % 2).cast("int").alias("show_feedback"),
+            (F.col("p_size") % 10 + 3).cast("int").alias("num_preguntas"),
+            topics_json(topics).alias("temas"),
+        )
+        return attempted.unionByName(others)
 
     def _config_id(self):
-        return (F.col("user_id") % N_CONFIGS + 1).cast("int")
+        """Some of the attempted units, and a unit of its own for most users."""
+        user = F.col("user_id")
+        return (
+            F.when(user % 4 == 0, user % N_ATTEMPTED + 1)
+            .otherwise(user + N_ATTEMPTED + 1)
+            .cast("int")
+        )
 
     def quizzes(self) -> DataFrame:
         """Quiz versions without their text; times cut to the minute, so some tie."""
