@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradelake.operators.versions import latest_ids
-from gradelake.plans.ordering import with_position
+from gradelake.plans.ordering import fresh, with_position
+
+
+class Sequencer(Protocol):
+    """What gives out blocks of ids, such as ``sources.sequences.IdSequence``."""
+
+    def reserve(self, count: int, at_least: int = 0) -> int: ...
 
 
 def _whole_number(df: DataFrame, order: str) -> Column:
@@ -37,11 +44,12 @@ def _winners(df: DataFrame, keys: Sequence[str], order: str, latest: bool) -> Da
     number = F.coalesce(_whole_number(df, order).cast("decimal(19,0)"),
                         missing.cast("decimal(19,0)"))
     spread = F.shiftrightunsigned(F.xxhash64(*df.columns), 1).cast("decimal(19,0)")
-    ranked = df.withColumn("_rank", number * span + spread)
-    best = F.max("_rank") if latest else F.min("_rank")
-    chosen = ranked.groupBy(*keys).agg(best.alias("_rank"))
+    rank = fresh(df, "rank")
+    ranked = df.withColumn(rank, number * span + spread)
+    best = F.max(rank) if latest else F.min(rank)
+    chosen = ranked.groupBy(*keys).agg(best.alias(rank))
     # Rows that share key and rank are copies of each other.
-    return ranked.join(chosen, [*keys, "_rank"], "left_semi").drop("_rank").distinct()
+    return ranked.join(chosen, [*keys, rank], "left_semi").drop(rank).distinct()
 
 
 def append_attempts(
@@ -65,38 +73,47 @@ def upsert_latest(
     keys: Sequence[str],
     order: str,
     id_column: str | None = None,
+    sequence: Sequencer | None = None,
 ) -> DataFrame:
     """Insert or update by key; of several updates to a key the last by ``order`` wins.
 
     An update without an order is the earliest. An updated row keeps its id and the columns the
     updates do not carry; a new row gets the next ids, in the order the keys first appeared.
-    Updates are joined to the target, not the other way round, so a small batch is broadcast.
+    With a ``sequence`` these follow the highest id ever given out, and it is advanced at once;
+    without one they follow the highest id in ``target``, so the id of a deleted last row would
+    return. Updates are joined to the target, not the other way round, so a small batch is
+    broadcast.
     """
     carried = [c for c in updates.columns if c not in (*keys, order)]
+    new = {c: fresh(target, f"new_{c}") for c in carried}
+    updated, first_seen = fresh(target, "updated"), fresh(target, "first_seen")
     newest = _winners(updates, keys, order, latest=True).select(
-        *keys, *[F.col(c).alias(f"_new_{c}") for c in carried], F.lit(True).alias("_updated")
+        *keys, *[F.col(c).alias(new[c]) for c in carried], F.lit(True).alias(updated)
     )
 
     def merged_value(column: str) -> Column:
         if column in carried:
-            return F.when(F.col("_updated"), F.col(f"_new_{column}")).otherwise(F.col(column))
+            return F.when(F.col(updated), F.col(new[column])).otherwise(F.col(column))
         return F.col(column)
 
     kept = target.join(newest, list(keys), "left").select(
         *[merged_value(c).alias(c) for c in target.columns]
     )
     added = newest.join(target.select(*keys), list(keys), "left_anti").select(
-        *keys, *[F.col(f"_new_{c}").alias(c) for c in carried]
+        *keys, *[F.col(new[c]).alias(c) for c in carried]
     )
     for field in target.schema:
         if field.name not in added.columns:
             added = added.withColumn(field.name, F.lit(None).cast(field.dataType))
     if id_column is None:
         return kept.unionByName(added.select(*target.columns))
-    seen = updates.groupBy(*keys).agg(F.min(_whole_number(updates, order)).alias("_first_seen"))
-    start = target.agg(F.max(id_column)).first()[0] or 0
-    numbered = assign_ids(
-        added.drop(id_column).join(seen, list(keys)), start, ["_first_seen", *keys], id_column
+    seen = updates.groupBy(*keys).agg(F.min(_whole_number(updates, order)).alias(first_seen))
+    numbered = insert_ids(
+        added.drop(id_column).join(seen, list(keys)),
+        target.agg(F.max(id_column)).first()[0] or 0,
+        [first_seen, *keys],
+        id_column,
+        sequence,
     ).withColumn(id_column, F.col(id_column).cast(target.schema[id_column].dataType))
     return kept.unionByName(numbered.select(*target.columns))
 
@@ -107,6 +124,25 @@ def assign_ids(df: DataFrame, start: int, order: Sequence[str], name: str = "id"
     return placed.withColumn(name, F.col(name) + F.lit(start))
 
 
+def insert_ids(
+    df: DataFrame,
+    highest: int,
+    order: Sequence[str],
+    name: str = "id",
+    sequence: Sequencer | None = None,
+) -> DataFrame:
+    """Ids for rows to be inserted, following ``order`` after ``highest``, the last id stored.
+
+    With a ``sequence`` as many ids as there are rows are reserved from it now, above every id
+    it gave out before.
+    """
+    if sequence is None:
+        return assign_ids(df, highest, order, name)
+    placed = with_position(df, order, name=name)
+    count = placed.agg(F.max(name)).first()[0] or 0
+    return placed.withColumn(name, F.col(name) + F.lit(sequence.reserve(count, highest)))
+
+
 def resolve_settings(settings: DataFrame, defaults: DataFrame) -> DataFrame:
     """Value of each key in ``defaults``: the stored one, else the default.
 

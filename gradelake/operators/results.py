@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradelake.functions.quizjson import answer_status
 from gradelake.operators.documents import answers_document, question_json, quiz_document
 from gradelake.operators.grading import grade_of
-from gradelake.operators.maintenance import activate_new_version, assign_ids
+from gradelake.operators.maintenance import Sequencer, activate_new_version, insert_ids
 from gradelake.operators.versions import first_valid_generation
 from gradelake.schemas import MAX_TRIES, QUIZ_RESULTS
 
@@ -43,6 +43,7 @@ def generate_and_activate(
     expected: DataFrame,
     max_tries: int = MAX_TRIES,
     mode: str = "lenient",
+    sequence: Sequencer | None = None,
 ) -> DataFrame:
     """Stored versions after generated replies are cleaned, judged, stored and activated.
 
@@ -52,6 +53,7 @@ def generate_and_activate(
     """
     made = first_valid_generation(replies, expected, max_tries, mode)
     valid = made.where(F.col("attempt").isNotNull()).select("config_id", "quiz_data_json")
-    start = quizzes.agg(F.max("id")).first()[0] or 0
-    new = assign_ids(valid, start, ["config_id"]).withColumn("is_active", F.lit(1))
+    highest = quizzes.agg(F.max("id")).first()[0] or 0
+    new = insert_ids(valid, highest, ["config_id"], sequence=sequence)
+    new = new.withColumn("is_active", F.lit(1))
     return activate_new_version(quizzes, new.select(*quizzes.columns))

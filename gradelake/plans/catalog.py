@@ -19,6 +19,10 @@ from gradelake.plans.views import Views
 from gradelake.schemas import DIFFICULTIES, QUIZ_CONFIGS
 from gradelake.session import scratch_folder
 from gradelake.sources import tables
+from gradelake.sources.partitioned import (
+    PartitionedTable, delete_stored, set_activation_stored, upsert_stored,
+)
+from gradelake.sources.sequences import IdSequence
 
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,14 +297,123 @@ def _(v: Views) -> DataFrame:
     return maintenance.assign_ids(attempts, 1000, ["ts", "id"], "new_id").select("id", "new_id")
 
 
+def _scratch(v: Views, label: str) -> str:
+    return f"{scratch_folder(v.spark)}/{label}-{uuid.uuid4().hex}"
+
+
 @query(
     "assign_ids_ranged",
     "select id, 1000 + row_number() over (order by ts, id) as new_id from attempts",
 )
 def _(v: Views) -> DataFrame:
-    attempts = v.attempts().select("id", "ts")
-    numbered = maintenance.assign_ids(attempts, 1000, ["ts", "id"], "new_id")
-    return numbered.select("id", "new_id")
+    """Ids of two inserts, one after the other, from a stored sequence that stands at 1000."""
+    sequence = IdSequence(v.spark, _scratch(v, "sequence"))
+    sequence.reserve(0, 1000)
+    attempts, cut = v.attempts().select("id", "ts"), F.lit("1995-01-01").cast("timestamp_ntz")
+    batches = [attempts.where(F.col("ts") < cut), attempts.where(F.col("ts") >= cut)]
+    first, second = (
+        maintenance.insert_ids(batch, 0, ["ts", "id"], "new_id", sequence) for batch in batches
+    )
+    return first.union(second).select("id", "new_id")
+
+
+_GONE_SQL = """gone as (
+         select * from configs where id % 10 = 3 or id = (select max(id) from configs))"""
+
+
+@query(
+    "insert_after_delete",
+    f"""with {_GONE_SQL}
+       select id, profile_name, variant_name, num_preguntas from configs
+       where id not in (select id from gone)
+       union all
+       select cast((select max(id) from configs) + row_number() over (order by id) as int),
+              profile_name, variant_name, num_preguntas from gone""",
+)
+def _(v: Views) -> DataFrame:
+    """Units deleted, the one with the highest id among them, and made anew: all ids are fresh."""
+    configs = v.configs().drop("temas")
+    highest = configs.agg(F.max("id")).first()[0] or 0
+    sequence = IdSequence(v.spark, _scratch(v, "sequence"))
+    sequence.reserve(0, highest)
+    gone = configs.where((F.col("id") % 10 == 3) | (F.col("id") == highest))
+    again = gone.withColumnRenamed("id", "seq")
+    kept = maintenance.delete_configs(configs, gone)
+    return maintenance.upsert_latest(
+        kept, again, ["profile_name", "variant_name"], "seq", "id", sequence
+    ).select("id", "profile_name", "variant_name", "num_preguntas")
+
+
+@query(
+    "insert_after_clear",
+    """select row_number() over (order by ts, id) as id, student_name, profile_name
+       from attempts where profile_name = '5-LOW'""",
+)
+def _(v: Views) -> DataFrame:
+    """A table that is cleared begins its ids at 1 again."""
+    path, sequence = _scratch(v, "results"), IdSequence(v.spark, _scratch(v, "sequence"))
+    sheets = v.sheets().select("id", "ts", "student_name", "profile_name")
+    sheets.write.parquet(path)
+    sequence.reserve(0, sheets.agg(F.max("id")).first()[0] or 0)
+    tables.clear_table(v.spark, path, sequence)
+    later = sheets.where(F.col("profile_name") == "5-LOW").withColumnRenamed("id", "sheet")
+    highest = v.spark.read.schema(sheets.schema).parquet(path).agg(F.max("id")).first()[0] or 0
+    numbered = maintenance.insert_ids(later, highest, ["ts", "sheet"], "id", sequence)
+    return numbered.select("id", "student_name", "profile_name")
+
+
+@query("upsert_partitioned", "select * from upserted")
+def _(v: Views) -> DataFrame:
+    """``upsert_latest`` on a stored table, of which only the parts with updates are rewritten."""
+    configs = v.configs().drop("temas")
+    keys = ["profile_name", "variant_name"]
+    table = PartitionedTable(v.spark, _scratch(v, "configs"), keys, parts=16)
+    table.create(configs)
+    sequence = IdSequence(v.spark, _scratch(v, "sequence"))
+    sequence.reserve(0, configs.agg(F.max("id")).first()[0] or 0)
+    upsert_stored(table, v.config_updates(), "seq", "id", sequence)
+    return table.read().select("id", "profile_name", "variant_name", "num_preguntas",
+                               "show_feedback")
+
+
+@query(
+    "delete_partitioned",
+    f"with {_GONE_SQL} select id, profile_name, variant_name from configs "
+    "where id not in (select id from gone)",
+)
+def _(v: Views) -> DataFrame:
+    configs = v.configs().drop("temas")
+    table = PartitionedTable(
+        v.spark, _scratch(v, "configs"), ["profile_name", "variant_name"], parts=16
+    )
+    table.create(configs)
+    highest = configs.agg(F.max("id")).first()[0] or 0
+    gone = configs.where((F.col("id") % 10 == 3) | (F.col("id") == highest))
+    delete_stored(table, gone, ["id"])
+    return table.read().select("id", "profile_name", "variant_name")
+
+
+@query(
+    "activate_partitioned",
+    """with kept as (
+         select q.*, coalesce(r.on_request, true) as stays from stored_quizzes q left join (
+           select config_id, arg_max(act, action_id) = 'on' as on_request from actions
+           where act in ('on', 'off') and config_id % 5 = 0 group by 1
+         ) r on r.config_id = q.config_id)
+       select q.id, q.config_id, cast(case when q.config_id % 5 <> 0 then q.is_active
+              when q.config_id not in (select config_id from actions
+                where act in ('on', 'off')) then q.is_active
+              when q.stays and q.id = n.id then 1 else 0 end as int) as is_active
+       from kept q left join newest n on n.config_id = q.config_id""",
+)
+def _(v: Views) -> DataFrame:
+    """On and off requests for some units, on the parts of the stored versions they are in."""
+    table = PartitionedTable(v.spark, _scratch(v, "versions"), ["config_id"], parts=16)
+    table.create(v.stored_quizzes())
+    switches = v.actions().where(F.col("act").isin("on", "off") & (F.col("config_id") % 5 == 0))
+    requests = switches.withColumn("is_active", (F.col("act") == "on").cast("int"))
+    set_activation_stored(table, requests, "action_id")
+    return table.read().select("id", "config_id", "is_active")
 
 
 @query(

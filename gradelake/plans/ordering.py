@@ -99,17 +99,17 @@ def _numbered(
     # One row per (group, range) that holds some of it: at most ranges + groups.
     aliases = {k: fresh(df, f"key_{k}") for k in keys}
     pieces = located.groupBy(*[F.col(k).alias(a) for k, a in aliases.items()], piece).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(row).alias("first")
+        F.count(F.lit(1)).alias("_rows"), F.min(row).alias("_first")
     )
     earlier = (
         Window.partitionBy(*(aliases.values() or [F.lit(0)]))
         .orderBy(piece)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.coalesce(F.sum("rows").over(earlier), F.lit(0))
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
     own, shift = fresh(df, "piece"), fresh(df, "shift")
     shifts = pieces.select(
-        *aliases.values(), F.col(piece).alias(own), (before - F.col("first") + 1).alias(shift)
+        *aliases.values(), F.col(piece).alias(own), (before - F.col("_first") + 1).alias(shift)
     )
     same = [F.col(piece) == F.col(own)]
     same += [F.col(k).eqNullSafe(F.col(a)) for k, a in aliases.items()]

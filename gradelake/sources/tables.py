@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.functions.text import fmt_cell, parse_topics
+from gradelake.operators.maintenance import clear_results
 from gradelake.plans.ordering import NEWEST, sort_columns
 from gradelake.schemas import LOCAL_ZONE, TABLES
+from gradelake.sources.sequences import IdSequence
 
 # Stored times with an offset; all others are local wall-clock times.
 _OFFSET = r"([+-]\d\d:?\d\d|Z)$"
@@ -117,6 +119,13 @@ def replace_table(df: DataFrame, path: str) -> None:
         files.delete(place(old), True)
 
 
+def clear_table(spark: SparkSession, path: str, sequence: IdSequence | None = None) -> None:
+    """Delete every row of a stored table, keep its columns, and let its ids begin at 1 again."""
+    replace_table(clear_results(spark.read.parquet(path)), path)
+    if sequence is not None:
+        sequence.reset()
+
+
 def _named(column: str) -> Column:
     """A column whose name may hold dots or backticks, as unit names do."""
     return F.col("`" + column.replace("`", "``") + "`")
