@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gradelake.schemas import DIFFICULTIES, MAX_QUESTIONS, MIN_QUESTIONS
@@ -48,3 +48,41 @@ def validate_configs(
             ).otherwise(F.lit(domain[1])),
         }
     )
+
+
+class WriteChecks:
+    """Checks that are counted while a table is written, without a scan of their own.
+
+    ``watch`` adds the counting to a DataFrame; once that has been written, ``nulls`` and
+    ``failures`` hold the figures. A run that failed has none.
+    """
+
+    def __init__(self, not_null: Sequence[str] = (), must_hold: Sequence[str] = ()):
+        self._columns, self._flags = list(not_null), list(must_hold)
+        self._seen = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        """``df`` with its rows, its nulls in ``not_null`` columns and its rows on which a
+        ``must_hold`` column is not true counted as they pass."""
+        nulls = [
+            F.count_if(F.col(c).isNull()).alias(f"null_{k}") for k, c in enumerate(self._columns)
+        ]
+        broken = [
+            F.count_if(~F.coalesce(F.col(c), F.lit(False))).alias(f"broken_{k}")
+            for k, c in enumerate(self._flags)
+        ]
+        return df.observe(self._seen, F.count(F.lit(1)).alias("rows"), *nulls, *broken)
+
+    @property
+    def rows(self) -> int:
+        return self._seen.get["rows"]
+
+    @property
+    def nulls(self) -> dict[str, int]:
+        found = self._seen.get
+        return {c: found[f"null_{k}"] for k, c in enumerate(self._columns)}
+
+    @property
+    def failures(self) -> dict[str, int]:
+        found = self._seen.get
+        return {c: found[f"broken_{k}"] for k, c in enumerate(self._flags)}

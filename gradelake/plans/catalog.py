@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from gradelake.functions import quizjson, text
 from gradelake.operators import (
-    documents, grading, maintenance, quality, relations, results, versions,
+    documents, grading, maintenance, quality, relations, results, statistics, versions,
 )
 from gradelake.plans import ordering, selection
 from gradelake.plans.oracle import with_ctes
@@ -19,6 +19,8 @@ from gradelake.plans.views import Views
 from gradelake.schemas import DIFFICULTIES, QUIZ_CONFIGS
 from gradelake.session import scratch_folder
 from gradelake.sources import tables
+from gradelake.sources.bucketed import store_bucketed
+from gradelake.sources.membership import KeyFilter, append_filtered
 from gradelake.sources.partitioned import (
     PartitionedTable, delete_stored, set_activation_stored, upsert_stored,
 )
@@ -47,6 +49,10 @@ def _grade(column: str = "grade") -> Column:
     return F.round(F.col(column), 6).alias(column)
 
 
+def _scratch(v: Views, label: str) -> str:
+    return f"{scratch_folder(v.spark)}/{label}-{uuid.uuid4().hex}"
+
+
 # --- Scans -----------------------------------------------------------------------------------
 
 
@@ -157,6 +163,26 @@ def _(v: Views) -> DataFrame:
     return fresh.select("id", "score", _time_text().alias("ts"))
 
 
+@query(
+    "append_filtered",
+    """select id, score, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from attempts""",
+)
+def _(v: Views) -> DataFrame:
+    """Batches appended to a stored table; a key filter says which stored ids to look at."""
+    attempts = v.attempts().select("id", "score", "ts")
+    cut = F.lit("1997-01-01").cast("timestamp_ntz")
+    older, later = attempts.where(F.col("ts") < cut), attempts.where(F.col("ts") >= cut)
+    table = PartitionedTable(v.spark, _scratch(v, "attempts"), ["id"], parts=16)
+    table.create(older)
+    known = KeyFilter(v.spark, _scratch(v, "keys"), table, expected=20_000)
+    known.add(older)
+    # New ones, and some that are stored, handed in again an hour later.
+    again = older.where(F.col("id") % 1000 == 0).union(later)
+    again = again.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
+    append_filtered(table, known, later.union(again))
+    return table.read().select("id", "score", _time_text().alias("ts"))
+
+
 @query("upsert_latest", "select * from upserted")
 def _(v: Views) -> DataFrame:
     return _upserted(v)
@@ -297,10 +323,6 @@ def _(v: Views) -> DataFrame:
     return maintenance.assign_ids(attempts, 1000, ["ts", "id"], "new_id").select("id", "new_id")
 
 
-def _scratch(v: Views, label: str) -> str:
-    return f"{scratch_folder(v.spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @query(
     "assign_ids_ranged",
     "select id, 1000 + row_number() over (order by ts, id) as new_id from attempts",
@@ -534,6 +556,23 @@ def _(v: Views) -> DataFrame:
     return quality.check_not_null(v.answers(), ["attempt_id", "question_id", "answer"])
 
 
+@query(
+    "check_while_writing",
+    """select 'attempt_id' as column_name, count(*) - count(attempt_id) as found from answers
+       union all select 'question_id', count(*) - count(question_id) from answers
+       union all select 'answer', count(*) - count(answer) from answers
+       union all select 'is_open', count(answer) from answers
+       union all select 'rows', count(*) from answers""",
+)
+def _(v: Views) -> DataFrame:
+    """Nulls and broken conditions counted by the write itself."""
+    checks = quality.WriteChecks(["attempt_id", "question_id", "answer"], ["is_open"])
+    answers = v.answers().withColumn("is_open", F.col("answer").isNull())
+    checks.watch(answers).write.parquet(_scratch(v, "answers"))
+    figures = {**checks.nulls, **checks.failures, "rows": checks.rows}
+    return v.spark.createDataFrame(list(figures.items()), "column_name string, found long")
+
+
 @query(
     "check_unique",
     """select l_orderkey, l_linenumber, count(*) as copies from lineitem
@@ -741,6 +780,60 @@ def _(v: Views) -> DataFrame:
     )
 
 
+@query("score_attempts_bucketed", "select id, profile_name, score, total_questions from attempts")
+def _(v: Views) -> DataFrame:
+    """Scores beside their attempts, from tables stored by attempt id: no exchange."""
+    mark = uuid.uuid4().hex
+    answers = store_bucketed(
+        v.answers(), f"answers_{mark}", _scratch(v, "answers"), ["attempt_id"], 8
+    )
+    sheets = store_bucketed(v.sheets(), f"sheets_{mark}", _scratch(v, "sheets"), ["id"], 8)
+    scores = grading.score_attempts(answers).withColumnRenamed("attempt_id", "id")
+    return sheets.join(scores, "id", "left").select(
+        "id", "profile_name", *[F.coalesce(c, F.lit(0)).alias(c)
+                                for c in ("score", "total_questions")]
+    )
+
+
+def _maintained(v: Views) -> DataFrame:
+    """States of the attempts of the first years, brought forward by two batches."""
+    attempts = v.attempts()
+    kept = statistics.MaintainedGrades(v.spark, _scratch(v, "states"), parts=16)
+    cuts = [F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (1996, 1997)]
+    kept.rebuild(attempts.where(F.col("ts") < cuts[0]))
+    kept.add(attempts.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])))
+    kept.add(attempts.where(F.col("ts") >= cuts[1]))
+    return kept.states()
+
+
+@query(
+    "maintained_stats",
+    """select profile_name, variant_name, count(*) as participations,
+              round(avg(grade), 6) as mean_grade, round(max(grade), 6) as best_grade
+       from attempts group by grouping sets ((profile_name), (profile_name, variant_name))""",
+)
+def _(v: Views) -> DataFrame:
+    return statistics.state_stats(_maintained(v)).select(
+        "profile_name", "variant_name", "participations", _grade("mean_grade"),
+        _grade("best_grade"),
+    )
+
+
+@query(
+    "maintained_grades",
+    """select profile_name, student_name, variant_name, round(max(grade), 6) as highest,
+              round(arg_max(grade, row(ts, id)), 6) as latest, round(avg(grade), 6) as mean
+       from attempts group by 1, 2, 3""",
+)
+def _(v: Views) -> DataFrame:
+    states = _maintained(v)
+    cells = states.select(*grading.ATTEMPT_CELL)
+    for policy in ("highest", "latest", "mean"):
+        grades = statistics.state_grades(states, policy).withColumnRenamed("grade", policy)
+        cells = cells.join(grades, grading.ATTEMPT_CELL)
+    return cells.select(*grading.ATTEMPT_CELL, *map(_grade, ("highest", "latest", "mean")))
+
+
 @query("distinct_profiles", "select distinct profile_name from attempts")
 def _(v: Views) -> DataFrame:
     return grading.distinct_profiles(v.attempts())

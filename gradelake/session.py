@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The run folder that the current caller opened, if any.
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 # Shuffle partition size aimed at: fits an executor's share of memory without spilling much.
 PARTITION_BYTES = 128 * 1024 * 1024
@@ -42,13 +47,40 @@ def build_session(
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; its owner clears it."""
+    """The run folder that is open, else the shared folder named in spark.checkpoint.dir.
+
+    What is written outside a run stays until the shared folder's owner clears it.
+    """
+    return _RUN.get() or _shared_folder(spark)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return folder.rstrip("/")
 
 
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for everything written in the ``with`` block, deleted at its end.
+
+        with scratch_run(spark):
+            paginate_all(results, NEWEST, ["profile_name"]).write.parquet(target)
+
+    Results that still read from it have to be written or collected inside the block. Runs may
+    be nested; threads have runs of their own.
+    """
+    folder = f"{_shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, so later jobs see one fixed result."""
     spark = df.sparkSession

@@ -40,6 +40,7 @@ class PartitionedTable:
 
     def _write(self, placed: DataFrame, mode: str) -> None:
         dealt = placed.hint("rebalance", F.col(PART))
+        # Dynamic: an overwrite replaces the parts that get rows and no others.
         dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(
             PART
         ).parquet(self.path)
@@ -51,6 +52,14 @@ class PartitionedTable:
         # Listed anew each time: parts come and go.
         return self.spark.read.option("basePath", self.path).parquet(self.path)
 
+    def stored_parts(self, parts: Sequence[int]) -> DataFrame:
+        """The rows of some parts; the folders of others are not looked into."""
+        return self._stored().where(F.col(PART).isin(list(parts))).drop(PART)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows as new files; no stored file changes."""
+        self._write(rows.withColumn(PART, self.part_of()), "append")
+
     def parts_with(self, rows: DataFrame, on: Sequence[str]) -> list[int]:
         """Parts that hold stored rows equal to ``rows`` in the columns ``on``; only those
         columns are read. For keys of the table the hash says it, without reading."""
@@ -81,7 +90,7 @@ class PartitionedTable:
             return []
         stored = self._stored()
         columns = [c for c in stored.columns if c != PART]
-        changed = change(stored.where(F.col(PART).isin(parts)).drop(PART)).select(*columns)
+        changed = change(self.stored_parts(parts)).select(*columns)
         part = self.part_of()
         stray = F.raise_error(F.lit("a row outside the rewritten parts")).cast("int")
         placed = changed.withColumn(PART, F.when(part.isin(parts), part).otherwise(stray))
