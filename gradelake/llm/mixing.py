@@ -15,6 +15,8 @@ SEED = 20
 # Ranks are first summed in this many equal steps of the ranking variable; only the step in
 # which a source's sample ends is then ordered row by row.
 STEPS = 1 << 12
+# Copies of one row that a task numbers.
+LOT = 1 << 16
 # Documents added at most to bring a sample of a source nearer to its target.
 COMPLETIONS = 3
 
@@ -28,38 +30,69 @@ def shares(
     others until none is above.
     """
     targets = [0.0] * len(sizes)
-    left, open_ = float(sum(sizes)), [i for i, s in enumerate(sizes) if s > 0]
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = weights[i] * unit
+    left, weight = float(sum(sizes)), sum(w for w, s in zip(weights, sizes, strict=True) if s > 0)
+    # The lower its cap lies for its weight, the sooner a source is full.
+    filling = sorted((cap * s / weights[i], i) for i, s in enumerate(sizes) if s > 0)
+    for k, (_, i) in enumerate(filling):
+        if weights[i] * left <= cap * sizes[i] * weight:
+            for _, j in filling[k:]:
+                targets[j] = weights[j] * (left / weight)
             break
-        for i in full:
-            targets[i] = float(cap * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        targets[i] = float(cap * sizes[i])
+        left, weight = left - targets[i], weight - weights[i]
     return targets
 
 
-def uniform(doc_id: Column, text: Column, seed: int = SEED) -> Column:
-    """A fixed random number in (0, 1) for each document."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11)
+def uniform(mark: Column, copy: Column, seed: int = SEED) -> Column:
+    """A fixed random number in (0, 1) for each copy of a row."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), mark, copy), 11)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size in words and random number of every row, written once."""
-    return settled(
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns but maps, which cannot be hashed; equal rows share it."""
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*[F.col(quoted(c)) for c in hashed])
+
+
+def measured(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` with doc_id, source, size in words, mark and random number ``u``;
+    and the marks of rows that come more than once, with their ``copies``. Both are written.
+
+    Equal rows are counted and numbered, and each has a random number of its own. They are
+    alike, so the numbers are dealt out anew instead of being tied to rows: one row per mark is
+    unfolded in two steps, so that the most frequent one is unfolded by many tasks.
+    """
+    rows = settled(
         docs.select(
-            "doc_id",
+            F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
+            row_mark(docs).alias("mark"),
         ),
         "sizes",
     )
+    often = rows.groupBy("mark").agg(
+        F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in rows.columns[:3]]
+    )
+    often = settled(often.where(F.col("copies") > 1), "often")
+    once = rows.join(often.select("mark"), "mark", "left_anti").withColumn("copy", F.lit(0))
+    lots = often.select(
+        "*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT))).alias("lot")
+    )
+    first = F.col("lot") * LOT
+    upto = F.least(F.col("copies"), first + LOT) - 1
+    unfolded = lots.repartition("mark", "lot").select(
+        *once.columns[:-1], F.explode(F.sequence(first, upto)).alias("copy")
+    )
+    numbered = once.unionByName(unfolded)
+    return settled(
+        numbered.select(
+            "doc_id", "source", "size", "mark",
+            uniform(F.col("mark"), F.col("copy").cast("bigint"), seed).alias("u"),
+        ),
+        "numbered",
+    ), often.select("mark", "copies")
 
 
 def source_plan(
@@ -205,37 +238,61 @@ def copies(u: Column, size: Column, plan: dict[str, Column]) -> Column:
     return plan["whole"] + sampled.cast("bigint")
 
 
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with the plan of their source and ``times``, how often each is taken."""
+    parts = {c: F.col(c) for c in plan.columns}
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    return joined.withColumn("times", copies(F.col("u"), F.col("size"), parts))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every row of ``docs``.
 
     A null text has size 0 and is never taken; a null source is a source of its own, the last
-    one. A source without words has target 0. Repeated rows have the same random number and
-    are treated alike. No rows give no rows.
+    one. A source without words has target 0. Each of several equal rows is sampled on its own.
+    No rows give no rows.
     """
-    rows = measured(docs)
-    plan = planned(rows)
-    parts = {c: F.col(c) for c in plan.columns}
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies(F.col("u"), F.col("size"), parts)).alias("taken"),
+    rows, _ = measured(docs)
+    return _taken(rows, planned(rows)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    plan = planned(measured(docs))
-    plan = plan.select([F.col(c).alias(fresh(docs, f"mix_{c}")) for c in plan.columns])
-    names = ["source", "source_size", "docs", "target", "whole", "rest", "last", "extra"]
-    parts = dict(zip(names, [F.col(c) for c in plan.columns], strict=True))
-    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(parts["source"]))
-    size, u = word_count(docs["text"]), uniform(docs["doc_id"], docs["text"])
-    times = F.when(size > 0, copies(u, size, parts)).otherwise(0).cast("int")
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows without words are not taken, whatever their source; a null source is one of its own.
+    Equal rows are sampled each on its own and come back as often as all of them are taken.
+    Columns may have any name. No rows give no rows.
+    """
+    rows, often = measured(docs)
+    plan = settled(planned(rows), "plan")
+    mark, times = fresh(docs, "row_mark"), fresh(docs, "row_times")
+    names = {c: fresh(docs, f"mix_{c}") for c in plan.columns}
     columns = [F.col(quoted(c)) for c in docs.columns]
-    copy = F.explode(F.array_repeat(F.lit(0), times)).alias(fresh(docs, "copy"))
-    return joined.select(*columns, copy).select(*columns)
+    marked = docs.select("*", row_mark(docs).alias(mark))
+    # Rows met once are decided where they lie.
+    keyed = often.select(F.col("mark").alias(names["rest"]))
+    once = marked.join(keyed, F.col(mark) == F.col(names["rest"]), "left_anti")
+    own = plan.select([F.col(c).alias(a) for c, a in names.items()])
+    parts = {c: F.col(a) for c, a in names.items()}
+    once = once.join(own, docs["source"].cast("string").eqNullSafe(parts["plan_source"]))
+    size, u = word_count(docs["text"]), uniform(F.col(mark), F.lit(0).cast("bigint"))
+    taken = F.when(size > 0, copies(u, size, parts)).otherwise(0).cast("int")
+    single = once.select(*columns, F.explode(F.array_repeat(F.lit(0), taken)).alias(times))
+    # Of equal rows one is unfolded as often as all of them are taken.
+    total = _taken(rows.join(often.select("mark"), "mark", "left_semi"), plan)
+    total = total.where(F.col("size") > 0).groupBy(F.col("mark").alias(names["last"])).agg(
+        F.sum("times").cast("bigint").alias(times)
+    )
+    total = settled(total.where(F.col(times) > 0), "times")
+    equal = marked.join(total, F.col(mark) == F.col(names["last"])).dropDuplicates([mark])
+    lots = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / LOT))
+    lot, copy = names["whole"], names["extra"]
+    dealt = equal.select("*", F.explode(lots).alias(lot)).repartition(mark, lot)
+    left = F.least(F.lit(LOT), F.col(times) - F.col(lot) * LOT).cast("int")
+    several = dealt.select(*columns, F.explode(F.array_repeat(F.lit(0), left)).alias(copy))
+    return single.select(*columns).unionAll(several.select(*columns))
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +120,64 @@ def test_large_logits():
     inputs, targets, owner = attention.layout(ids, 308, 309)
     scores = model.score(inputs, targets)
     assert np.isfinite(scores[owner >= 0]).all()
+
+
+def test_shares_of_many_sources():
+    """Linear in the sources, and what the stepwise rule gives."""
+    rng = random.Random(2)
+    sizes = [rng.choice([0, 1, 5, 1000, 10**6]) for _ in range(100_000)]
+    weights = [1 + k % 3 for k in range(len(sizes))]
+    start = time.perf_counter()
+    targets = mixing.shares(sizes, weights)
+    assert time.perf_counter() - start < 3
+    assert sum(targets) == pytest.approx(sum(sizes), rel=1e-9)
+    assert all(t <= 3 * s for t, s in zip(targets, sizes, strict=True))
+    few, few_weights = sizes[:60], weights[:60]
+    left, open_, expected = float(sum(few)), [i for i, s in enumerate(few) if s], [0.0] * 60
+    while open_:
+        unit = left / sum(few_weights[i] for i in open_)
+        full = [i for i in open_ if few_weights[i] * unit > 3 * few[i]]
+        if not full:
+            for i in open_:
+                expected[i] = few_weights[i] * unit
+            break
+        for i in full:
+            expected[i] = 3.0 * few[i]
+            left -= expected[i]
+        open_ = [i for i in open_ if i not in full]
+    assert mixing.shares(few, few_weights) == pytest.approx(expected)
+
+
+def words_taken(rows):
+    found = {}
+    for r in rows:
+        entry = found.setdefault(r["source_size"], [r["target"], 0])
+        entry[1] += r["taken"]
+    return found
+
+
+def test_mix_of_equal_rows(spark, monkeypatch):
+    """Three quarters of a source are copies of one row; each is sampled on its own."""
+    monkeypatch.setattr(mixing, "LOT", 100)
+    same = [(7, "same text here", "a", 1)] * 1125
+    rows = same + [(100 + i, "x " * (i % 9 + 1), "a", 1) for i in range(375)]
+    rows += [(1000 + i, "y " * (i % 5 + 1), "b", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_rest long")
+    report = mixing.mix_report(docs).collect()
+    assert len(report) == len(rows)
+    assert sorted(r["doc_id"] for r in report) == sorted(r[0] for r in rows)
+    for target, taken in words_taken(report).values():
+        assert taken == pytest.approx(target, rel=0.01, abs=3)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    expected, found = {}, {}
+    for r in report:
+        if r["taken"]:
+            times = r["taken"] // r["size"]
+            expected[r["doc_id"]] = expected.get(r["doc_id"], 0) + times
+    for r in mixed.collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
+    assert found == expected
+    # Another layout of the same rows gives the same mix.
+    again = mixing.mix_report(docs.repartition(7)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, report))
