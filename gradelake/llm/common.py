@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelake.session import materialize
@@ -68,6 +68,31 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def positions(df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the 1-based place of each row in its group, by ``order``, as column ``name``.
+
+    Rows are range-partitioned on keys and order and written once; ranges are numbered side by
+    side and shifted by the rows of earlier ranges, so a large group is split over tasks.
+    """
+    ids = df.orderBy(*keys, *order).withColumn("serial", F.monotonically_increasing_id())
+    # The id is the range in the high bits and the row of that range in the low 33.
+    rows = settled(ids, "positions").select(
+        *df.columns,
+        F.shiftright("serial", 33).alias("range"),
+        F.col("serial").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
+    )
+    # One row per group and range that holds some of it.
+    parts = rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("at"))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("at") + 1
+    shifts = parts.select(*keys, "range", before.alias("shift"))
+    return rows.join(shifts, [*keys, "range"]).select(
+        *df.columns, (F.col("row") + F.col("shift")).alias(name)
+    )
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelake.llm.common import settled, table
+from gradelake.llm.common import positions, settled, table
 from gradelake.llm.components import components
-from gradelake.plans.ordering import with_position
 
 SIMILARITY = 0.95
-PASSES = 24
+# Passes come in rounds; there are as many rounds as it takes until, by the links that each
+# round adds, no more than one link in a thousand is still to be found.
+PASSES = 12
+COMPLETE = 0.999
 # Hash bits a vector is ordered by in a pass, and neighbours it is compared with on each side.
 BITS = 62
 WINDOW = 48
@@ -63,7 +65,7 @@ def hashes(units: np.ndarray, turn: int, bits: int, seed: int) -> np.ndarray:
     return ((units @ planes) >= 0) @ places
 
 
-def projected(distinct: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+def projected(distinct: DataFrame, turns: range, bits: int, seed: int) -> DataFrame:
     """One row per vector and pass: turn, size (dimensions), key, node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,7 @@ def projected(distinct: DataFrame, passes: int, bits: int, seed: int) -> DataFra
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 units = np.frombuffer(b"".join(raw[r] for r in rows)).reshape(len(rows), -1)
-                for turn in range(passes):
+                for turn in turns:
                     keys = hashes(units, turn, bits, seed)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -188,6 +190,26 @@ def member_links(members: DataFrame, similarity: float, tile: int = TILE) -> Dat
     return found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
+def complete(merges: list[int], share: float = COMPLETE) -> bool:
+    """Whether the ties found after each round say that ``share`` of all is found.
+
+    A tie that a round finds with odds r is new in round k with odds r (1 - r)^(k - 1), so what
+    rounds add falls by the factor 1 - r, and what is still missing is about the last round's
+    addition times that factor over r. Ties that are hard to find, as between vectors in a dense
+    cone, make the additions fall slowly, and the rounds go on.
+    """
+    if len(merges) < 2:
+        return False
+    added = merges[-1] - merges[-2]
+    before = merges[-2] - (merges[-3] if len(merges) > 2 else 0)
+    if added == 0:
+        return True
+    if added >= before:
+        return False
+    fall = added / before
+    return added * fall / (1 - fall) <= (1 - share) * merges[-1]
+
+
 def near_duplicates(
     vectors: DataFrame,
     similarity: float = SIMILARITY,
@@ -195,13 +217,16 @@ def near_duplicates(
     window: int = WINDOW,
     bits: int = BITS,
     seed: int = SEED,
+    share: float = COMPLETE,
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Equal vectors are one node with a number of copies. In each pass all nodes are ordered by
     concatenated random hashes, neighbours within ``window`` are compared by cosine, and the
-    verified pairs of all passes are united. Links are then counted exactly inside every
-    component, where all of them lie.
+    verified pairs of all passes are united. Rounds of ``passes`` with fresh hashes follow each
+    other until the links they add say that ``share`` of all ties is found (``complete``); there
+    is no largest number of rounds. Links are then counted exactly inside every component, where
+    all of them lie.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing:
     they have no links and are their own component. Vectors of different length are never
@@ -217,12 +242,18 @@ def near_duplicates(
         grouped.select("unit", "first", "copies", F.monotonically_increasing_id().alias("node")),
         "vectors",
     )
-    placed = with_position(
-        projected(distinct, passes, bits, seed), ["key", "node"], ["turn", "size"]
-    )
-    ordered = placed.join(distinct.select("node", "unit"), "node")
-    linked = components(window_links(ordered, window, similarity))
-    linked = settled(linked, "linked")
+    linked, merges = None, []
+    while not complete(merges, share):
+        turns = range(len(merges) * passes, (len(merges) + 1) * passes)
+        placed = positions(
+            projected(distinct, turns, bits, seed), ["key", "node"], ["turn", "size"], "position"
+        )
+        ordered = placed.join(distinct.select("node", "unit"), "node")
+        edges = window_links(ordered, window, similarity)
+        if linked is not None:
+            edges = edges.union(linked.select("node", "root"))
+        linked = settled(components(edges), "linked")
+        merges.append(linked.count())  # every node but one of each component
     roots = linked.select("root").distinct()
     members = linked.union(roots.select("root", "root")).join(distinct, "node")
     members = settled(members.select("root", "node", "copies", "first", "unit"), "members")

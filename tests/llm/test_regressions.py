@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gradelake.llm import attention, mixing, simhash
+from gradelake.llm import attention, embeddings, mixing, simhash
 from gradelake.llm.common import BATCH_ROWS, map_arrow, slices
 from gradelake.llm.vocab import WordIds, default_path, load_tokenizer
 
@@ -181,3 +181,52 @@ def test_mix_of_equal_rows(spark, monkeypatch):
     # Another layout of the same rows gives the same mix.
     again = mixing.mix_report(docs.repartition(7)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, report))
+
+
+def cone(n, cosine, pairs, seed):
+    """Vectors of 32 dimensions with about ``cosine`` between any two, and near copies of some."""
+    rng = np.random.default_rng(seed)
+
+    def unit(rows):
+        return rows / np.linalg.norm(rows, axis=-1, keepdims=True)
+
+    def across(rows, others):
+        return rows - (rows * others).sum(axis=-1, keepdims=True) * others
+
+    axis = unit(rng.standard_normal(32))
+    rest = unit(across(rng.standard_normal((n, 32)), axis))
+    found = np.sqrt(cosine) * axis + np.sqrt(1 - cosine) * rest
+    twins = found[:pairs]
+    side = unit(across(axis, twins))
+    off = unit(across(across(rng.standard_normal((pairs, 32)), twins), side))
+    return np.concatenate([found, 0.96 * twins + np.sqrt(1 - 0.96**2) * off])
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.85])
+def test_links_inside_a_dense_cone(spark, cosine):
+    """Windows far smaller than the stretches of similar vectors: more rounds find the links."""
+    vectors = cone(3000, cosine, 200, 4)
+    near = np.tril(vectors @ vectors.T >= 0.95, -1)
+    expected = {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)}
+    assert len(expected) >= 200
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"
+    )
+    rows = embeddings.near_duplicates(frame, passes=6, window=6).collect()
+    component = {r["vec_id"]: r["component_id"] for r in rows}
+    tied = sum(component[a] == component[b] for a, b in expected)
+    assert tied >= 0.97 * len(expected)
+    degree = near.sum(axis=0) + near.sum(axis=1)
+    assert all(r["n_links"] <= degree[r["vec_id"]] for r in rows)
+
+
+def test_rounds_go_on_while_links_are_missing():
+    for odds in (0.02, 0.2, 0.6, 0.99):
+        merges, left, total = [], 1e6, 1e6
+        while not embeddings.complete(merges):
+            left *= 1 - odds
+            merges.append(int(total - left))
+        assert merges[-1] >= 0.998 * total
+    assert not embeddings.complete([]) and not embeddings.complete([0])
+    assert embeddings.complete([0, 0]) and embeddings.complete([7, 7])
+    assert not embeddings.complete([5, 50])
