@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,9 +46,16 @@ CLUTTER = frozenset(
 )
 BODY_WORDS = frozenset("article content main story entry post body articlebody".split())
 
-# Costs are log-odds. Evidence from the page's structure outweighs all smoothing at a block.
+# A header named like these heads an article; first words of names that only tell a state.
+HEADER_WORD = "header"
+STATES = frozenset("has with without no not is js".split())
+
+# Costs are log-odds. On a page without any article, text that nothing speaks against is content.
+BARE = 2.5
+# Evidence from the page's structure outweighs all smoothing at a block.
 STRUCTURE, FEATURE = 8.0, 1.0
-# Smoothness between neighbouring blocks, and between a block and the last one in its container.
+# Smoothness between neighbouring blocks, and between a block and the last one in the same element
+# or in an element beside it.
 ADJACENT, SAME_PARENT = 0.6, 0.9
 
 _TOKEN = re.compile(
@@ -60,16 +67,20 @@ _MARKS = re.compile(
     r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE
 )
 _WORDS = re.compile(r"[a-z]+")
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+_DISPLAY_NONE = re.compile(r"style\s*=\s*[\"']?[^\"']*display\s*:\s*none", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
     """A run of text without a block boundary inside."""
 
-    __slots__ = ("parent", "parts", "linked", "evidence")
+    __slots__ = ("parent", "outer", "region", "parts", "linked", "evidence")
 
-    def __init__(self, parent: int, evidence: float):
-        self.parent, self.evidence = parent, evidence
+    def __init__(self, parent: int, region: int):
+        # The block element it is in, the element around that, the innermost element.
+        self.parent, self.outer, self.region, self.evidence = parent, 0, region, 0.0
         self.parts: list[str] = []
         self.linked = 0
 
@@ -77,25 +88,97 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role speak for clutter, and for a body of text."""
-    words: set[str] = set()
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role speak for clutter, and for a body of text.
+
+    A name is judged as a whole: ``post-comments`` are comments, ``entry-footer`` is a footer.
+    ``entry-header`` belongs to its entry, and names such as ``has-sidebar`` tell a state of
+    something else. A name that only mentions clutter before its last word (``menu-open``) loses
+    against another name that speaks for a body.
+    """
+    strong = weak = body = False
     for value in _MARKS.findall(attributes):
-        words.update(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-    return bool(words & CLUTTER), bool(words & BODY_WORDS)
+        for name in _CAMEL.sub("-", value.strip("\"'")).lower().split():
+            words = _WORDS.findall(name)
+            if not words or words[0] in STATES:
+                continue
+            bodies, clutter = BODY_WORDS.intersection(words), CLUTTER.intersection(words)
+            if clutter and not (bodies and clutter == {HEADER_WORD}):
+                strong, weak = strong or words[-1] in CLUTTER, True
+            elif bodies:
+                body = True
+    return strong or (weak and not body), body
+
+
+def _hidden(attributes: str) -> bool:
+    bare = _QUOTED.sub(" ", attributes)
+    return bool(_HIDDEN.search(bare) or _DISPLAY_NONE.search(attributes))
+
+
+class Regions:
+    """The elements of a page as a tree, parents before children, and what speaks for each."""
+
+    def __init__(self):
+        self.parent, self.name = [0], [""]
+        self.clutter, self.body = [False], [False]
+
+    def add(self, parent: int, name: str, attributes: str) -> int:
+        clutter, body = _marks(attributes) if "=" in attributes else (False, False)
+        self.parent.append(parent)
+        self.name.append(name)
+        self.clutter.append(
+            name in FRAMES or name in CONTROLS or (clutter and name not in ("body", "html"))
+        )
+        self.body.append(body or name in BODIES)
+        return len(self.name) - 1
+
+    def evidence(self, sizes: list[int]) -> list[float]:
+        """Per element: positive inside bodies of text, negative inside clutter, else 0.
+
+        ``sizes`` is the length of each element's own text. Clutter stays clutter whatever it
+        contains, but for the page's principal body: an element round that one is no more than
+        its frame, as a form round a whole page is.
+        """
+        n = len(self.name)
+        whole = list(sizes)
+        for k in range(n - 1, 0, -1):
+            whole[self.parent[k]] += whole[k]
+
+        def rank(k: int) -> tuple:
+            tier = {"main": 2, "article": 1}.get(self.name[k], 0)
+            return tier, whole[k], -k
+
+        bodies = [k for k in range(1, n) if self.body[k] and not self.clutter[k] and whole[k]]
+        around = set()
+        k = max(bodies, key=rank, default=0)
+        while k:
+            around.add(k)
+            k = self.parent[k]
+        found = [0.0] * n
+        for k in range(1, n):
+            outer = found[self.parent[k]]
+            found[k] = outer
+            header = self.name[k] == "header" and outer <= 0
+            if (self.clutter[k] or header) and k not in around:
+                found[k] = -STRUCTURE
+            elif self.body[k] and outer >= 0:
+                found[k] = STRUCTURE
+        return found
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, with what their surroundings say about them.
 
-    ``evidence`` is positive inside article and main, negative inside navigation, footers,
-    sidebars, forms and elements whose names say so; the innermost of them decides, except that
-    clutter inside an article stays clutter whatever it contains.
+    Every end tag is looked up by its name and every element is opened and closed once, so the
+    time grows with the length of the page however deep or broken its markup is.
     """
     found: list[Block] = []
-    # Open elements: name, number, evidence inside, silent, link.
-    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
-    number, at, current = 0, 0, None
+    regions = Regions()
+    # Open elements: name, number, number of the block element around, silent, link, and the
+    # place of that block element in the stack.
+    stack: list[tuple[str, int, int, bool, bool, int]] = [("", 0, 0, False, False, 0)]
+    opened: Counter[str] = Counter()
+    at, current = 0, None
     raw_end = None
 
     def add(piece: str) -> None:
@@ -105,8 +188,7 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not piece.strip():
                 return
-            owner = next(e for e in reversed(stack) if e[0] not in INLINE)
-            current = Block(owner[1], stack[-1][2])
+            current = Block(stack[-1][2], stack[-1][1])
             found.append(current)
         current.parts.append(piece)
         if stack[-1][4]:
@@ -114,8 +196,10 @@ def blocks(page: str) -> list[Block]:
 
     def close(until: int) -> None:
         nonlocal current
-        if any(e[0] not in INLINE for e in stack[until:]):
-            current = None
+        for entry in stack[until:]:
+            opened[entry[0]] -= 1
+            if entry[0] not in INLINE:
+                current = None
         del stack[until:]
 
     while at < len(page):
@@ -133,13 +217,13 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if token[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-            else:
-                if name not in INLINE:
-                    current = None
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                close(depth)
+            elif name not in INLINE:
+                current = None
             continue
         if stack[-1][0] == "head" and name not in IN_HEAD:
             close(len(stack) - 1)
@@ -152,27 +236,28 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             current = None
             # A new block ends an open paragraph or list item, and formatting left open in it.
-            for depth in range(len(stack) - 1, 0, -1):
-                open_name = stack[depth][0]
-                if open_name == "p" or open_name == name in ("li", "td", "th", "tr", "dd", "dt"):
-                    close(depth)
-                    break
-                if open_name not in INLINE:
-                    break
-        _, _, evidence, silent, link = stack[-1]
-        clutter, body = _marks(name, token[3]) if "=" in token[3] else (False, False)
-        trapped = evidence < 0
-        if name in FRAMES or name in CONTROLS or (clutter and name != "body" and not body):
-            evidence = -STRUCTURE
-        elif name == "header" and evidence <= 0:
-            evidence = -STRUCTURE
-        elif (name in BODIES or body) and not trapped:
-            evidence = STRUCTURE
-        number += 1
+            depth = stack[-1][5]
+            open_name = stack[depth][0]
+            if open_name == "p" or open_name == name in ("li", "td", "th", "tr", "dd", "dt"):
+                close(depth)
+        _, above, around, silent, link, place = stack[-1]
         if not token[3].endswith("/") or name in INLINE or name not in ("svg", "math"):
-            stack.append((name, number, evidence, silent or name in SILENT, link or name == "a"))
+            number = regions.add(above, name, token[3])
+            silent = silent or name in SILENT or _hidden(token[3])
+            if name not in INLINE:
+                around, place = number, len(stack)
+            stack.append((name, number, around, silent, link or name == "a", place))
+            opened[name] += 1
         if name in RAW:
             raw_end = name
+    sizes = [0] * len(regions.name)
+    for block in found:
+        sizes[block.region] += sum(map(len, block.parts))
+    evidence = regions.evidence(sizes)
+    bodies = any(evidence[b.region] > 0 and "".join(b.parts).strip() for b in found)
+    for block in found:
+        block.evidence = evidence[block.region] or (0.0 if bodies else BARE)
+        block.outer = regions.parent[block.parent]
     return found
 
 
@@ -268,20 +353,27 @@ def _dinic(gains: list[float], around: list[dict[int, float]]) -> list[bool]:
                     pending[path[-1]].pop()
 
 
-def main_text(page: str | None) -> str:
-    """Content blocks of a page in order, one per line; empty for a null or empty page."""
-    shown = [(b, t) for b in blocks(page or "") if (t := b.text())]
+def labelled(page: str) -> list[tuple[str, float, bool]]:
+    """Text, log-odds of its own and label of every block of a page, in order."""
+    shown = [(b, t) for b in blocks(page) if (t := b.text())]
     gains = [classify(b, t) for b, t in shown]
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
+    beside: dict[int, int] = {}
     for k, (block, _) in enumerate(shown):
         if k:
             edges.append((k - 1, k, ADJACENT))
-        if block.parent in last:
-            edges.append((last[block.parent], k, SAME_PARENT))
-        last[block.parent] = k
+        for near, place in ((last, block.parent), (beside, block.outer)):
+            if place in near:
+                edges.append((near[place], k, SAME_PARENT))
+            near[place] = k
     kept = minimum_cut(gains, edges)
-    return "\n".join(text for (_, text), keep in zip(shown, kept, strict=True) if keep)
+    return [(t, g, keep) for (_, t), g, keep in zip(shown, gains, kept, strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    """Content blocks of a page in order, one per line; empty for a null or empty page."""
+    return "\n".join(text for text, _, keep in labelled(page or "") if keep)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
