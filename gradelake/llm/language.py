@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import ClassVar
 
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from gradelake.llm.common import BATCH_ROWS, fresh, id_crc, map_arrow, table
 
 UNKNOWN = "und"
-# Labelled rows drawn per language, and bytes of their normalised text the automaton is made of.
+# Labelled rows drawn per language, and bytes of normalised text the automaton is made of: all
+# rows give about the same share of it, in short cuts from everywhere in them.
 SAMPLE_ROWS = 128
-SAMPLE_BYTES = 24_000
+SAMPLE_BYTES = 48_000
+CUT = 125
 # A text is parsed in pieces of this many bytes, each on its own; all pieces count.
 PIECE = 512
 # Pieces parsed side by side.
@@ -149,32 +151,56 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where((id_crc(F.col("doc_id")) % 3 != 1) & F.col("lang").isNotNull())
 
 
+def cuts(text: Column, doc_id: Column, wanted: Column) -> Column:
+    """Up to ``wanted`` pieces of CUT characters of a text, drawn by hash from all of it."""
+    last = F.floor((F.length(text) - 1) / CUT).cast("int")
+    drawn = F.array_sort(
+        F.transform(
+            F.sequence(F.lit(0), last),
+            lambda c: F.struct(F.xxhash64(F.lit("cut"), doc_id, c).alias("h"), c.alias("c")),
+        )
+    )
+    return F.transform(
+        F.slice(drawn, 1, wanted), lambda p: F.substring(text, p["c"] * CUT + 1, F.lit(CUT))
+    )
+
+
 def learn(
     docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES
 ) -> dict[str, bytes]:
     """A sample of normalised text per language.
 
-    Of each language the ``sample_rows`` training rows with the smallest hashed ids are drawn,
-    and their texts are used in that order up to ``sample_bytes``. Spark keeps only so many rows
-    per language and task before it shuffles, so a language with most of the rows is no burden.
+    Of each language the ``sample_rows`` training rows with a letter and the smallest hashed ids
+    are drawn (an id with two texts is two rows, equal rows are one). Each gives an equal number
+    of cuts from places drawn by hash, as many as fill ``sample_bytes``; of a short text that is
+    all of it. So neither one long text nor the beginnings of texts make up a sample. Spark keeps
+    only so many rows per language and task before it shuffles, so a language with most of the
+    rows is no burden; at most ``sample_bytes`` and a cut per row and label reach the driver.
     """
     rank = F.xxhash64(F.lit("language"), "doc_id")
-    keyed = training_rows(docs).select("lang", "doc_id", rank.alias("rank"))
-    window = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    drawn = keyed.withColumn("n", F.row_number().over(window)).where(F.col("n") <= sample_rows)
-    chosen: dict[int, tuple[str, int]] = {r.doc_id: (r.lang, r.n) for r in drawn.collect()}
+    mark = F.xxhash64("text").alias("mark")
+    lettered = training_rows(docs).where(F.col("text").rlike(r"\p{L}"))
+    keyed = lettered.select("lang", "doc_id", mark, rank.alias("rank"))
+    window = Window.partitionBy("lang").orderBy("rank", "doc_id", "mark")
+    # Equal rows have equal ranks, so a dense rank counts them once.
+    ranked = keyed.withColumn("n", F.dense_rank().over(window)).where(F.col("n") <= sample_rows)
+    chosen = {(r.lang, r.doc_id, r.mark): r.n for r in ranked.distinct().collect()}
+    if not chosen:
+        return {}
+    rows = Counter(lang for lang, _, _ in chosen)
+    shares = F.create_map(
+        *[F.lit(v) for lang, n in rows.items() for v in (lang, -(-sample_bytes // (CUT * n)))]
+    )
+    ids = list({doc_id for _, doc_id, _ in chosen})
+    pieces = lettered.where(F.col("doc_id").isin(ids)).select(
+        "lang", "doc_id", mark,
+        cuts(F.col("text"), F.col("doc_id"), F.element_at(shares, F.col("lang"))).alias("cuts"),
+    )
     parts: dict[str, dict[int, bytes]] = defaultdict(dict)
-    if chosen:
-        longest = F.substring("text", 1, sample_bytes)  # more cannot be used of one row
-        texts = training_rows(docs).where(F.col("doc_id").isin(list(chosen)))
-        for doc_id, lang, text in texts.select("doc_id", "lang", longest).toLocalIterator():
-            name, n = chosen[doc_id]
-            if name == lang and text and _LETTER.search(text):
-                parts[lang][n] = normalise(text)[:sample_bytes]
-    return {
-        lang: b" ".join(texts[n] for n in sorted(texts))[:sample_bytes]
-        for lang, texts in parts.items()
-    }
+    for lang, doc_id, found, texts in pieces.toLocalIterator():
+        if (n := chosen.get((lang, doc_id, found))) is not None:
+            parts[lang][n] = b" ".join(normalise(t) for t in texts)
+    return {lang: b" ".join(t for _, t in sorted(texts.items())) for lang, texts in parts.items()}
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -185,6 +211,9 @@ def identify(docs: DataFrame) -> DataFrame:
     text when there is nothing to learn from. The score is 1 - fewest / second fewest phrases
     (with one language: 1 - phrases / bytes). Of equal phrase counts the first language by name
     wins. A null doc_id is not held out and not learned from. Other columns are not read.
+
+    A text is parsed whole, in pieces of PIECE bytes side by side; where a piece begins a phrase
+    begins, in every language alike.
     """
     samples = learn(docs)
 
@@ -221,7 +250,12 @@ def language_column(docs: DataFrame, text: Column) -> Column:
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is identified."""
+    """Rows of ``docs``, all columns, whose language is identified.
+
+    That is every row whose text has a letter, as ``identify`` names the nearest language however
+    far it is; null, blank and letterless texts go, and all rows when nothing could be learned
+    from. Repeated rows and null ids are kept like others. Columns may have any name.
+    """
     name = fresh(docs, "language")
     known = docs.withColumn(name, language_column(docs, docs["text"]))
     return known.where(F.col(name) != UNKNOWN).drop(name)
