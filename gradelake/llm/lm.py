@@ -26,8 +26,11 @@ VOCABULARY = 49408
 # rounds have made attention.STEPS steps.
 ROUNDS = 4
 SHARD_WINDOWS = 1 << 17
-# Rows of the model's tables that are averaged together.
+# Windows of a text that go to a shard together; a longer text is spread over several.
+RUN_WINDOWS = 1 << 12
+# Rows of the model's tables that are averaged together, and shards that are added up at once.
 SLICE = 4096
+FAN_IN = 32
 # Bytes of text scored together against the words that occur in them.
 BLOCK_BYTES = 16 << 20
 # Documents whose words are counted together, words tokenised together, documents scored at once.
@@ -155,7 +158,9 @@ def id_counts(vocabulary: DataFrame) -> np.ndarray:
 
 
 def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
-    """All windows of all training texts: one row per text and round, doc_id, round, n, ids.
+    """All windows of all training texts: doc_id, round, run, n, ids; a row is a run of up to
+    RUN_WINDOWS windows of one text in one round, and ``run`` a number that spreads runs evenly,
+    those of equal rows and of one long text as well.
 
     A window is the 2 * BLOCK + 1 ids that BLOCK targets, the end among them, are learned from,
     followed by the number of targets. A round takes every ROUNDS-th window of a text, beginning
@@ -165,7 +170,8 @@ def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known_words = _Words(right, total, distinct)
-        out = {"doc_id": [], "round": [], "n": [], "ids": []}
+        out = {"doc_id": [], "round": [], "run": [], "n": [], "ids": []}
+        block = left.column("block")[0].as_py() if left.num_rows else 0
         for at in range(0, left.num_rows, GROUP):
             group = left.slice(at, GROUP)
             words, counts = split(group.column("text").combine_chunks())
@@ -184,20 +190,26 @@ def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -
                 ).astype("<u2")
                 for turn in range(ROUNDS):
                     part = whole[(turn + zlib.crc32(str(doc_id).encode())) % ROUNDS :: ROUNDS]
-                    if len(part):
+                    for first in range(0, len(part), RUN_WINDOWS):
+                        run_of = part[first : first + RUN_WINDOWS]
+                        place = f"{block} {at + k} {first}"
                         out["doc_id"].append(doc_id)
                         out["round"].append(turn)
-                        out["n"].append(len(part))
-                        out["ids"].append(part.tobytes())
+                        out["run"].append(zlib.crc32(place.encode()))
+                        out["n"].append(len(run_of))
+                        out["ids"].append(run_of.tobytes())
         return pa.table(
             [pa.array(out["doc_id"], pa.int64()), pa.array(out["round"], pa.int32()),
-             pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary())],
+             pa.array(out["run"], pa.int64()), pa.array(out["n"], pa.int64()),
+             pa.array(out["ids"], pa.binary())],
             names=list(out),
         )
 
     left = rows.where("trained").select("doc_id", "text", "block").groupBy("block")
     right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, "doc_id long, round int, n long, ids binary")
+    return left.cogroup(right).applyInArrow(
+        run, "doc_id long, round int, run long, n long, ids binary"
+    )
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,16 +223,16 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
     """The attention model after all rounds over ``found`` (see ``windows``).
 
-    A shard is the windows of a round whose documents' ids hash alike, in an order of its own, so
-    the model depends on the training texts only, not on how the table is cut. The average of a
-    row of a table is taken over the shards that have the id.
+    A shard is the runs of a round whose numbers hash alike, in an order of their texts. The
+    average of a row of a table is taken over the shards that have the id. Changes are added up
+    in steps of at most FAN_IN shards, so no task holds more of them however many there are.
     """
     model = attention.untrained(counts, START)
     n_windows = found.agg(F.sum("n")).first()[0] or 0
     if not n_windows:
         return model
     shards = -(-n_windows // (ROUNDS * SHARD_WINDOWS))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "run"), F.lit(shards)))
     context = found.sparkSession.sparkContext
     tables = 4
 
@@ -247,41 +259,25 @@ def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
                              "ids": pa.array(ids, pa.binary()),
                              "moved": pa.array(values, pa.binary())})
 
-        def mean(frame: pa.Table) -> pa.Table:
-            frame = frame.sort_by("shard")
-            part = frame.column("part")[0].as_py()
-            width = tables * attention.WIDTH
-            total = np.zeros((SLICE, width), np.float64) if part >= 0 else 0.0
-            times = np.zeros(SLICE)
-            for ids, moved in zip(frame.column("ids"), frame.column("moved"), strict=True):
-                values = np.frombuffer(moved.as_py(), np.float32)
-                if part < 0:
-                    total = total + values.astype(np.float64) / frame.num_rows
-                else:
-                    at = np.frombuffer(ids.as_py(), "<i4") - part * SLICE
-                    total[at] += values.reshape(-1, width)
-                    times[at] += 1
-            if part >= 0:
-                total /= np.maximum(times, 1)[:, None]
-            return pa.table({"part": [part], "moved": [total.astype(np.float32).tobytes()]})
-
         schema = "part long, shard long, ids binary, moved binary"
         tuned = dealt.where(F.col("round") == turn).groupBy("shard").applyInArrow(run, schema)
-        means = tuned.groupBy("part").applyInArrow(mean, "part long, moved binary")
-        collected = means.collect()
+        collected = added_up(tuned, shards, tables).collect()
         sent.unpersist()
         return collected
 
     for turn in range(ROUNDS):
         params = model.parameters()
-        for part, moved in round_of(turn):
-            values = np.frombuffer(moved, np.float32)
+        for part, _, times, moved in round_of(turn):
+            values = np.frombuffer(moved, np.float64)
+            times = np.frombuffer(times, np.int64)
             if part < 0:
+                values = values / times
                 at = 0
                 for p in params[tables:]:
                     p += values[at : at + p.size].reshape(p.shape)
                     at += p.size
                 continue
+            values = values.reshape(SLICE, -1) / np.maximum(times, 1)[:, None]
             values = values.reshape(SLICE, tables, -1)
             rows = slice(part * SLICE, min((part + 1) * SLICE, VOCABULARY))
             for k, p in enumerate(params[:tables]):
@@ -290,6 +286,50 @@ def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
     return model
 
 
+def added_up(tuned: DataFrame, shards: int, tables: int) -> DataFrame:
+    """One row per part: part, shard, times, moved; sums over all shards of ``tuned``.
+
+    ``times`` says how many shards have each row of the part. Shards are added up FAN_IN at a
+    time, then those sums, until one is left.
+    """
+    width = tables * attention.WIDTH
+
+    def add(frame: pa.Table) -> pa.Table:
+        frame = frame.sort_by("shard")
+        part = frame.column("part")[0].as_py()
+        total, times = 0.0, 0
+        for row in frame.to_pylist():
+            if row.get("times") is not None:  # a sum of shards
+                values = np.frombuffer(row["moved"], np.float64)
+                often = np.frombuffer(row["times"], np.int64)
+            elif part < 0:
+                values = np.frombuffer(row["moved"], np.float32).astype(np.float64)
+                often = np.ones(1, np.int64)
+            else:
+                at = np.frombuffer(row["ids"], "<i4") - part * SLICE
+                values, often = np.zeros((SLICE, width)), np.zeros(SLICE, np.int64)
+                values[at] = np.frombuffer(row["moved"], np.float32).reshape(-1, width)
+                often[at] = 1
+                values = values.ravel()
+            total, times = total + values, times + often
+        return pa.table(
+            {"part": pa.array([part], pa.int64()),
+             "shard": pa.array([frame.column("shard")[0].as_py() // FAN_IN], pa.int64()),
+             "times": pa.array([times.tobytes()], pa.binary()),
+             "moved": pa.array([total.tobytes()], pa.binary())}
+        )
+
+    sums, left = tuned, shards
+    while True:
+        group = F.floor(F.col("shard") / FAN_IN)
+        sums = sums.groupBy("part", group).applyInArrow(
+            lambda frame: add(frame), "part long, shard long, times binary, moved binary"
+        )
+        left = -(-left // FAN_IN)
+        if left == 1:
+            return sums
+
+
 class _Words:
     """The words of a block: smoothed share, and subword ids by position."""
 

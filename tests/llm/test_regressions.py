@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gradelake.llm import attention, embeddings, mixing, simhash
+from gradelake.llm import attention, embeddings, lm, mixing, simhash
 from gradelake.llm.common import BATCH_ROWS, map_arrow, slices
 from gradelake.llm.vocab import WordIds, default_path, load_tokenizer
 
@@ -230,3 +230,46 @@ def test_rounds_go_on_while_links_are_missing():
     assert not embeddings.complete([]) and not embeddings.complete([0])
     assert embeddings.complete([0, 0]) and embeddings.complete([7, 7])
     assert not embeddings.complete([5, 50])
+
+
+def test_changes_are_added_up_in_steps(spark, monkeypatch):
+    """Sums of many shards, a few at a time, equal the plain sum."""
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    rng = np.random.default_rng(6)
+    width = 4 * attention.WIDTH
+    rows, total, times = [], np.zeros((lm.SLICE, width)), np.zeros(lm.SLICE, np.int64)
+    dense = np.zeros(5)
+    for shard in range(20):
+        ids = np.unique(rng.integers(0, lm.SLICE, 30)).astype("<i4")
+        moved = rng.standard_normal((len(ids), width)).astype(np.float32)
+        own = rng.standard_normal(5).astype(np.float32)
+        rows.append((2, shard, (ids + 2 * lm.SLICE).astype("<i4").tobytes(), moved.tobytes()))
+        rows.append((-1, shard, b"", own.tobytes()))
+        total[ids] += moved
+        times[ids] += 1
+        dense += own
+    tuned = spark.createDataFrame(rows, "part long, shard long, ids binary, moved binary")
+    found = {r["part"]: r for r in lm.added_up(tuned.repartition(4), 20, 4).collect()}
+    assert set(found) == {2, -1}
+    assert np.frombuffer(found[2]["moved"]).reshape(-1, width) == pytest.approx(total)
+    assert (np.frombuffer(found[2]["times"], np.int64) == times).all()
+    assert np.frombuffer(found[-1]["moved"]) == pytest.approx(dense)
+    assert np.frombuffer(found[-1]["times"], np.int64).tolist() == [20]
+
+
+def test_windows_of_a_giant_text_and_of_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RUN_WINDOWS", 8)
+    rows = [(3, "a b c d " * 2000, "en", "a", 1)] + [(5, "e f g h " * 20, "en", "a", 1)] * 50
+    docs = spark.createDataFrame(rows, SCHEMA)
+    blocks = lm.blocked(docs)
+    vocabulary = lm.block_words(blocks, default_path("word_bpe_49k.json"))
+    found = lm.windows(blocks, vocabulary, 10_000, 9).collect()
+    assert max(r["n"] for r in found) <= 8
+    for doc_id in (3, 5):
+        runs = [r["run"] for r in found if r["doc_id"] == doc_id]
+        assert len(set(runs)) > 0.2 * len(runs) > 5
+    words = {3: 8000, 5: 80}
+    for doc_id, n in words.items():
+        windows = sum(r["n"] for r in found if r["doc_id"] == doc_id)
+        rows_of_id = 1 if doc_id == 3 else 50
+        assert windows == rows_of_id * -(-(n + 1) // attention.BLOCK)
