@@ -85,7 +85,7 @@ def with_position(
 def _numbered(
     df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str
 ) -> DataFrame:
-    serial, piece, row = (fresh(df, c) for c in ("serial", "range", "row"))
+    serial, piece, row = (fresh(df, c) for c in ("_serial", "_range", "_row"))
     # Range bounds come from a sample and may differ between two runs of the plan: fix them
     # by writing the rows once. monotonically_increasing_id is (range << 33) + row in range.
     sorted_rows = df.orderBy(*[F.col(k) for k in keys], *sort_columns(order))
@@ -107,7 +107,7 @@ def _numbered(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    own, shift = fresh(df, "piece"), fresh(df, "shift")
+    own, shift = fresh(df, "_piece"), fresh(df, "_shift")
     shifts = pieces.select(
         *aliases.values(), F.col(piece).alias(own), (before - F.col("_first") + 1).alias(shift)
     )
