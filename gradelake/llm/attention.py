@@ -12,6 +12,8 @@ WIDTH = 16
 SINGLE, SHARED = 96, 32
 BATCH, STEPS, RATE = 256, 800, 0.02
 FAR = -1e9
+# exp() of numbers within this of zero, and sums of them, stay in the range of 32-bit floats.
+SAFE = 80.0
 # Rows scored at once, few enough for their logits to stay in the cache.
 ROWS = 256
 
@@ -76,28 +78,48 @@ class Model:
 
     def _batch(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         ids = inputs[1:]
-        q = self.query[ids]
-        k, v = self.key[inputs], self.value[inputs]
-        k = np.concatenate([k[:-1], k[1:]], axis=1)
-        v = np.concatenate([v[:-1], v[1:]], axis=1)
-        weights = np.matmul(q, k.transpose(0, 2, 1))
-        weights += self.mask()
-        np.exp(weights, out=weights)
-        hidden = np.matmul(weights, v)
-        hidden /= weights.sum(axis=2, keepdims=True)
+        seen = np.concatenate([inputs[:-1], ids], axis=1)
+        hidden = _attended(
+            self.query[ids], self.key[seen], self.value[seen], self.mask(), self.distance
+        )[1]
         hidden += self.own[ids]
         np.maximum(hidden, 0, out=hidden)
-        logits = hidden.reshape(-1, WIDTH) @ self.out
-        logits += self.bias
+        logits = _logits(hidden.reshape(-1, WIDTH), self.out, self.bias)
         goal = targets.ravel()
-        logits -= logits.max(axis=1, keepdims=True)
         picked = logits[np.arange(len(goal)), self.of[goal]]
         np.exp(logits, out=logits)
-        total = np.log(logits.sum(axis=1))
+        total = np.log(logits @ _ONES)
         return ((picked - total) / np.float32(np.log(10.0)) + self.within[goal]).reshape(ids.shape)
 
 
 _BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_ONES = np.ones(SINGLE + SHARED, np.float32)
+
+
+def _attended(query, key, value, mask, distance) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights, and the values they add up to.
+
+    Rows are shifted by their maximum only where exp could leave the range of its type.
+    """
+    weights = np.matmul(query, key.transpose(0, 2, 1))
+    reach = max(weights.max(initial=0), -weights.min(initial=0)) + np.abs(distance).max()
+    weights += mask
+    if not reach <= SAFE:
+        weights -= weights.max(axis=2, keepdims=True)
+    np.exp(weights, out=weights)
+    weights /= np.matmul(weights, _ONES[: 2 * BLOCK])[..., None]
+    return weights, np.matmul(weights, value)
+
+
+def _logits(hidden: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits of the classes, shifted by their maximum where a bound on them is not safe."""
+    logits = hidden @ out
+    logits += bias
+    longest = np.einsum("ij,ij->i", hidden, hidden).max(initial=0)
+    reach = np.sqrt(longest * np.square(out).sum(axis=0).max()) + np.abs(bias).max()
+    if not reach <= SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
 def placed(
@@ -164,7 +186,10 @@ def fit(
     ids, before, targets, weight = windows
     draw = np.random.default_rng(seed)
     order, at_row = draw.permutation(len(ids)), 0
-    params = model.parameters()
+    # Tables that are read at the same ids lie side by side.
+    near = np.concatenate([model.query, model.own], axis=1)
+    far = np.concatenate([model.key, model.value], axis=1)
+    params = [near, far, model.distance, model.out, model.bias]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -172,14 +197,26 @@ def fit(
             order, at_row = draw.permutation(len(ids)), 0
         rows = order[at_row : at_row + BATCH]
         at_row += BATCH
-        grads = _gradients(model, ids[rows], before[rows], targets[rows], weight[rows])
-        rate = RATE * (1 - done - share * (step - 1) / steps)
+        mask = model.mask()
+        grads = _gradients(
+            params, mask, ids[rows], before[rows], model.of[targets[rows]], weight[rows]
+        )
+        rate = RATE * (1 - done - share * (step - 1) / steps) / (1 - 0.9**step)
         for p, (at, g), m, v in zip(params, grads, first, second, strict=True):
             # Rows of ids that a batch lacks keep their moments.
-            m[at] = 0.9 * m[at] + 0.1 * g
-            v[at] = 0.99 * v[at] + 0.01 * g * g
-            rise = m[at] / (1 - 0.9**step)
-            p[at] -= rate * rise / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-6)
+            m_at, v_at = 0.9 * m[at] + 0.1 * g, 0.99 * v[at]
+            g *= g
+            g *= 0.01
+            v_at += g
+            m[at], v[at] = m_at, v_at
+            v_at /= 1 - 0.99**step
+            np.sqrt(v_at, out=v_at)
+            v_at += 1e-6
+            m_at *= rate
+            m_at /= v_at
+            p[at] -= m_at
+    model.query[:], model.own[:] = near[:, :WIDTH], near[:, WIDTH:]
+    model.key[:], model.value[:] = far[:, :WIDTH], far[:, WIDTH:]
 
 
 def bound(model: Model) -> None:
@@ -218,48 +255,53 @@ def train(
     return model
 
 
-def _gradients(model, ids, before, targets, weight) -> list[tuple]:
-    """Gradient of each parameter with the rows it concerns."""
+def _gradients(params, mask, ids, before, goal, weight) -> list[tuple]:
+    """Gradient of each parameter with the rows it concerns; ``goal`` is the targets' classes."""
+    near, far, distance, out, bias = params
     seen = np.concatenate([before, ids], axis=1)
-    q, k, v = model.query[ids], model.key[seen], model.value[seen]
-    weights = np.matmul(q, k.transpose(0, 2, 1)) + model.mask()
-    weights = np.exp(weights - weights.max(axis=2, keepdims=True))
-    weights /= weights.sum(axis=2, keepdims=True)
-    hidden = np.matmul(weights, v) + model.own[ids]
+    read, known = near[ids], far[seen]
+    q, k, v = read[..., :WIDTH], known[..., :WIDTH], known[..., WIDTH:]
+    weights, found = _attended(q, k, v, mask, distance)
+    hidden = (found + read[..., WIDTH:]).reshape(-1, WIDTH)
     active = np.maximum(hidden, 0)
-    logits = active @ model.out + model.bias
-    p = np.exp(logits - logits.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    goal = model.of[targets]
-    np.put_along_axis(
-        p, goal[..., None], np.take_along_axis(p, goal[..., None], 2) - 1, axis=2
+    p = _logits(active, out, bias)
+    np.exp(p, out=p)
+    # Rows of ``p`` are left unscaled; what each is to be multiplied by goes to narrower arrays.
+    total = p @ _ONES
+    p[np.arange(len(p)), goal.ravel()] -= total
+    scale = weight.ravel() / (max(1.0, weight.sum()) * total)
+    g_hidden = p @ out.T
+    g_hidden *= scale[:, None]
+    g_hidden *= hidden > 0
+    active *= scale[:, None]
+    g_out, g_bias = active.T @ p, scale @ p
+    g_hidden = g_hidden.reshape(found.shape)
+    g_scores = np.matmul(g_hidden, v.transpose(0, 2, 1))
+    g_scores -= np.einsum("nij,nij->ni", g_hidden, found)[..., None]
+    g_scores *= weights
+    g_near = np.concatenate([np.matmul(g_scores, k), g_hidden], axis=2)
+    g_far = np.concatenate(
+        [np.matmul(g_scores.transpose(0, 2, 1), q), np.matmul(weights.transpose(0, 2, 1), g_hidden)],
+        axis=2,
     )
-    p *= weight[..., None] / max(1.0, weight.sum())
-    g_out = active.reshape(-1, WIDTH).T @ p.reshape(-1, p.shape[2])
-    g_hidden = (p @ model.out.T) * (hidden > 0)
-    g_weights = np.matmul(g_hidden, v.transpose(0, 2, 1))
-    g_value = np.matmul(weights.transpose(0, 2, 1), g_hidden)
-    g_scores = weights * (g_weights - (g_weights * weights).sum(axis=2, keepdims=True))
-    g_query, g_key = np.matmul(g_scores, k), np.matmul(g_scores.transpose(0, 2, 1), q)
     g_distance = np.bincount(
         np.clip(_BACK, 0, 2 * BLOCK - 1).ravel(),
         np.where(_BACK >= 0, g_scores.sum(axis=0), 0).ravel(), 2 * BLOCK,
     )
 
-    def scattered(rows, *values):
+    def scattered(rows, values):
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
-        at, begin = np.unique(flat[order], return_index=True)
-        for value in values:
-            yield at, np.add.reduceat(value.reshape(-1, WIDTH)[order], begin, axis=0)
+        flat = flat[order]
+        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        values = values.reshape(-1, 2 * WIDTH)[order]
+        return flat[begin], np.add.reduceat(values, begin, axis=0)
 
-    (query, own), (key, value) = scattered(ids, g_query, g_hidden), scattered(seen, g_key, g_value)
+    every = slice(None)
     return [
-        query,
-        key,
-        value,
-        own,
-        (slice(None), g_distance.astype(np.float32)),
-        (slice(None), g_out),
-        (slice(None), p.sum(axis=(0, 1))),
+        scattered(ids, g_near),
+        scattered(seen, g_far),
+        (every, g_distance.astype(np.float32)),
+        (every, g_out),
+        (every, g_bias),
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from gradelake.llm import attention
 from gradelake.llm.common import id_crc, map_arrow, settled, slices, table
 from gradelake.llm.vocab import WordIds, default_path
+from gradelake.session import scratch_folder, scratch_run
 
 TOKENIZER = "word_bpe_49k.json"
 START, END = 49406, 49407
@@ -26,15 +28,15 @@ VOCABULARY = 49408
 # rounds have made attention.STEPS steps.
 ROUNDS = 4
 SHARD_WINDOWS = 1 << 17
-# Windows of a text that go to a shard together; a longer text is spread over several.
-RUN_WINDOWS = 1 << 12
+# Neighbouring windows of a text that go to a shard together; their ids are stored once.
+RUN_WINDOWS = 8
 # Rows of the model's tables that are averaged together, and shards that are added up at once.
 SLICE = 4096
 FAN_IN = 32
-# Bytes of text scored together against the words that occur in them.
-BLOCK_BYTES = 16 << 20
-# Documents whose words are counted together, words tokenised together, documents scored at once.
-COUNT_ROWS, WORD_ROWS, GROUP = 512, 8192, 64
+# Bytes of text whose words are listed once.
+BLOCK_BYTES = 8 << 20
+# Words kept in one row, words tokenised together, documents scored at once.
+LIST_WORDS, WORD_ROWS, GROUP = 8192, 8192, 64
 
 
 def training_flag(doc_id: Column) -> Column:
@@ -43,10 +45,13 @@ def training_flag(doc_id: Column) -> Column:
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, trained, held_out and block of every row, written once.
+    """Texts as places in the word lists of their blocks, and those lists; written once.
 
     A block is a run of neighbouring rows of one input partition with about ``block_bytes`` of
-    text, so that the words of a block can be counted without moving the text.
+    text. Each text is split into words once, here. A row with ``at`` is a document: its number
+    in the block, doc_id, trained, held_out and ``places``, one for each word. The others are
+    stretches of the block's list of different words: the place of the first one, the words and
+    how often each occurs in training texts.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint"),
@@ -54,22 +59,73 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         training_flag(F.col("doc_id")).alias("trained"),
         F.coalesce(id_crc(F.col("doc_id")) % 7 == 2, F.lit(False)).alias("held_out"),
     )
-    schema = "doc_id long, text string, trained boolean, held_out boolean, block long"
+    schema = (
+        "block long, at int, doc_id long, trained boolean, held_out boolean, places binary, "
+        "first int, words array<string>, n array<long>"
+    )
+    arrow = pa.schema(
+        [("block", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()),
+         ("trained", pa.bool_()), ("held_out", pa.bool_()), ("places", pa.binary()),
+         ("first", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))]
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, block = 0, TaskContext.get().partitionId() << 32
-        for batch in (part for whole in batches for part in slices(whole)):
-            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            blocks = block + (filled + np.cumsum(sizes, dtype=np.int64)) // block_bytes
-            filled += int(sizes.sum())
+    def listed(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.Table.from_batches(parts).combine_chunks()
+        words, counts = split(texts.column("text").combine_chunks())
+        found = words.dictionary_encode()
+        places = found.indices.to_numpy(zero_copy_only=False)
+        trained = np.repeat(texts.column("trained").to_numpy(), counts)
+        n = np.bincount(places[trained], minlength=len(found.dictionary))
+        texts = texts.drop(["text"])
+        del words, trained
+        for first in range(0, len(n), LIST_WORDS):
+            stretch = slice(first, first + LIST_WORDS)
+            row = [block, None, None, None, None, None, first,
+                   found.dictionary[stretch].to_pylist(), n[stretch].tolist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(blocks)],
-                names=["doc_id", "text", "trained", "held_out", "block"],
+                [pa.array([x], t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow
+            )
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        for first in range(0, len(counts), GROUP):
+            last = min(len(counts), first + GROUP)
+            packed = [_planes(places[upto[k] : upto[k + 1]]) for k in range(first, last)]
+            given = texts.slice(first, last - first)
+            size = last - first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, block), pa.int64()),
+                 pa.array(np.arange(first, last), pa.int32()),
+                 *[given.column(c).combine_chunks() for c in ("doc_id", "trained", "held_out")],
+                 pa.array(packed, pa.binary()),
+                 *[pa.nulls(size, t) for t in arrow.types[6:]]],
+                schema=arrow,
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, filled = TaskContext.get().partitionId() << 32, [], 0
+        for part in (part for whole in batches for part in slices(whole)):
+            parts.append(part)
+            filled += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if filled >= block_bytes:
+                yield from listed(block, parts)
+                block, parts, filled = block + 1, [], 0
+                pa.default_memory_pool().release_unused()
+        if parts:
+            yield from listed(block, parts)
+
     return settled(rows.mapInArrow(run, schema), "blocks")
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """Low halves of all numbers, then high halves, which compress to almost nothing."""
+    halves = places.astype("<u4").view("<u2").reshape(-1, 2)
+    return halves.T.tobytes()
+
+
+def _joined(planes: bytes) -> np.ndarray:
+    low, high = np.frombuffer(planes, "<u2").reshape(2, -1).astype(np.int64)
+    return low + (high << 16)
+
+
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words of all texts in a row, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -81,58 +137,44 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Every word of every block: block, word, count in all training text, subword ids, first.
+    """Every word of every block: block, place, count in all training text, subword ids, first.
 
-    Words are counted per block before they are shuffled. All blocks that hold a word then meet
-    at the word, in a few rows per block however frequent it is, so its total is a window sum
-    and it is tokenised there. ``first`` marks one row of each word.
+    Words come counted per block. All blocks that hold a word meet at the word, in one row per
+    block however frequent it is, so its total is a window sum and it is tokenised there.
+    ``first`` marks one row of each word.
     """
-
-    def counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        blocks = batch.column(3).to_numpy()
-        for block in np.unique(blocks):
-            for trained in (True, False):
-                chosen = (blocks == block) & (batch.column(2).to_numpy(False) == trained)
-                words, _ = split(batch.column(1).filter(pa.array(chosen)))
-                found = pc.value_counts(words)
-                n = found.field("counts").to_numpy(False) if trained else np.zeros(len(found), int)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(found), block)),
-                        found.field("values"),
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    names=["block", "word", "n"],
-                )
-
-    counts = map_arrow(
-        rows.select("doc_id", "text", "trained", "block"),
-        counted,
-        "block long, word string, n long",
-        COUNT_ROWS,
+    listed = rows.where(F.col("words").isNotNull()).select(
+        "block", "first", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "item")
     )
     by_word = Window.partitionBy("word")
-    totals = counts.groupBy("block", "word").agg(F.sum("n").alias("n")).select(
+    totals = listed.select(
         "block",
+        (F.col("first") + F.col("pos")).alias("place"),
+        F.col("item.words").alias("word"),
+        F.col("item.n").alias("n"),
+    ).select(
+        "block",
+        "place",
         "word",
         F.sum("n").over(by_word).alias("n"),
         (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = batch.column(1).dictionary_encode()
+        found = batch.column(2).dictionary_encode()
         # A word comes in one batch or two: there is little to remember.
         ids = WordIds.shared(tokenizer, 1 << 14).encode(found.dictionary.to_pylist())
         yield pa.RecordBatch.from_arrays(
             [
-                *batch.columns[:3],
-                pa.array(ids, pa.binary()).take(found.indices),
+                *batch.columns[:2],
                 batch.column(3),
+                pa.array(ids, pa.binary()).take(found.indices),
+                batch.column(4),
             ],
-            names=["block", "word", "n", "ids", "first"],
+            names=["block", "place", "n", "ids", "first"],
         )
 
-    schema = "block long, word string, n long, ids binary, first boolean"
+    schema = "block long, place int, n long, ids binary, first boolean"
     return map_arrow(totals, run, schema, WORD_ROWS)
 
 
@@ -157,83 +199,125 @@ def id_counts(vocabulary: DataFrame) -> np.ndarray:
     return counts
 
 
-def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
-    """All windows of all training texts: doc_id, round, run, n, ids; a row is a run of up to
-    RUN_WINDOWS windows of one text in one round, and ``run`` a number that spreads runs evenly,
-    those of equal rows and of one long text as well.
+def encoded(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
+    """One row per document: block, at, doc_id, trained, held_out, its base columns, ids.
 
-    A window is the 2 * BLOCK + 1 ids that BLOCK targets, the end among them, are learned from,
-    followed by the number of targets. A round takes every ROUNDS-th window of a text, beginning
-    at a place hashed from its id.
+    ``ids`` has two bytes for every subword id of the text. base_score and n_known are those of
+    the words; the end is not among them.
     """
-    size = attention.BLOCK
+    schema = (
+        "block long, at int, doc_id long, trained boolean, held_out boolean, n_words long, "
+        "n_known long, base_score double, ids binary"
+    )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known_words = _Words(right, total, distinct)
-        out = {"doc_id": [], "round": [], "run": [], "n": [], "ids": []}
-        block = left.column("block")[0].as_py() if left.num_rows else 0
-        for at in range(0, left.num_rows, GROUP):
-            group = left.slice(at, GROUP)
-            words, counts = split(group.column("text").combine_chunks())
-            places = known_words.places(words)
-            owner = np.repeat(np.arange(group.num_rows), counts)
-            length = np.bincount(owner, known_words.size[places], group.num_rows).astype(np.int64)
-            inputs, targets, _, _ = attention.placed(known_words.ids(places), length, START, END)
-            n_rows = 1 + -(-(length + 1) // size)
-            last = np.cumsum(n_rows)
-            for k, doc_id in enumerate(group.column("doc_id").to_pylist()):
-                own = np.arange(last[k] - n_rows[k] + 1, last[k])
-                whole = np.concatenate(
-                    [inputs[own - 1], inputs[own], targets[own, -1:],
-                     np.minimum(size, length[k] + 1 - size * np.arange(len(own)))[:, None]],
-                    axis=1,
-                ).astype("<u2")
-                for turn in range(ROUNDS):
-                    part = whole[(turn + zlib.crc32(str(doc_id).encode())) % ROUNDS :: ROUNDS]
-                    for first in range(0, len(part), RUN_WINDOWS):
-                        run_of = part[first : first + RUN_WINDOWS]
-                        place = f"{block} {at + k} {first}"
-                        out["doc_id"].append(doc_id)
-                        out["round"].append(turn)
-                        out["run"].append(zlib.crc32(place.encode()))
-                        out["n"].append(len(run_of))
-                        out["ids"].append(run_of.tobytes())
+        words = _Words(right, total, distinct)
+        n_words, n_known, base, ids = [], [], [], []
+        for planes in left.column("places").to_pylist():
+            places = _joined(planes)
+            n_words.append(len(places))
+            n_known.append(int(words.known[places].sum()))
+            base.append(float(words.share[places].sum()))
+            ids.append(words.ids(places).tobytes())
         return pa.table(
+            {
+                **{c: left.column(c) for c in left.column_names[:5]},
+                "n_words": pa.array(n_words, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "ids": pa.array(ids, pa.binary()),
+            }
+        )
+
+    documents = rows.where(F.col("at").isNotNull())
+    left = documents.select("block", "at", "doc_id", "trained", "held_out", "places")
+    right = vocabulary.select("block", "place", "n", "ids")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+
+
+def runs(texts: DataFrame, turn: int | None = None) -> DataFrame:
+    """Windows of all training texts of ``encoded``: doc_id, round, run, n, ids.
+
+    A row is a run of up to RUN_WINDOWS neighbouring windows of one text, ``n`` of them. A round
+    takes every ROUNDS-th run of a text, beginning at one hashed from its id; ``turn`` asks for
+    one round alone. ``run`` is a number that spreads runs evenly, those of equal rows and of
+    one long text as well.
+
+    A window has BLOCK targets that are learned from, the end among them, and the 2 * BLOCK ids
+    before the last of them. ``ids`` are those of the run's windows, one after the other, with
+    the context of the first one.
+    """
+    size = attention.BLOCK
+    step = size * RUN_WINDOWS
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = {"doc_id": [], "round": [], "run": [], "n": [], "ids": []}
+        lead = np.full(size + 1, START, "<u2").tobytes()
+        tail = np.array([END], "<u2").tobytes()
+        for block, at, doc_id, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            whole = memoryview(lead + ids + tail)
+            targets = len(ids) // 2 + 1
+            begin = zlib.crc32(str(doc_id).encode())
+            for k, first in enumerate(range(0, targets, step)):
+                round_of = (begin + k) % ROUNDS
+                if turn is not None and round_of != turn:
+                    continue
+                out["doc_id"].append(doc_id)
+                out["round"].append(round_of)
+                out["run"].append(zlib.crc32(f"{block} {at} {first}".encode()))
+                out["n"].append(-(-min(step, targets - first) // size))
+                out["ids"].append(bytes(whole[2 * first : 2 * (first + step + size + 1)]))
+        yield pa.RecordBatch.from_arrays(
             [pa.array(out["doc_id"], pa.int64()), pa.array(out["round"], pa.int32()),
              pa.array(out["run"], pa.int64()), pa.array(out["n"], pa.int64()),
              pa.array(out["ids"], pa.binary())],
             names=list(out),
         )
 
-    left = rows.where("trained").select("doc_id", "text", "block").groupBy("block")
-    right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
-    return left.cogroup(right).applyInArrow(
-        run, "doc_id long, round int, run long, n long, ids binary"
-    )
+    trained = texts.where("trained").select("block", "at", "doc_id", "ids")
+    return map_arrow(trained, run, "doc_id long, round int, run long, n long, ids binary")
 
 
-def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, ids before, targets and target weights of windows."""
-    size = attention.BLOCK
-    ids = np.frombuffer(raw, "<u2").reshape(-1, 2 * size + 2).astype(np.int32)
-    weight = (np.arange(size) < ids[:, -1:]).astype(np.float32)
-    return ids[:, size : 2 * size], ids[:, :size], ids[:, size + 1 : 2 * size + 1], weight
+def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
+    """All windows of all training texts (see ``runs``), from blocks and their words."""
+    return runs(encoded(rows, vocabulary, total, distinct))
 
 
-def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
-    """The attention model after all rounds over ``found`` (see ``windows``).
+def unpacked(*found: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, ids before, targets and target weights of the windows of runs."""
+    size = attention.BLOCK
+    flat = np.frombuffer(b"".join(found), "<u2")
+    held = np.array([len(f) // 2 for f in found])
+    targets = held - size - 1
+    n = -(-targets // size)
+    room = n * size + size + 1
+    begin = np.cumsum(room) - room
+    ids = np.full(room.sum(), END, np.uint16)
+    ids[np.repeat(begin - (np.cumsum(held) - held), held) + np.arange(len(flat))] = flat
+    of_run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ids = ids[(np.repeat(begin, n) + size * of_run)[:, None] + np.arange(2 * size + 1)]
+    left = np.repeat(targets, n) - size * of_run
+    weight = (np.arange(size) < left[:, None]).astype(np.float32)
+    return ids[:, size : 2 * size], ids[:, :size], ids[:, size + 1 :], weight
+
+
+def fitted(texts: DataFrame, counts: np.ndarray) -> attention.Model:
+    """The attention model after all rounds over the training texts of ``texts`` (``encoded``).
 
     A shard is the runs of a round whose numbers hash alike, in an order of their texts. The
     average of a row of a table is taken over the shards that have the id. Changes are added up
     in steps of at most FAN_IN shards, so no task holds more of them however many there are.
     """
     model = attention.untrained(counts, START)
-    n_windows = found.agg(F.sum("n")).first()[0] or 0
+    n_targets = F.length("ids") / 2 + 1
+    n_windows = texts.where("trained").agg(
+        F.sum(F.ceil(n_targets / attention.BLOCK)).cast("bigint")
+    ).first()[0]
     if not n_windows:
         return model
     shards = -(-n_windows // (ROUNDS * SHARD_WINDOWS))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "run"), F.lit(shards)))
-    context = found.sparkSession.sparkContext
+    shard_of = F.pmod(F.xxhash64(F.lit("shard"), "run"), F.lit(shards))
+    context = texts.sparkSession.sparkContext
     tables = 4
 
     def round_of(turn: int) -> list:
@@ -242,7 +326,7 @@ def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
         def run(frame: pa.Table) -> pa.Table:
             frame = frame.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
             shard = frame.column("shard")[0].as_py()
-            data = unpacked(b"".join(frame.column("ids").to_pylist()))
+            data = unpacked(*frame.column("ids").to_pylist())
             before = sent.value.parameters()
             mine = copy.deepcopy(sent.value)
             steps = max(-(-attention.STEPS // ROUNDS), -(-len(data[0]) // attention.BATCH))
@@ -260,7 +344,8 @@ def fitted(found: DataFrame, counts: np.ndarray) -> attention.Model:
                              "moved": pa.array(values, pa.binary())})
 
         schema = "part long, shard long, ids binary, moved binary"
-        tuned = dealt.where(F.col("round") == turn).groupBy("shard").applyInArrow(run, schema)
+        dealt = runs(texts, turn).withColumn("shard", shard_of)
+        tuned = dealt.groupBy("shard").applyInArrow(run, schema)
         collected = added_up(tuned, shards, tables).collect()
         sent.unpersist()
         return collected
@@ -331,20 +416,17 @@ def added_up(tuned: DataFrame, shards: int, tables: int) -> DataFrame:
 
 
 class _Words:
-    """The words of a block: smoothed share, and subword ids by position."""
+    """The words of a block by place: smoothed share, whether known, and subword ids."""
 
     def __init__(self, frame: pa.Table, total: int, distinct: int):
-        self.names = frame.column("word").combine_chunks()
+        frame = frame.sort_by("place")
         counts = frame.column("n").to_numpy()
         self.known = counts > 0
         self.share = np.log10((counts + 1) / (total + distinct + 1))
         ids = frame.column("ids").combine_chunks()
         self.size = pc.binary_length(ids).to_numpy(False).astype(np.int64) // 4
         self.start = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype(np.int32)
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        return pc.index_in(words, value_set=self.names).to_numpy(False)
+        self.flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype("<u2")
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """Subword ids of a sequence of words."""
@@ -367,60 +449,55 @@ def score(
     words are unknown and the model is uniform over its classes. No rows give no rows.
     """
     path = tokenizer or default_path(TOKENIZER)
-    rows = blocked(docs, block_bytes)
-    vocabulary = settled(block_words(rows, path), "words")
-    known = vocabulary.where(F.col("first") & (F.col("n") > 0))
-    n_words, n_distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
-    texts = rows.where("trained").count()
-    total = (n_words or 0) + texts
-    distinct = n_distinct + (texts > 0)
-    counts = id_counts(vocabulary)
-    counts[END] += texts
-    model = fitted(settled(windows(rows, vocabulary, total, distinct), "windows"), counts)
+    session = docs.sparkSession
+    target = f"{scratch_folder(session)}/llm-ids-{uuid.uuid4().hex}"
+    # Blocks and words are of no use any more when the ids of all texts are written.
+    with scratch_run(session):
+        rows = blocked(docs, block_bytes)
+        vocabulary = settled(block_words(rows, path), "words")
+        known = vocabulary.where(F.col("first") & (F.col("n") > 0))
+        n_words, n_distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
+        texts = rows.where("trained").count()
+        total = (n_words or 0) + texts
+        distinct = n_distinct + (texts > 0)
+        counts = id_counts(vocabulary)
+        counts[END] += texts
+        ids = encoded(rows, vocabulary, total, distinct)
+        ids.write.parquet(target)
+    found = session.read.schema(ids.schema).parquet(target)
+    model = fitted(found, counts)
     end_share = float(np.log10((texts + 1) / (total + distinct + 1)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = session.sparkContext.broadcast(model)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known_words = _Words(right, total, distinct)
-        model = sent.value
-        n = left.num_rows
-        words, counts = split(left.column("text").combine_chunks())
-        places = known_words.places(words)
-        owner = np.repeat(np.arange(n), counts)
-        base = np.bincount(owner, known_words.share[places], n) + end_share
-        known = np.bincount(owner, known_words.known[places], n).astype(np.int64) + (texts > 0)
-        sums = np.zeros(n)
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        for at in range(0, n, GROUP):
-            last = min(n, at + GROUP)
-            group = places[upto[at] : upto[last]]
-            of = owner[upto[at] : upto[last]] - at
-            size = known_words.size[group]
-            length = np.bincount(of, size, last - at).astype(np.int64)
-            inputs, targets, ids_at, ends_at = attention.placed(
-                known_words.ids(group), length, START, END
-            )
-            each = model.score(inputs, targets).ravel()
-            sums[at:last] = np.bincount(np.repeat(of, size), each[ids_at], last - at)
-            sums[at:last] += each[ends_at]
-        return pa.table(
-            {
-                "doc_id": left.column("doc_id"),
-                "held_out": left.column("held_out"),
-                "n_tokens": pa.array(counts.astype(np.int64) + 1),
-                "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(n, total, np.int64)),
-                "base_score": pa.array(base),
-                "score": pa.array(sums),
-            }
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = dict(zip(batch.schema.names, batch.columns, strict=True))
+        n = len(batch)
+        length = pc.binary_length(column["ids"]).to_numpy(False).astype(np.int64) // 2
+        ids = np.frombuffer(b"".join(column["ids"].to_pylist()), "<u2")
+        inputs, targets, ids_at, ends_at = attention.placed(ids, length, START, END)
+        each = sent.value.score(inputs, targets).ravel()
+        sums = np.bincount(np.repeat(np.arange(n), length), each[ids_at], n) + each[ends_at]
+        base = column["base_score"].to_numpy(False) + end_share
+        yield pa.RecordBatch.from_arrays(
+            [
+                column["doc_id"],
+                column["held_out"],
+                pc.add(column["n_words"], 1),
+                pc.add(column["n_known"], int(texts > 0)),
+                pa.array(np.full(n, total, np.int64)),
+                pa.array(base),
+                pa.array(sums),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+                   "score"],
         )
 
-    left = rows.select("doc_id", "text", "held_out", "block").groupBy("block")
-    right = vocabulary.select("block", "word", "n", "ids").groupBy("block")
-    return left.cogroup(right).applyInArrow(
+    return map_arrow(
+        found.select("doc_id", "held_out", "n_words", "n_known", "base_score", "ids"),
         run,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
+        GROUP,
     )
 
 

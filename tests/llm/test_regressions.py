@@ -1,7 +1,8 @@
-"""Cases that once gave wrong results."""
+"""Cases that once gave wrong results, and parts of operators against plain versions."""
 
 from __future__ import annotations
 
+import os
 import random
 import time
 
@@ -12,6 +13,7 @@ import pytest
 from gradelake.llm import attention, embeddings, lm, mixing, simhash
 from gradelake.llm.common import BATCH_ROWS, map_arrow, slices
 from gradelake.llm.vocab import WordIds, default_path, load_tokenizer
+from gradelake.session import scratch_run
 
 
 @pytest.fixture(scope="module")
@@ -273,3 +275,51 @@ def test_windows_of_a_giant_text_and_of_equal_rows_are_spread(spark, monkeypatch
         windows = sum(r["n"] for r in found if r["doc_id"] == doc_id)
         rows_of_id = 1 if doc_id == 3 else 50
         assert windows == rows_of_id * -(-(n + 1) // attention.BLOCK)
+
+
+def test_runs_give_every_window_once():
+    """Windows unpacked from runs are those cut from the whole text one at a time."""
+    size = attention.BLOCK
+    for n in (0, 1, 14, 15, 16, 127, 128, 129, 300):
+        ids = list(range(7, 7 + n))
+        whole = [lm.START] * (size + 1) + ids + [lm.END]
+        step = size * lm.RUN_WINDOWS
+        found = [
+            np.array(whole[at : at + step + size + 1], "<u2").tobytes()
+            for at in range(0, n + 1, step)
+        ]
+        seen, before, targets, weight = lm.unpacked(*found)
+        assert weight.sum() == n + 1
+        for k in range(len(weight)):
+            for j in np.flatnonzero(weight[k]):
+                at = size * (k + 1) + j
+                assert targets[k, j] == whole[at + 1] and seen[k, j] == whole[at]
+                assert list(before[k]) == whole[size * k : size * (k + 1)]
+
+
+def test_texts_come_back_from_places(spark, monkeypatch):
+    """Many different words, in lists of a few: the ids of every text are the tokenizer's."""
+    monkeypatch.setattr(lm, "LIST_WORDS", 1000)
+    rng = random.Random(9)
+    texts = {i: " ".join(f"w{rng.randrange(10**6)}" for _ in range(900)) for i in range(90)}
+    texts[90], texts[91] = "", " \t\n "
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = lm.blocked(docs)
+    words = lm.block_words(rows, default_path(lm.TOKENIZER))
+    assert rows.select("block").distinct().count() == 1 and words.count() > 1 << 16
+    found = {r["doc_id"]: r for r in lm.encoded(rows, words, 100, 10).collect()}
+    assert set(found) == set(texts)
+    coder = load_tokenizer(default_path(lm.TOKENIZER))
+    for i, text in texts.items():
+        ids = [k for w in text.split() for k in coder.encode(w, add_special_tokens=False).ids]
+        assert np.frombuffer(found[i]["ids"], "<u2").tolist() == ids
+        assert found[i]["n_words"] == len(text.split())
+
+
+def test_intermediate_tables_of_scoring_are_released(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(20)], "doc_id long, text string")
+    with scratch_run(spark) as folder:
+        scored = lm.score(docs)
+        assert scored.count() == 20
+        kept = {name.split("-")[1] for name in os.listdir(folder.removeprefix("file:"))}
+        assert kept == {"ids"}
