@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from gradelake.llm import (
@@ -55,16 +57,22 @@ def test_quality(spark, texts):
 
 
 def test_quality_ratio(spark):
-    """The score is the mean log ratio of hashed n-grams, recomputed here from the buckets."""
+    """The score is the mean log ratio of hashed n-grams, all of it recomputed here."""
+
+    def bucket(*parts):  # XXH64, each word seeded by the hash of the one before
+        found = 42
+        for part in parts:
+            found = xxhash.xxh64_intdigest(part.encode(), seed=found)
+        return (found - (found >> 63 << 64)) % 64
+
     rows = [(i, f"a b c{i % 3}" * (i % 4 + 1)) for i in range(20)] + [(50, "zz ## zz ##")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     weights = quality.bucket_weights(docs, quality.trusted_ids(labels), 64)
-    w = quality.words(docs["text"])
-    grams = {
-        r[0]: r[1]
-        for r in docs.select("doc_id", quality.let(w, lambda x: quality.grams(x, 64))).collect()
-    }
+    grams = {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        grams[i] = [bucket(w) for w in words] + [bucket(*p) for p in itertools.pairwise(words)]
     raw, target = Counter(), Counter()
     for i, found in grams.items():
         raw.update(found)
