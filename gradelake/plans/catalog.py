@@ -1027,16 +1027,12 @@ def _(v: Views) -> DataFrame:
     return placed.select("id", "profile_name", "position")
 
 
-@query(
-    "rank_position_ranged",
-    f"select * from ({_RANK_SQL}) r where profile_name = '4-NOT SPECIFIED' "
-    "and position between 41 and 200",
-)
+@query("rank_position_ranged", _RANK_SQL)
 def _(v: Views) -> DataFrame:
-    """Positions of a stretch of a ranking, without numbering the rest."""
-    subject = v.attempts().where(F.col("profile_name") == "4-NOT SPECIFIED")
-    stretch = selection.rank_range(subject, ordering.RANKING, 41, 200)
-    return stretch.select("id", "profile_name", "position")
+    """Positions of every ranking from its first row to its last, numbered range by range."""
+    ranked = v.attempts().select("id", "profile_name", "grade", "ts")
+    placed = selection.rank_range(ranked, ordering.RANKING, 1, keys=["profile_name"])
+    return placed.select("id", "profile_name", "position")
 
 
 @query(

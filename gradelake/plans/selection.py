@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradelake.plans.ordering import RANKING, fresh, page_count_of, sort_columns
+from gradelake.plans.ordering import RANKING, fresh, page_count_of, sort_columns, with_position
 
 # Rows that are sorted at last, besides those of the page itself.
 MOST_SORTED = 1 << 16
@@ -251,15 +251,23 @@ def rank_range(
     df: DataFrame,
     order: Sequence[str],
     first: int,
-    last: int,
+    last: int | None = None,
     name: str = "position",
     most: int = MOST_SORTED,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Rows on the 1-based positions ``first`` to ``last`` of an order, with their position.
 
-    Only so many rows are numbered, so one window task holds no more than the range asked for.
+    With ``keys`` these are the positions in every group; without ``last`` they go on to the end.
+    A closed range of one order is found by exact selection: only so many rows are numbered, so
+    one window task holds no more than the range asked for. Otherwise the rows are numbered in
+    value ranges side by side (``with_position``), however many there are.
     """
     first = max(first, 1)
+    if keys or last is None:
+        placed = with_position(df, order, keys, name)
+        upto = F.lit(True) if last is None else F.col(name) <= last
+        return placed.where((F.col(name) >= first) & upto)
     rows, after = select_rows(df, order, last - first + 1, lambda _: first - 1, most)
     place = fresh(df, "serial")
     # The rows come out sorted; their serial number follows that order.

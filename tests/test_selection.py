@@ -9,8 +9,10 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_FOLDER, queries
 from gradelake.plans import selection
 from gradelake.plans.ordering import NEWEST, sort_columns
 
@@ -112,6 +114,32 @@ def test_rank_range(table):
     assert selection.rank_range(table, NEWEST, 9, 8).count() == 0
 
 
+def test_rank_range_of_every_group(table):
+    """Open ranges and groups, null groups too, give the positions of a full sort."""
+    order = sort_columns(NEWEST)
+    placed = table.withColumn(
+        "position", F.row_number().over(Window.partitionBy("flag").orderBy(*order))
+    )
+    pairs = lambda df: {(r["id"], r["position"]) for r in df.select("id", "position").collect()}
+    narrow = table.select("id", "ts", "grade", "flag")
+    assert pairs(selection.rank_range(narrow, NEWEST, 1, keys=["flag"])) == pairs(placed)
+    assert pairs(selection.rank_range(table, NEWEST, 11, 90, keys=["flag"])) == pairs(
+        placed.where("position between 11 and 90")
+    )
+    expected = ids(table.orderBy(*order))
+    assert pairs(selection.rank_range(table, NEWEST, 2991)) == {
+        (i, 2991 + k) for k, i in enumerate(expected[2990:])
+    }
+
+
+def test_ranged_query_places_every_attempt(spark):
+    """The query ranks all rows of all subjects, not a stretch of one."""
+    run = lambda name: {tuple(r) for r in queries()[name](spark, SMOKE_FOLDER).collect()}
+    found = run("rank_position_ranged")
+    assert len({profile for _, profile, _ in found}) > 1
+    assert found == run("rank_position")
+
+
 def test_type_without_an_order(spark):
     df = spark.createDataFrame([(1, [2])], "id long, xs array<int>")
     with pytest.raises(ValueError, match="cannot page"):
