@@ -12,10 +12,14 @@ WIDTH = 16
 SINGLE, SHARED = 96, 32
 BATCH, STEPS, RATE = 256, 800, 0.02
 FAR = -1e9
+KEPT_BYTES = 12 << 20
 # exp() of numbers within this of zero, and sums of them, stay in the range of 32-bit floats.
 SAFE = 80.0
-# Rows scored at once, few enough for their logits to stay in the cache.
-ROWS = 256
+# Rows scored at once, and tokens whose logits are held at once: few enough for the cache.
+ROWS, TOKENS = 256, 256
+# Exponents are powers of two, the fastest ones there are.
+LOG2E = np.float32(np.log2(np.e))
+LOST = np.float32(-100)
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +74,7 @@ class Model:
         row is scored, so every token is scored once, with at least BLOCK tokens of context.
         The first row gets zeros.
         """
+        keep_memory()
         scores = np.zeros(inputs.shape, np.float32)
         for at in range(1, len(inputs), ROWS):
             last = min(len(inputs), at + ROWS)
@@ -78,48 +83,106 @@ class Model:
 
     def _batch(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         ids = inputs[1:]
-        seen = np.concatenate([inputs[:-1], ids], axis=1)
-        hidden = _attended(
-            self.query[ids], self.key[seen], self.value[seen], self.mask(), self.distance
-        )[1]
-        hidden += self.own[ids]
+        key, value = self.key.take(inputs, axis=0), self.value.take(inputs, axis=0)
+        turned = np.empty((len(ids), WIDTH, 2 * BLOCK), np.float32)
+        turned[..., :BLOCK] = key[:-1].transpose(0, 2, 1)
+        turned[..., BLOCK:] = key[1:].transpose(0, 2, 1)
+        weights, sums = _attended(self.query.take(ids, axis=0), turned, self.mask())
+        hidden = np.matmul(weights[..., :BLOCK], value[:-1])
+        hidden += np.matmul(weights[..., BLOCK:], value[1:])
+        hidden /= sums
+        hidden += self.own.take(ids, axis=0)
         np.maximum(hidden, 0, out=hidden)
-        logits = _logits(hidden.reshape(-1, WIDTH), self.out, self.bias)
         goal = targets.ravel()
-        picked = logits[np.arange(len(goal)), self.of[goal]]
-        np.exp(logits, out=logits)
-        total = np.log(logits @ _ONES)
-        return ((picked - total) / np.float32(np.log(10.0)) + self.within[goal]).reshape(ids.shape)
+        output = _Output(hidden.reshape(-1, WIDTH), self.out, self.bias, self.of.take(goal))
+        scores = np.empty(len(goal), np.float32)
+        total = np.empty(len(goal), np.float32)
+        for at in range(0, len(goal), TOKENS):
+            tokens = slice(at, at + TOKENS)
+            p = output.logits(tokens)
+            p.ravel().take(output.places[tokens], out=scores[tokens], mode="clip")
+            np.matmul(output.powers(p), output.scale, out=total[tokens])
+        scores -= np.log2(total)
+        scores *= np.float32(np.log10(2))
+        scores += np.log10(output.own_scale)
+        scores += self.within.take(goal)
+        return scores.reshape(ids.shape)
 
 
 _BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 _ONES = np.ones(SINGLE + SHARED, np.float32)
 
 
-def _attended(query, key, value, mask, distance) -> tuple[np.ndarray, np.ndarray]:
-    """Attention weights, and the values they add up to.
+def keep_memory() -> None:
+    """Let the allocator keep what one step frees for the next, instead of asking for new pages.
 
-    Rows are shifted by their maximum only where exp could leave the range of its type.
+    glibc serves sizes up to the largest freed piece so far from memory it holds, and gives that
+    back beyond twice as much. The piece is never written to, so it takes up no memory itself.
     """
-    weights = np.matmul(query, key.transpose(0, 2, 1))
-    reach = max(weights.max(initial=0), -weights.min(initial=0)) + np.abs(distance).max()
-    weights += mask
-    if not reach <= SAFE:
+    np.empty(KEPT_BYTES, np.uint8)
+
+
+def _attended(query, turned, mask) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights that are not divided by their sums yet, and those sums.
+
+    ``turned`` has the keys as columns. Rows are shifted by their maximum only where exp could
+    leave the range of its type.
+    """
+    weights = np.matmul(query * LOG2E, turned)
+    reach = max(weights.max(initial=0), -weights.min(initial=0)) / LOG2E
+    if reach + np.abs(mask[mask > FAR]).max() <= SAFE:
+        np.exp2(weights, out=weights)
+        weights *= np.exp(mask)
+    else:
+        weights += mask * LOG2E
         weights -= weights.max(axis=2, keepdims=True)
-    np.exp(weights, out=weights)
-    weights /= np.matmul(weights, _ONES[: 2 * BLOCK])[..., None]
-    return weights, np.matmul(weights, value)
+        np.exp2(weights, out=weights)
+    sums = weights.reshape(-1, 2 * BLOCK) @ _ONES[: 2 * BLOCK]
+    return weights, sums.reshape(*query.shape[:2], 1)
 
 
-def _logits(hidden: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits of the classes, shifted by their maximum where a bound on them is not safe."""
-    logits = hidden @ out
-    logits += bias
-    longest = np.einsum("ij,ij->i", hidden, hidden).max(initial=0)
-    reach = np.sqrt(longest * np.square(out).sum(axis=0).max()) + np.abs(bias).max()
-    if not reach <= SAFE:
-        logits -= logits.max(axis=1, keepdims=True)
-    return logits
+class _Output:
+    """The output layer over hidden rows, a few tokens at a time in one piece of memory.
+
+    Logits are to the base of two and come without the biases, whose exponents are ``scale``, a
+    factor of each class; only biases that are too far apart for that are in the logits. Rows are
+    shifted by their maximum where exp could leave the range of its type. ``own`` are classes, and
+    ``places`` where theirs lie among the logits.
+    """
+
+    def __init__(self, hidden: np.ndarray, out: np.ndarray, bias: np.ndarray, own: np.ndarray):
+        apart = bias - (bias.max() + bias.min()) / 2
+        room = SAFE - 2 * np.abs(apart).max()
+        self.far_apart = bool(room < SAFE / 4)
+        self.scale = _ONES if self.far_apart else np.exp(apart)
+        self.room = np.float32(-1 if self.far_apart else room * LOG2E)
+        self.own_scale = self.scale.take(own)
+        self.hidden, self.out, self.bias = hidden, out * LOG2E, bias * LOG2E
+        # No logit of a row is beyond the product of the lengths.
+        longest = np.square(self.out).sum(axis=0).max()
+        self.reach = np.sqrt(np.square(hidden) @ _ONES[:WIDTH] * longest)
+        self.held = np.empty((min(TOKENS, len(hidden)), len(bias)), np.float32)
+        self.places = np.arange(len(own)) % TOKENS * len(bias) + own
+
+    def logits(self, tokens: slice) -> np.ndarray:
+        hidden = self.hidden[tokens]
+        p = np.matmul(hidden, self.out, out=self.held[: len(hidden)])
+        if self.far_apart:
+            p += self.bias
+        self.shifted = ()
+        if not (p.max(initial=0) <= self.room and -p.min(initial=0) <= self.room):
+            self.shifted = np.flatnonzero(~(self.reach[tokens] <= self.room))
+            rows = p.take(self.shifted, axis=0)
+            rows -= rows.max(axis=1, keepdims=True)
+            p[self.shifted] = rows
+        return p
+
+    def powers(self, p: np.ndarray) -> np.ndarray:
+        """The exponents of the last logits, in their place."""
+        if len(self.shifted):
+            # What is lost beside the one of the maximum takes exp2 longest.
+            p[self.shifted] = np.maximum(p.take(self.shifted, axis=0), LOST)
+        return np.exp2(p, out=p)
 
 
 def placed(
@@ -183,42 +246,56 @@ def fit(
     Every window is taken once before any is taken again. The rate falls linearly over the whole
     training, of which this is a ``share`` that begins after ``done``.
     """
+    keep_memory()
     ids, before, targets, weight = windows
     draw = np.random.default_rng(seed)
     order, at_row = draw.permutation(len(ids)), 0
     # Tables that are read at the same ids lie side by side.
-    near = np.concatenate([model.query, model.own], axis=1)
-    far = np.concatenate([model.key, model.value], axis=1)
-    params = [near, far, model.distance, model.out, model.bias]
-    first = [np.zeros_like(p) for p in params]
-    second = [np.zeros_like(p) for p in params]
+    tables = [
+        np.concatenate([model.query, model.own], axis=1),
+        np.concatenate([model.key, model.value], axis=1),
+    ]
+    dense = [model.distance, model.out, model.bias]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in [*tables, *dense]]
     for step in range(1, steps + 1):
         if at_row >= len(order):
             order, at_row = draw.permutation(len(ids)), 0
         rows = order[at_row : at_row + BATCH]
         at_row += BATCH
-        mask = model.mask()
         grads = _gradients(
-            params, mask, ids[rows], before[rows], model.of[targets[rows]], weight[rows]
+            [*tables, *dense], model.mask(), ids[rows], before[rows],
+            model.of.take(targets[rows]), weight[rows],
         )
         rate = RATE * (1 - done - share * (step - 1) / steps) / (1 - 0.9**step)
-        for p, (at, g), m, v in zip(params, grads, first, second, strict=True):
-            # Rows of ids that a batch lacks keep their moments.
-            m_at, v_at = 0.9 * m[at] + 0.1 * g, 0.99 * v[at]
-            g *= g
-            g *= 0.01
-            v_at += g
-            m[at], v[at] = m_at, v_at
-            v_at /= 1 - 0.99**step
-            np.sqrt(v_at, out=v_at)
-            v_at += 1e-6
-            m_at *= rate
-            m_at /= v_at
-            p[at] -= m_at
+        spread = 1 / np.sqrt(1 - 0.99**step)
+        # Rows of ids that a batch lacks keep their moments.
+        for p, (m, v), (at, g) in zip(tables, moments[:2], grads[:2], strict=True):
+            rows_of = [whole.take(at, axis=0) for whole in (p, m, v)]
+            _adam(*rows_of, g, rate, spread)
+            p[at], m[at], v[at] = rows_of
+        for p, (m, v), g in zip(dense, moments[2:], grads[2:], strict=True):
+            _adam(p, m, v, g, rate, spread)
+    near, far = tables
     model.query[:], model.own[:] = near[:, :WIDTH], near[:, WIDTH:]
     model.key[:], model.value[:] = far[:, :WIDTH], far[:, WIDTH:]
 
 
+def _adam(p, m, v, g, rate: float, spread: float) -> None:
+    """One step on ``p`` and its moments, all in place; ``g`` is used up."""
+    m *= 0.9
+    m += np.float32(0.1) * g
+    g *= g
+    g *= 0.01
+    v *= 0.99
+    v += g
+    np.sqrt(v, out=g)
+    g *= spread
+    g += 1e-6
+    np.divide(m, g, out=g)
+    g *= rate
+    p -= g
+
+
 def bound(model: Model) -> None:
     """exp() of an attention weight is taken without a shift: keep it within its range."""
     reach = np.linalg.norm(model.query, axis=1).max() * np.linalg.norm(model.key, axis=1).max()
@@ -255,53 +332,80 @@ def train(
     return model
 
 
-def _gradients(params, mask, ids, before, goal, weight) -> list[tuple]:
-    """Gradient of each parameter with the rows it concerns; ``goal`` is the targets' classes."""
+def _gradients(params, mask, ids, before, goal, weight) -> list:
+    """Gradient of each parameter; ``goal`` is the targets' classes.
+
+    Those of the tables come with the rows they concern.
+    """
     near, far, distance, out, bias = params
     seen = np.concatenate([before, ids], axis=1)
-    read, known = near[ids], far[seen]
+    read, known = near.take(ids, axis=0), far.take(seen, axis=0)
+    # Products with keys and values turned beforehand are faster than those that turn them.
+    turned = np.ascontiguousarray(known.transpose(0, 2, 1))
     q, k, v = read[..., :WIDTH], known[..., :WIDTH], known[..., WIDTH:]
-    weights, found = _attended(q, k, v, mask, distance)
+    weights, sums = _attended(q, turned[:, :WIDTH], mask)
+    np.divide(1, sums, out=sums)
+    found = np.matmul(weights, v)
+    found *= sums
     hidden = (found + read[..., WIDTH:]).reshape(-1, WIDTH)
-    active = np.maximum(hidden, 0)
-    p = _logits(active, out, bias)
-    np.exp(p, out=p)
-    # Rows of ``p`` are left unscaled; what each is to be multiplied by goes to narrower arrays.
-    total = p @ _ONES
-    p[np.arange(len(p)), goal.ravel()] -= total
-    scale = weight.ravel() / (max(1.0, weight.sum()) * total)
-    g_hidden = p @ out.T
-    g_hidden *= scale[:, None]
-    g_hidden *= hidden > 0
-    active *= scale[:, None]
-    g_out, g_bias = active.T @ p, scale @ p
+    np.maximum(hidden, 0, out=hidden)
+    active = hidden > 0
+    output = _Output(hidden, out, bias, goal.ravel())
+    share = weight.ravel() / max(1.0, weight.sum())
+    back = np.ascontiguousarray((out * output.scale).T)
+    g_hidden = np.empty((weight.size, WIDTH), np.float32)
+    g_out, g_bias = np.zeros_like(out), np.zeros_like(bias)
+    for at in range(0, weight.size, TOKENS):
+        tokens = slice(at, at + TOKENS)
+        p = output.powers(output.logits(tokens))
+        # Rows of ``p`` are left unscaled; what each is multiplied by goes to narrower arrays.
+        total, flat, place = p @ output.scale, p.ravel(), output.places[tokens]
+        flat[place] = flat.take(place) - total / output.own_scale[tokens]
+        share[tokens] /= total
+        np.matmul(p, back, out=g_hidden[tokens])
+        hidden[tokens] *= share[tokens, None]
+        g_out += hidden[tokens].T @ p
+        g_bias += share[tokens] @ p
+    g_out *= output.scale
+    g_bias *= output.scale
+    g_hidden *= share[:, None]
+    g_hidden *= active
     g_hidden = g_hidden.reshape(found.shape)
-    g_scores = np.matmul(g_hidden, v.transpose(0, 2, 1))
-    g_scores -= np.einsum("nij,nij->ni", g_hidden, found)[..., None]
+    g_near = np.empty((*ids.shape, 2 * WIDTH), np.float32)
+    g_near[..., WIDTH:] = g_hidden
+    g_hidden *= sums
+    g_scores = np.matmul(g_hidden, turned[:, WIDTH:])
+    found *= g_hidden
+    g_scores -= (found.reshape(-1, WIDTH) @ _ONES[:WIDTH]).reshape(sums.shape)
     g_scores *= weights
-    g_near = np.concatenate([np.matmul(g_scores, k), g_hidden], axis=2)
-    g_far = np.concatenate(
-        [np.matmul(g_scores.transpose(0, 2, 1), q), np.matmul(weights.transpose(0, 2, 1), g_hidden)],
-        axis=2,
-    )
-    g_distance = np.bincount(
-        np.clip(_BACK, 0, 2 * BLOCK - 1).ravel(),
-        np.where(_BACK >= 0, g_scores.sum(axis=0), 0).ravel(), 2 * BLOCK,
-    )
-
-    def scattered(rows, values):
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        values = values.reshape(-1, 2 * WIDTH)[order]
-        return flat[begin], np.add.reduceat(values, begin, axis=0)
-
-    every = slice(None)
+    np.matmul(g_scores, k, out=g_near[..., :WIDTH])
+    g_far = np.empty((*seen.shape, 2 * WIDTH), np.float32)
+    np.matmul(g_scores.transpose(0, 2, 1), q, out=g_far[..., :WIDTH])
+    np.matmul(weights.transpose(0, 2, 1), g_hidden, out=g_far[..., WIDTH:])
+    by_place = np.ones(len(ids), np.float32) @ g_scores.reshape(len(ids), -1)
+    # Weights of later tokens are zero, and so are their gradients.
+    g_distance = np.bincount(np.clip(_BACK, 0, None).ravel(), by_place, 2 * BLOCK)
     return [
-        scattered(ids, g_near),
-        scattered(seen, g_far),
-        (every, g_distance.astype(np.float32)),
-        (every, g_out),
-        (every, g_bias),
+        _scattered(ids, g_near),
+        _scattered(seen, g_far),
+        g_distance.astype(np.float32),
+        g_out,
+        g_bias,
     ]
+
+
+def _scattered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sum of the values of each."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat.take(order)
+    begins = np.concatenate([[True], flat[1:] != flat[:-1]])
+    first = np.flatnonzero(begins)
+    values = values.reshape(-1, 2 * WIDTH)
+    sums = values.take(order.take(first), axis=0)
+    # Only what follows the first of a row is added up, two numbers at a time as a complex one.
+    later = values.take(order[~begins], axis=0).view(np.complex64)
+    more = np.flatnonzero(np.diff(first, append=len(flat)) > 1)
+    if len(more):
+        sums[more] += np.add.reduceat(later, first[more] - more, axis=0).view(np.float32)
+    return flat.take(first).astype(np.intp), sums

@@ -78,13 +78,18 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         n = np.bincount(places[trained], minlength=len(found.dictionary))
         texts = texts.drop(["text"])
         del words, trained
-        for first in range(0, len(n), LIST_WORDS):
-            stretch = slice(first, first + LIST_WORDS)
-            row = [block, None, None, None, None, None, first,
-                   found.dictionary[stretch].to_pylist(), n[stretch].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip(row, arrow.types, strict=True)], schema=arrow
-            )
+        begins = np.arange(0, len(n), LIST_WORDS)
+        size = len(begins)
+        ends = pa.array(np.append(begins, len(n)), pa.int32())
+        lists = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, block), pa.int64()),
+             *[pa.nulls(size, t) for t in arrow.types[1:6]],
+             pa.array(begins, pa.int32()),
+             pa.ListArray.from_arrays(ends, found.dictionary),
+             pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))],
+            schema=arrow,
+        )
+        yield from (lists.slice(k, 1) for k in range(size))
         upto = np.concatenate([[0], np.cumsum(counts)])
         for first in range(0, len(counts), GROUP):
             last = min(len(counts), first + GROUP)
@@ -146,7 +151,9 @@ def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
     listed = rows.where(F.col("words").isNotNull()).select(
         "block", "first", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "item")
     )
-    by_word = Window.partitionBy("word")
+    # One order for both columns, so the rows are sorted once.
+    by_word = Window.partitionBy("word").orderBy("block")
+    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = listed.select(
         "block",
         (F.col("first") + F.col("pos")).alias("place"),
@@ -156,8 +163,8 @@ def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
         "block",
         "place",
         "word",
-        F.sum("n").over(by_word).alias("n"),
-        (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
+        F.sum("n").over(whole).alias("n"),
+        (F.row_number().over(by_word) == 1).alias("first"),
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

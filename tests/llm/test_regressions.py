@@ -259,6 +259,88 @@ def test_changes_are_added_up_in_steps(spark, monkeypatch):
     assert np.frombuffer(found[-1]["times"], np.int64).tolist() == [20]
 
 
+def test_scores_of_few_large_logits():
+    """Rows that need a shift are scored as exactly as the rows beside them that need none."""
+    draw = np.random.default_rng(4)
+    model = attention.untrained(np.arange(310) + 1, 308)
+    model.out *= 30
+    model.own[5], model.own[6] = 60, -60
+    model.bias[:] = draw.standard_normal(len(model.bias))
+    text = draw.integers(0, 300, 700)
+    text[100:120:7], text[400] = 5, 6
+    inputs, targets, owner = attention.layout([text], 308, 309)
+    scores = model.score(inputs, targets)[owner >= 0]
+    size, seen = attention.BLOCK, np.concatenate([np.full(attention.BLOCK + 1, 308), text])
+    largest = 0.0
+    for i, target in enumerate([*text, 309]):
+        at = size + i
+        keys = np.arange(at - at % size - size, at + 1)
+        w = np.exp((model.key[seen[keys]] @ model.query[seen[at]]).astype(float))
+        hidden = np.maximum(w @ model.value[seen[keys]] / w.sum() + model.own[seen[at]], 0)
+        logits = hidden @ model.out.astype(float) + model.bias
+        total = logits.max() + np.log(np.exp(logits - logits.max()).sum())
+        expected = (logits[model.of[target]] - total) / np.log(10) + model.within[target]
+        assert scores[i] == pytest.approx(expected, rel=1e-4, abs=1e-3)
+        largest = max(largest, np.abs(logits).max())
+    assert largest > 3 * attention.SAFE
+
+
+@pytest.mark.parametrize("stretch", [1, 40])
+def test_gradients(stretch):
+    """Gradients are the slopes of the loss, ids that occur often in a batch included."""
+    draw = np.random.default_rng(5)
+    model = attention.untrained(np.arange(50) + 1, 48)
+    model.out *= stretch
+    shape = (7, attention.BLOCK)
+    ids, before, targets = (draw.integers(0, 8, shape).astype("<u2") for _ in range(3))
+    before[:, 0], targets[:, 0] = 40, np.arange(7) + 10
+    weight = (draw.random(shape) < 0.9).astype(np.float32)
+    near = np.concatenate([model.query, model.own], axis=1)
+    far = np.concatenate([model.key, model.value], axis=1)
+    params = [near, far, model.distance, model.out, model.bias]
+    found = attention._gradients(params, model.mask(), ids, before, model.of[targets], weight)
+
+    def loss(near, far, distance, out, bias):
+        seen = np.concatenate([before, ids], axis=1)
+        width, total = attention.WIDTH, 0.0
+        for n in range(len(ids)):
+            for i in range(attention.BLOCK):
+                keys = np.arange(attention.BLOCK + i + 1)
+                w = far[seen[n, keys], :width] @ near[ids[n, i], :width]
+                w = np.exp(w + distance[attention.BLOCK + i - keys])
+                h = w @ far[seen[n, keys], width:] / w.sum() + near[ids[n, i], width:]
+                logits = np.maximum(h, 0) @ out + bias
+                top = logits.max()
+                of = logits[model.of[targets[n, i]]]
+                total += weight[n, i] * (top + np.log(np.exp(logits - top).sum()) - of)
+        return total / weight.sum()
+
+    exact = [p.astype(float) for p in params]
+    for k, g in enumerate(found):
+        if k < 2:
+            full = np.zeros_like(exact[k])
+            assert len(set(g[0].tolist())) == len(g[0])
+            full[g[0]] = g[1]
+            g = full
+        largest = float(np.abs(g).max())
+        for place in np.argsort(-np.abs(g), axis=None)[[0, 1, 5, 20]]:
+            at = np.unravel_index(place, g.shape)
+            both = []
+            for step in (1e-5, -1e-5):
+                moved = [p.copy() for p in exact]
+                moved[k][at] += step
+                both.append(loss(*moved))
+            assert g[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-2, abs=1e-3 * largest)
+
+
+def test_words_are_sorted_once(spark):
+    """Totals and first rows of words share one window."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    words = lm.block_words(lm.blocked(docs), default_path(lm.TOKENIZER))
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.split("\n") if line.strip(" +-:").startswith("Window ")]) == 1
+
+
 def test_windows_of_a_giant_text_and_of_equal_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(lm, "RUN_WINDOWS", 8)
     rows = [(3, "a b c d " * 2000, "en", "a", 1)] + [(5, "e f g h " * 20, "en", "a", 1)] * 50
