@@ -354,7 +354,7 @@ def fitted(texts: DataFrame, counts: np.ndarray) -> attention.Model:
         dealt = runs(texts, turn).withColumn("shard", shard_of)
         tuned = dealt.groupBy("shard").applyInArrow(run, schema)
         collected = added_up(tuned, shards, tables).collect()
-        sent.unpersist()
+        sent.destroy()  # on the driver as well, or every round leaves a model there
         return collected
 
     for turn in range(ROUNDS):
