@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -110,6 +111,7 @@ class Model:
 
 
 _BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+_DISTANCE = np.clip(_BACK, 0, None).ravel()
 _ONES = np.ones(SINGLE + SHARED, np.float32)
 
 
@@ -161,8 +163,11 @@ class _Output:
         # No logit of a row is beyond the product of the lengths.
         longest = np.square(self.out).sum(axis=0).max()
         self.reach = np.sqrt(np.square(hidden) @ _ONES[:WIDTH] * longest)
+        # Where no row can leave the range, the logits are not looked at.
+        begins = np.arange(0, len(hidden), TOKENS)
+        self.safe = (np.maximum.reduceat(self.reach, begins) <= self.room).tolist()
         self.held = np.empty((min(TOKENS, len(hidden)), len(bias)), np.float32)
-        self.places = np.arange(len(own)) % TOKENS * len(bias) + own
+        self.places = _begins(len(own), len(bias)) + own
 
     def logits(self, tokens: slice) -> np.ndarray:
         hidden = self.hidden[tokens]
@@ -170,6 +175,8 @@ class _Output:
         if self.far_apart:
             p += self.bias
         self.shifted = ()
+        if self.safe[tokens.start // TOKENS]:
+            return p
         if not (p.max(initial=0) <= self.room and -p.min(initial=0) <= self.room):
             self.shifted = np.flatnonzero(~(self.reach[tokens] <= self.room))
             rows = p.take(self.shifted, axis=0)
@@ -185,6 +192,12 @@ class _Output:
         return np.exp2(p, out=p)
 
 
+@lru_cache(maxsize=8)
+def _begins(rows: int, width: int) -> np.ndarray:
+    """Where each of so many rows begins in the piece of memory that holds TOKENS of them."""
+    return np.arange(rows) % TOKENS * width
+
+
 def placed(
     ids: np.ndarray, sizes: np.ndarray, start: int, end: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -384,7 +397,7 @@ def _gradients(params, mask, ids, before, goal, weight) -> list:
     np.matmul(weights.transpose(0, 2, 1), g_hidden, out=g_far[..., WIDTH:])
     by_place = np.ones(len(ids), np.float32) @ g_scores.reshape(len(ids), -1)
     # Weights of later tokens are zero, and so are their gradients.
-    g_distance = np.bincount(np.clip(_BACK, 0, None).ravel(), by_place, 2 * BLOCK)
+    g_distance = np.bincount(_DISTANCE, by_place, 2 * BLOCK)
     return [
         _scattered(ids, g_near),
         _scattered(seen, g_far),

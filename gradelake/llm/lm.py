@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ FAN_IN = 32
 BLOCK_BYTES = 8 << 20
 # Words kept in one row, words tokenised together, documents scored at once.
 LIST_WORDS, WORD_ROWS, GROUP = 8192, 8192, 64
+# Bytes of rows that a task packs together before it passes them on.
+PACK_BYTES = 16 << 20
 
 
 def training_flag(doc_id: Column) -> Column:
@@ -131,6 +133,25 @@ def _joined(planes: bytes) -> np.ndarray:
     return low + (high << 16)
 
 
+def _pressed(*arrays: np.ndarray) -> bytes:
+    """Numbers of several arrays, lowest bytes first, compressed."""
+    planes = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return pa.Codec("zstd", compression_level=1).compress(b"".join(planes), asbytes=True)
+
+
+def _unpressed(data: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays of ``_pressed`` from their types and lengths."""
+    widths = [np.dtype(kind).itemsize for kind, _ in kinds]
+    held = [width * size for width, (_, size) in zip(widths, kinds, strict=True)]
+    whole = pa.Codec("zstd").decompress(data, sum(held), asbytes=True)
+    found, at = [], 0
+    for (kind, size), width, n in zip(kinds, widths, held, strict=True):
+        planes = np.frombuffer(whole, np.uint8, n, at).reshape(width, size)
+        found.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n
+    return found
+
+
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words of all texts in a row, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -141,20 +162,19 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(real)), np.bincount(owner[real], minlength=len(lists))
 
 
-def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Every word of every block: block, place, count in all training text, subword ids, first.
+def met_words(rows: DataFrame) -> DataFrame:
+    """Every word of every block: block, place, word, count in all training text, first.
 
     Words come counted per block. All blocks that hold a word meet at the word, in one row per
-    block however frequent it is, so its total is a window sum and it is tokenised there.
-    ``first`` marks one row of each word.
+    block however frequent it is, so its total is a window sum. ``first`` marks one row of each
+    word.
     """
     listed = rows.where(F.col("words").isNotNull()).select(
         "block", "first", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "item")
     )
-    # One order for both columns, so the rows are sorted once.
-    by_word = Window.partitionBy("word").orderBy("block")
-    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = listed.select(
+    # One window for both columns, so the rows are sorted once.
+    whole = Window.partitionBy("word")
+    return listed.select(
         "block",
         (F.col("first") + F.col("pos")).alias("place"),
         F.col("item.words").alias("word"),
@@ -164,57 +184,132 @@ def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
         "place",
         "word",
         F.sum("n").over(whole).alias("n"),
-        (F.row_number().over(by_word) == 1).alias("first"),
+        (F.min("block").over(whole) == F.col("block")).alias("first"),
     )
 
+
+def block_words(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``met_words`` with the subword ids of each word in its place: one row per word and block."""
+    schema = "block long, place int, n long, ids binary, first boolean"
+    return map_arrow(met_words(rows), _tokenised(tokenizer), schema, WORD_ROWS)
+
+
+def _tokenised(tokenizer: str) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = batch.column(2).dictionary_encode()
         # A word comes in one batch or two: there is little to remember.
-        ids = WordIds.shared(tokenizer, 1 << 14).encode(found.dictionary.to_pylist())
+        ids = WordIds.shared(tokenizer, 1 << 14).each(found.dictionary)
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:2],
                 batch.column(3),
-                pa.array(ids, pa.binary()).take(found.indices),
+                ids.take(found.indices),
                 batch.column(4),
             ],
             names=["block", "place", "n", "ids", "first"],
         )
 
-    schema = "block long, place int, n long, ids binary, first boolean"
-    return map_arrow(totals, run, schema, WORD_ROWS)
+    return run
 
 
-def id_counts(vocabulary: DataFrame) -> np.ndarray:
-    """Occurrences of every subword id in all training text."""
+PACKED = (
+    "block long, words int, n_ids long, data binary, distinct long, total long, id array<int>, "
+    "times array<double>"
+)
+
+
+def packed_words(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``block_words`` in few rows: words that a task holds of a block lie together, compressed.
+
+    A row without a block sums up a task's words: how many different ones are in training text,
+    how often they occur there, and how often each subword id does.
+    """
+    tokenised = _tokenised(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY)
-        for batch in batches:
-            size = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) // 4
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            often = np.repeat(batch.column(1).to_numpy(), size)
-            total += np.bincount(ids, often, minlength=VOCABULARY)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    first = vocabulary.where(F.col("first") & (F.col("n") > 0)).select("ids", "n")
-    found = first.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n"))
+        parts = (part for batch in batches for part in slices(batch, WORD_ROWS))
+        yield from _packed(found for part in parts for found in tokenised(part))
+
+    return met_words(rows).mapInArrow(run, PACKED)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``packed_words`` from those of ``block_words``."""
+    distinct = total = 0
+    times = np.zeros(VOCABULARY)
+
+    def row(*values) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(),
+                 pa.list_(pa.int32()), pa.list_(pa.float64())]
+        names = ["block", "words", "n_ids", "data", "distinct", "total", "id", "times"]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names
+        )
+
+    def by_block(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal distinct, total, times
+        block, place, n, first = (
+            np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+            for c in ("block", "place", "n", "first")
+        )
+        ids = pa.concat_arrays([p.column("ids") for p in parts])
+        size = pc.binary_length(ids).to_numpy(False).astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype("<u2")
+        once = first & (n > 0)
+        distinct, total = distinct + int(once.sum()), total + int(n[once].sum())
+        often = np.where(once, n, 0)
+        times += np.bincount(flat, np.repeat(often, size), minlength=VOCABULARY)
+        # Blocks of a few tasks are few: sorted by their numbers among those here, then place.
+        number = pa.array(block).dictionary_encode().indices.to_numpy().astype(np.int64)
+        order = np.argsort((number << 32) + place)
+        block, place, n, size_of = block[order], place[order], n[order], size[order]
+        start = (np.cumsum(size) - size)[order] - (np.cumsum(size_of) - size_of)
+        flat = flat[np.repeat(start, size_of) + np.arange(len(flat))]
+        upto = np.concatenate([[0], np.cumsum(size_of)])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            held = flat[upto[a] : upto[b]]
+            steps = np.diff(place[a:b], prepend=0).astype("<u4")
+            data = _pressed(steps, n[a:b].astype("<i8"), size_of[a:b].astype("<u4"), held)
+            yield row(int(block[a]), b - a, len(held), data, None, None, None, None)
+
+    parts, filled = [], 0
+    for batch in batches:
+        if len(batch):
+            parts.append(batch)
+            filled += batch.nbytes
+        if filled >= PACK_BYTES:
+            yield from by_block(parts)
+            parts, filled = [], 0
+    if parts:
+        yield from by_block(parts)
+    used = np.flatnonzero(times)
+    if distinct:
+        yield row(None, None, None, None, distinct, total, used, times[used])
+
+
+def id_counts(packed: DataFrame) -> np.ndarray:
+    """Occurrences of every subword id in all training text, from ``packed_words``."""
+    sums = packed.where(F.col("block").isNull()).select(
+        F.explode(F.arrays_zip("id", "times")).alias("item")
+    )
     counts = np.zeros(VOCABULARY)
-    for i, n in found.collect():
+    for i, n in sums.groupBy("item.id").agg(F.sum("item.times")).collect():
         counts[i] = n
     return counts
 
 
 def encoded(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
-    """One row per document: block, at, doc_id, trained, held_out, its base columns, ids.
+    """One row per document: block, at, doc_id, trained, held_out, its base columns, n_ids, ids.
 
     ``ids`` has two bytes for every subword id of the text. base_score and n_known are those of
-    the words; the end is not among them.
+    the words; the end is not among them. ``vocabulary`` is ``block_words`` or ``packed_words``.
     """
+    if "data" not in vocabulary.columns:
+        vocabulary = vocabulary.mapInArrow(_packed, PACKED)
     schema = (
         "block long, at int, doc_id long, trained boolean, held_out boolean, n_words long, "
-        "n_known long, base_score double, ids binary"
+        "n_known long, base_score double, n_ids long, ids binary"
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -232,13 +327,14 @@ def encoded(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
+                "n_ids": pa.array([len(i) // 2 for i in ids], pa.int64()),
                 "ids": pa.array(ids, pa.binary()),
             }
         )
 
     documents = rows.where(F.col("at").isNotNull())
     left = documents.select("block", "at", "doc_id", "trained", "held_out", "places")
-    right = vocabulary.select("block", "place", "n", "ids")
+    right = vocabulary.where(F.col("block").isNotNull()).select("block", "words", "n_ids", "data")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -254,8 +350,13 @@ def runs(texts: DataFrame, turn: int | None = None) -> DataFrame:
     before the last of them. ``ids`` are those of the run's windows, one after the other, with
     the context of the first one.
     """
-    size = attention.BLOCK
-    step = size * RUN_WINDOWS
+    trained = texts.where("trained").select("block", "at", "doc_id", "ids")
+    schema = "doc_id long, round int, run long, n long, ids binary"
+    return map_arrow(trained, _cut(turn), schema)
+
+
+def _cut(turn: int | None) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    size, step = attention.BLOCK, attention.BLOCK * RUN_WINDOWS
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = {"doc_id": [], "round": [], "run": [], "n": [], "ids": []}
@@ -265,12 +366,15 @@ def runs(texts: DataFrame, turn: int | None = None) -> DataFrame:
             whole = memoryview(lead + ids + tail)
             targets = len(ids) // 2 + 1
             begin = zlib.crc32(str(doc_id).encode())
-            for k, first in enumerate(range(0, targets, step)):
-                round_of = (begin + k) % ROUNDS
-                if turn is not None and round_of != turn:
-                    continue
+            count = -(-targets // step)
+            if turn is None:
+                places = range(count)
+            else:
+                places = range((turn - begin) % ROUNDS, count, ROUNDS)
+            for k in places:
+                first = k * step
                 out["doc_id"].append(doc_id)
-                out["round"].append(round_of)
+                out["round"].append((begin + k) % ROUNDS)
                 out["run"].append(zlib.crc32(f"{block} {at} {first}".encode()))
                 out["n"].append(-(-min(step, targets - first) // size))
                 out["ids"].append(bytes(whole[2 * first : 2 * (first + step + size + 1)]))
@@ -281,8 +385,67 @@ def runs(texts: DataFrame, turn: int | None = None) -> DataFrame:
             names=list(out),
         )
 
+    return run
+
+
+def dealt(texts: DataFrame, turn: int, shards: int) -> DataFrame:
+    """The runs of a round, dealt into shards by their numbers: shard, runs, n_ids, data.
+
+    What a task holds of a shard lies together in one row, compressed; ``in_order`` has it back.
+    """
+    cut = _cut(turn)
+
+    def by_shard(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(parts).combine_chunks()
+        of = found.column("run").to_numpy() % shards
+        order = np.argsort(of, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1, [len(of)]])
+        out = {"shard": [], "runs": [], "n_ids": [], "data": []}
+        doc_id = found.column("doc_id").to_numpy()
+        ids = found.column("ids").to_pylist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = order[a:b]
+            flat = np.frombuffer(b"".join([ids[k] for k in rows.tolist()]), "<u2")
+            held = np.array([len(ids[k]) // 2 for k in rows.tolist()], "<u4")
+            out["shard"].append(int(of[rows[0]]))
+            out["runs"].append(len(rows))
+            out["n_ids"].append(len(flat))
+            out["data"].append(_pressed(doc_id[rows].astype("<i8"), held, flat))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out["shard"], pa.int64()), pa.array(out["runs"], pa.int32()),
+             pa.array(out["n_ids"], pa.int64()), pa.array(out["data"], pa.binary())],
+            names=list(out),
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, filled = [], 0
+        for found in (c for batch in batches for part in slices(batch) for c in cut(part)):
+            if len(found):
+                parts.append(found)
+                filled += found.nbytes
+            if filled >= PACK_BYTES:
+                yield from by_shard(parts)
+                parts, filled = [], 0
+        if parts:
+            yield from by_shard(parts)
+
     trained = texts.where("trained").select("block", "at", "doc_id", "ids")
-    return map_arrow(trained, run, "doc_id long, round int, run long, n long, ids binary")
+    return trained.mapInArrow(run, "shard long, runs int, n_ids long, data binary")
+
+
+def in_order(frame: pa.Table) -> list[bytes]:
+    """Ids of the runs of a shard, by the ids of their texts and then their own."""
+    doc_id, found = [], []
+    columns = (frame.column(c).to_pylist() for c in ("runs", "n_ids", "data"))
+    for n, n_ids, data in zip(*columns, strict=True):
+        docs, held, flat = _unpressed(data, ("<i8", n), ("<u4", n), ("<u2", n_ids))
+        ends = np.cumsum(2 * held, dtype=np.int64).tolist()
+        whole = flat.tobytes()
+        doc_id.append(docs)
+        found += [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    whole = pa.table({"doc_id": np.concatenate(doc_id), "ids": pa.array(found, pa.binary())})
+    whole = whole.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    return whole.column("ids").to_pylist()
 
 
 def windows(rows: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> DataFrame:
@@ -316,14 +479,12 @@ def fitted(texts: DataFrame, counts: np.ndarray) -> attention.Model:
     in steps of at most FAN_IN shards, so no task holds more of them however many there are.
     """
     model = attention.untrained(counts, START)
-    n_targets = F.length("ids") / 2 + 1
     n_windows = texts.where("trained").agg(
-        F.sum(F.ceil(n_targets / attention.BLOCK)).cast("bigint")
+        F.sum(F.ceil((F.col("n_ids") + 1) / attention.BLOCK)).cast("bigint")
     ).first()[0]
     if not n_windows:
         return model
     shards = -(-n_windows // (ROUNDS * SHARD_WINDOWS))
-    shard_of = F.pmod(F.xxhash64(F.lit("shard"), "run"), F.lit(shards))
     context = texts.sparkSession.sparkContext
     tables = 4
 
@@ -331,9 +492,8 @@ def fitted(texts: DataFrame, counts: np.ndarray) -> attention.Model:
         sent = context.broadcast(model)
 
         def run(frame: pa.Table) -> pa.Table:
-            frame = frame.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
             shard = frame.column("shard")[0].as_py()
-            data = unpacked(*frame.column("ids").to_pylist())
+            data = unpacked(*in_order(frame))
             before = sent.value.parameters()
             mine = copy.deepcopy(sent.value)
             steps = max(-(-attention.STEPS // ROUNDS), -(-len(data[0]) // attention.BATCH))
@@ -351,8 +511,7 @@ def fitted(texts: DataFrame, counts: np.ndarray) -> attention.Model:
                              "moved": pa.array(values, pa.binary())})
 
         schema = "part long, shard long, ids binary, moved binary"
-        dealt = runs(texts, turn).withColumn("shard", shard_of)
-        tuned = dealt.groupBy("shard").applyInArrow(run, schema)
+        tuned = dealt(texts, turn, shards).groupBy("shard").applyInArrow(run, schema)
         collected = added_up(tuned, shards, tables).collect()
         sent.destroy()  # on the driver as well, or every round leaves a model there
         return collected
@@ -426,14 +585,22 @@ class _Words:
     """The words of a block by place: smoothed share, whether known, and subword ids."""
 
     def __init__(self, frame: pa.Table, total: int, distinct: int):
-        frame = frame.sort_by("place")
-        counts = frame.column("n").to_numpy()
+        held = [
+            _unpressed(data, ("<u4", n), ("<i8", n), ("<u4", n), ("<u2", n_ids))
+            for n, n_ids, data in zip(
+                *(frame.column(c).to_pylist() for c in ("words", "n_ids", "data")), strict=True
+            )
+        ]
+        places = [np.cumsum(h[0], dtype=np.int64) for h in held]
+        place = np.concatenate([*places, np.zeros(0, np.int64)])
+        counts = np.zeros(len(place), np.int64)
+        self.size, self.start = counts.copy(), counts.copy()
+        size = np.concatenate([*(h[2] for h in held), np.zeros(0, "<u4")]).astype(np.int64)
+        counts[place] = np.concatenate([*(h[1] for h in held), np.zeros(0, np.int64)])
+        self.size[place], self.start[place] = size, np.cumsum(size) - size
+        self.flat = np.concatenate([*(h[3] for h in held), np.zeros(0, "<u2")])
         self.known = counts > 0
         self.share = np.log10((counts + 1) / (total + distinct + 1))
-        ids = frame.column("ids").combine_chunks()
-        self.size = pc.binary_length(ids).to_numpy(False).astype(np.int64) // 4
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype("<u2")
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """Subword ids of a sequence of words."""
@@ -461,12 +628,11 @@ def score(
     # Blocks and words are of no use any more when the ids of all texts are written.
     with scratch_run(session):
         rows = blocked(docs, block_bytes)
-        vocabulary = settled(block_words(rows, path), "words")
-        known = vocabulary.where(F.col("first") & (F.col("n") > 0))
-        n_words, n_distinct = known.agg(F.sum("n"), F.count(F.lit(1))).first()
+        vocabulary = settled(packed_words(rows, path), "words")
+        n_words, n_distinct = vocabulary.agg(F.sum("total"), F.sum("distinct")).first()
         texts = rows.where("trained").count()
         total = (n_words or 0) + texts
-        distinct = n_distinct + (texts > 0)
+        distinct = (n_distinct or 0) + (texts > 0)
         counts = id_counts(vocabulary)
         counts[END] += texts
         ids = encoded(rows, vocabulary, total, distinct)

@@ -8,6 +8,8 @@ from array import array
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words remembered per Python worker; the memo is emptied when it is full and fills anew.
 MEMO_WORDS = 800_000
@@ -69,14 +71,18 @@ class WordIds:
         self.memo = {"": b""}
         self._learn([".", ","])
 
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and where those of each word end if all is well."""
+        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(joined[0].ids, "<u4")
+        return ids, np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+
     def _learn(self, words: list[str]) -> None:
         letters = [w for w in words if w.isalpha()]
-        joined = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
-        ids = np.array(joined[0].ids, "<u4")
-        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1) if len(ids) else ids
+        ids, cuts = self._letters(letters)
         if len(cuts) == len(letters):
             data, start = ids.tobytes(), 0
-            for word, end in zip(letters, cuts.tolist(), strict=True):
+            for word, end in zip(letters, (4 * cuts).tolist(), strict=True):
                 self.memo[word] = data[start:end]
                 start = end
             words = [w for w in words if not w.isalpha()]
@@ -107,6 +113,41 @@ class WordIds:
                     found[at] = memo[word]
         return [b"".join(found) for found in ids]
 
+    def each(self, words: pa.Array) -> pa.Array:
+        """Id bytes of each of many different words, as ``encode`` gives them.
+
+        Words of letters, and those with a full stop or comma at the end, are not remembered.
+        """
+        stems = pc.utf8_rtrim(words, ".,")
+        marks = (pc.binary_length(words).to_numpy(False) - pc.binary_length(stems).to_numpy(False))
+        plain = pc.utf8_is_alpha(stems).to_numpy(False) & (marks <= 1)
+        found = stems.filter(pa.array(plain)).dictionary_encode()
+        ids, cuts = self._letters(found.dictionary.to_pylist())
+        if len(cuts) != len(found.dictionary):
+            return pa.array(self.encode(words.to_pylist()), pa.binary())
+        others = self.encode(words.filter(pa.array(~plain)).to_pylist())
+        # Where the ids of each word lie: first those of the stems, then those of the others.
+        flat = np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")])
+        stem_size = np.diff(cuts, prepend=0)
+        other_size = np.fromiter(map(len, others), np.int64, len(others)) // 4
+        size, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        of = found.indices.to_numpy()
+        size[plain], start[plain] = stem_size[of], (cuts - stem_size)[of]
+        size[~plain] = other_size
+        start[~plain] = len(ids) + np.cumsum(other_size) - other_size
+        marked = plain & (marks == 1)
+        ends = np.cumsum(size + marked)
+        begin = ends - size - marked
+        out = np.empty(ends[-1] if len(ends) else 0, "<u4")
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(begin, size) + step] = flat[np.repeat(start, size) + step]
+        stop = pc.ends_with(words.filter(pa.array(marked)), ".").to_numpy(False)
+        stop_id, comma_id = (int(np.frombuffer(self.memo[m], "<u4")[0]) for m in ".,")
+        out[ends[marked] - 1] = np.where(stop, stop_id, comma_id)
+        offsets = 4 * np.concatenate([[0], ends]).astype("<i4")
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(out)]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(words), buffers)
+
     @staticmethod
     def _plain(text: str) -> str:
         """``text`` with fewer different words and the same ids."""

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from gradelake.llm import attention, embeddings, lm, mixing, simhash
@@ -405,3 +406,60 @@ def test_intermediate_tables_of_scoring_are_released(spark, tmp_path):
         assert scored.count() == 20
         kept = {name.split("-")[1] for name in os.listdir(folder.removeprefix("file:"))}
         assert kept == {"ids"}
+
+
+def test_words_encoded_all_at_once():
+    """Ids of many different words are those the tokenizer gives each of them."""
+    odd = [
+        "abc", "abc,", "abc.", "abc.,", ".", ",", "..", "x1", "1.", "\u00dcber", "stra\u00dfe,",
+        "\u0441\u043b\u043e\u0432\u043e.", "\ufb01ne", "\u00aa", "a\u00a0b", "a<|endoftext|>b", "\u0130stanbul", "e\u0301",
+        "don't", "it's.", "\u65e5\u672c\u8a9e,", "\x1cab", "ab\x1c", "\u01c5,", "\u2170", "\u1e9e.", "_.", "x" * 3000,
+    ]
+    draw = random.Random(8)
+    letters = "abcAB.,'1-_\u00e9\u0301\u00df\u0416\u65e5"
+    many = {"".join(draw.choices(letters, k=draw.randrange(1, 7))) for _ in range(4000)}
+    coder = load_tokenizer(default_path(lm.TOKENIZER))
+    words = WordIds(default_path(lm.TOKENIZER), 1 << 14)
+    for asked in (odd, sorted(many), ["abc"], ["1"], []):
+        found = words.each(pa.array(asked, pa.string())).to_pylist()
+        expected = [coder.encode(w, add_special_tokens=False).ids for w in asked]
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == expected
+
+
+def test_words_and_runs_are_packed(spark):
+    """Words of blocks and runs of a round lie together in few, small rows, and none is lost."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 10**6}" for _ in range(400)))
+             for i in range(120)] + [(7, "")] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    rows = lm.blocked(docs)
+    path = default_path(lm.TOKENIZER)
+    plain = lm.block_words(rows, path).collect()
+    packed = lm.packed_words(rows, path)
+    held = [r for r in packed.collect() if r["block"] is not None]
+    assert len({r["block"] for r in held}) == rows.select("block").distinct().count() == 2
+    assert len(held) < len(plain) / 50
+    assert sum(r["words"] for r in held) == len(plain)
+    # A word took 21 bytes and its ids.
+    assert sum(len(r["data"]) for r in held) < 0.5 * sum(21 + len(r["ids"]) for r in plain)
+    counts = np.zeros(lm.VOCABULARY)
+    for r in plain:
+        if r["first"]:
+            np.add.at(counts, np.frombuffer(r["ids"], "<u4"), r["n"])
+    assert (lm.id_counts(packed) == counts).all()
+    whole = [lm.encoded(rows, v, 9, 9).collect() for v in (packed, lm.block_words(rows, path))]
+    assert len(whole[0]) == len(texts) and sorted(whole[0]) == sorted(whole[1])
+
+    found = lm.encoded(rows, packed, 9, 9)
+    expected = lm.runs(found, 1).collect()
+    dealt = lm.dealt(found, 1, 3).toArrow()
+    assert len(dealt) < len(expected) / 10
+    data = sum(map(len, dealt.column("data").to_pylist()))
+    assert data < 0.8 * sum(len(r["ids"]) for r in expected)
+    seen = []
+    for shard in range(3):
+        mine = lm.in_order(dealt.filter(pc.equal(dealt.column("shard"), shard)))
+        own = sorted((r["doc_id"], bytes(r["ids"])) for r in expected if r["run"] % 3 == shard)
+        assert mine == [ids for _, ids in own]
+        seen += mine
+    assert len(seen) == len(expected)
